@@ -124,17 +124,18 @@ def members(df: DataFrame, column: str, values: Iterable | DataFrame) -> DataFra
     """Rows whose value is in a short list, or in the column of that name of a table."""
     if isinstance(values, DataFrame):
         return df.join(values.select(column), column, "left_semi")
-    return df.filter(_listed(column, values))
+    return df.filter(listed(column, values))
 
 
 def non_members(df: DataFrame, column: str, values: Iterable | DataFrame) -> DataFrame:
     """The complement of :func:`members`; null is a member of nothing."""
     if isinstance(values, DataFrame):
         return df.join(values.select(column), column, "left_anti")
-    return df.filter(~_listed(column, values))
+    return df.filter(~listed(column, values))
 
 
-def _listed(column: str, values: Iterable) -> Column:
+def listed(column: str, values: Iterable) -> Column:
+    """Whether a value is in a short list; null is not."""
     return F.coalesce(F.col(column).isin(*values), F.lit(False))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.operators.cleaning import distinct_values
@@ -18,18 +18,14 @@ from stockyard.operators.cleaning import distinct_values
 _NULL_SPREAD = 4096
 
 
-def existing_keys(feed: DataFrame, stored: DataFrame, key: str, stored_key: str) -> DataFrame:
+def existing_keys(feed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct feed keys that are stored."""
-    return distinct_values(feed, key).join(
-        stored.select(F.col(stored_key).alias(key)), key, "left_semi"
-    )
+    return feed.select(*keys).dropna().distinct().join(stored.select(*keys), keys, "left_semi")
 
 
-def missing_keys(feed: DataFrame, stored: DataFrame, key: str, stored_key: str) -> DataFrame:
+def missing_keys(feed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct feed keys that are not stored; null is no key."""
-    return distinct_values(feed, key).join(
-        stored.select(F.col(stored_key).alias(key)), key, "left_anti"
-    )
+    return feed.select(*keys).dropna().distinct().join(stored.select(*keys), keys, "left_anti")
 
 
 def look_up(
@@ -77,14 +73,15 @@ def with_supplier_or_default(
 ) -> DataFrame:
     """Adds supplier id and name by supplier name, else those of the default supplier.
 
-    Of stored suppliers that share a name the one with the smallest id counts.
+    ``supplier_known`` tells the two apart. Of stored suppliers that share a name the one with the smallest id counts.
     """
     known = suppliers.groupBy(F.col("name").alias(key)).agg(F.min("id").alias("_id"))
     found = look_up(feed, known, key, ["_id"], spread_by)
-    name: Column = F.when(F.col("_id").isNotNull(), F.col(key)).otherwise(F.lit(default_name))
+    matched = F.col("_id").isNotNull()
     return found.withColumns(
         {
-            "supplier_name": name,
+            "supplier_name": F.when(matched, F.col(key)).otherwise(F.lit(default_name)),
+            "supplier_known": matched,
             "supplier_id": F.coalesce(F.col("_id"), F.lit(default_id).cast("bigint")),
         }
     ).drop("_id")

@@ -96,20 +96,29 @@ def purchases_per_batch(totals: DataFrame, posting: Posting, run_time: datetime)
     return _header_constants(headers, posting, run_time)
 
 
-def category_totals(items: DataFrame, group: str = "batch_id") -> DataFrame:
-    """Batch sums of the category flow, with the supplier of the batch's last row."""
+def category_totals(
+    items: DataFrame, suppliers: DataFrame, posting: Posting, group: str = "batch_id"
+) -> DataFrame:
+    """Batch sums of the category flow, with the supplier of the batch's last row.
+
+    Only the supplier's id goes through the aggregate, whose fixed-width buffer keeps it
+    a hash aggregate; its name is joined to the headers afterwards.
+    """
     sums = [_total(source).alias(name) for name, source in _SUMS.items()]
-    last = F.max_by(F.struct("supplier_id", "supplier_name"), "ord").alias("_last")
-    return (
-        items.groupBy(group)
-        .agg(
-            *sums,
-            F.count(F.lit(1)).alias("items_read"),
-            F.count_if(~F.col("expiry_ok")).alias("items_dropped"),
-            last,
-        )
-        .withColumns({"supplier_id": F.col("_last.supplier_id"), "supplier": F.col("_last.supplier_name")})
-        .drop("_last")
+    known_id = F.when(F.col("supplier_known"), F.col("supplier_id"))
+    totals = items.groupBy(group).agg(
+        *sums,
+        F.count(F.lit(1)).alias("items_read"),
+        F.count_if(~F.col("expiry_ok")).alias("items_dropped"),
+        F.max_by(known_id, "ord").alias("supplier_id"),
+    )
+    names = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier"))
+    default_id = F.lit(posting.supplier_id).cast("bigint")
+    return totals.join(names, "supplier_id", "left").withColumns(
+        {
+            "supplier_id": F.coalesce("supplier_id", default_id),
+            "supplier": F.coalesce("supplier", F.lit(posting.supplier_name)),
+        }
     )
 
 

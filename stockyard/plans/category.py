@@ -71,7 +71,7 @@ def category_import(
 
     verdicts = stage(acceptance.batch_verdicts(rows), "verdicts")
     good = acceptance.accepted_rows(rows, verdicts)
-    totals = posting.category_totals(good)
+    totals = posting.category_totals(good, suppliers, settings)
     purchase_id = next_id(stored_purchases) + F.col("batch_id")
     transfer_id = next_id(stored_transfers) + F.col("batch_id")
     purchases = posting.purchases_category(totals, settings, run_time).withColumn("id", purchase_id)

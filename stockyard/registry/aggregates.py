@@ -98,7 +98,7 @@ def purchase_per_supplier(t: Tables) -> DataFrame:
     {sums(grand_total="item_total_sale_price")} FROM category_lines GROUP BY batch_id""",
 )
 def purchase_category_flow(t: Tables) -> DataFrame:
-    totals = posting.category_totals(category_rows(t))
+    totals = posting.category_totals(category_rows(t), t.view("known_suppliers"), CATEGORY)
     return posting.purchases_category(totals, CATEGORY, RUN_TIME).select(
         "batch_id", "supplier_id", "supplier", "warehouse_id", *_HEADER, "grand_total"
     )
@@ -119,11 +119,14 @@ def transfer_per_batch(t: Tables) -> DataFrame:
 
 
 # Every third purchase belongs to another run and is left out.
-_REPORT = f"""
+_REPORT = """
 SELECT h.batch_id + 1 AS id, total_items, total_stock, total, total_tax, grand_total
-FROM (SELECT batch_id, {sums(total="item_total_cost_price", total_tax="item_total_vat",
-      grand_total="item_total_after_vat")} FROM posted GROUP BY batch_id) h
-JOIN (SELECT batch_id, COUNT(*) AS total_items, {sums(total_stock="item_quantity")}
+FROM (SELECT batch_id, CAST(SUM(item_total_cost_price) AS DECIMAL(25,5)) AS total,
+        CAST(SUM(item_total_vat) AS DECIMAL(25,5)) AS total_tax,
+        CAST(SUM(item_total_after_vat) AS DECIMAL(25,5)) AS grand_total
+      FROM posted GROUP BY batch_id) h
+JOIN (SELECT batch_id, COUNT(*) AS total_items,
+        CAST(SUM(item_quantity) AS DECIMAL(25,5)) AS total_stock
       FROM posted WHERE expiry_ok GROUP BY batch_id) i ON h.batch_id = i.batch_id
 WHERE (h.batch_id + 1) % 3 <> 0
 """
@@ -139,7 +142,10 @@ def report(t: Tables) -> DataFrame:
     return reporting.purchase_report(purchases, items, run_ids.filter("id % 3 <> 0"))
 
 
-@query("purchase_report", _REPORT)
+@query(
+    "purchase_report",
+    f"SELECT id, total_items, {amounts(*_REPORT_COLUMNS[2:])} FROM ({_REPORT}) r",
+)
 def purchase_report(t: Tables) -> DataFrame:
     return reporting.in_report_order(report(t)).select(*_REPORT_COLUMNS)
 
@@ -151,7 +157,7 @@ def _report_sums(columns: list[str]) -> str:
 @query(
     "report_grand_total",
     f"""WITH report AS ({_REPORT})
-    SELECT 0 AS is_total, * FROM report
+    SELECT 0 AS is_total, id, total_items, {amounts(*_REPORT_COLUMNS[2:])} FROM report
     UNION ALL SELECT 1, NULL, CAST(SUM(total_items) AS BIGINT),
     {_report_sums(_REPORT_COLUMNS[2:])} FROM report""",
 )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.operators import cleaning as ops
-from stockyard.registry.core import KEYS, Tables, amount, amounts, query
+from stockyard.registry.core import KEYS, Tables, amount, query
+from stockyard.registry.inputs import feed_keys
 
 K = ", ".join(KEYS)
 
@@ -144,13 +145,7 @@ def dedupe_keep_first(t: Tables) -> DataFrame:
     UNION ALL SELECT DISTINCT 'category', category FROM feed WHERE category IS NOT NULL""",
 )
 def distinct_values(t: Tables) -> DataFrame:
-    """Three kinds of key from one pass over the feed."""
-    kinds = ["item_code", "supplier_name", "category"]
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.col(k).alias("item")) for k in kinds]
-    )
-    keys = t.feed.select(F.inline(pairs))
-    return keys.dropna(subset=["item"]).distinct()
+    return feed_keys(t)
 
 
 @query(
@@ -160,15 +155,10 @@ def distinct_values(t: Tables) -> DataFrame:
       WHERE category IS NULL OR category NOT IN ('LARGE', 'PROMO', 'SMALL')""",
 )
 def membership_filter(t: Tables) -> DataFrame:
-    rows = t.feed.select(*KEYS, "category")
-    listed = ["LARGE", "PROMO", "SMALL"]
-    return (
-        ops.members(rows, "category", listed)
-        .withColumn("side", F.lit("in"))
-        .unionByName(
-            ops.non_members(rows, "category", listed).withColumn("side", F.lit("out"))
-        )
-    )
+    """Both sides from one pass over the feed."""
+    inside = ops.listed("category", ["LARGE", "PROMO", "SMALL"])
+    side = F.when(inside, F.lit("in")).otherwise(F.lit("out"))
+    return t.feed.select(*KEYS, "category", side.alias("side"))
 
 
 @query(

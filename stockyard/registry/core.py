@@ -26,13 +26,22 @@ CATEGORIES = CategoryRule(categories=("LARGE", "PROMO", "SMALL"))
 KEYS = ["k1", "k2", "k3", "k4", "k5", "k6"]
 _KEY_LIST = ", ".join(KEYS)
 
-# The source row index goes last in the Spark sort, so that equal rows can be split.
-_TIE = "_row_index AS k7,"
+# The same keys in the raw rows. The source row index goes last in the Spark sort, so
+# that a large group of equal rows can be split.
+_RAW_KEYS = [
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+]
+_ROW_INDEX = "source_row"
 
 VIEWS = {
+    "raw_rows": """
+SELECT lineitem.*, p_name, p_brand, p_type, p_retailprice, s_name
+FROM {lineitem} AS lineitem
+JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
+""",
     "feed": """
 SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
-  l_quantity AS k5, l_extendedprice AS k6, {tie}
+  l_quantity AS k5, l_extendedprice AS k6, {ordinal}
   CASE WHEN l_partkey % 97 = 13 THEN NULL ELSE CAST(l_partkey AS STRING) END AS item_code,
   CASE WHEN l_partkey % 97 = 13 THEN NULL
        WHEN l_orderkey % 7 = 3
@@ -65,7 +74,7 @@ SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
        ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING) END AS item_total_cost_text,
   CASE WHEN l_suppkey % 37 = 0 THEN NULL ELSE l_suppkey END AS supplier_id,
   s_name AS supplier_name, p_type AS category, CONCAT(' ', p_brand, ' ') AS item_group
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
+FROM {raw_rows}
 """,
     "catalogue": """
 SELECT p_partkey + 1 AS id, CAST(p_partkey AS STRING) AS code, p_name AS name,
@@ -190,14 +199,13 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def view(self, name: str, tie: str = "") -> DataFrame:
-        names = re.findall(r"\{(\w+)\}", VIEWS[name])
-        inputs = {n: self.table(n) for n in names if n != "tie"}
-        if tie:
-            inputs["lineitem"] = self.table("lineitem").select(
-                "*", F.col("_metadata.row_index").alias("_row_index")
-            )
-        return self.spark.sql(VIEWS[name].replace("{tie}", tie), **inputs)
+    def view(self, name: str) -> DataFrame:
+        return self._select(VIEWS[name].replace("{ordinal}", ""))
+
+    def _select(self, text: str, **given: DataFrame) -> DataFrame:
+        names = set(re.findall(r"\{(\w+)\}", text)) - set(given)
+        read = {n: self.view(n) if n in VIEWS else self.table(n) for n in names}
+        return self.spark.sql(text, **read, **given)
 
     @property
     def feed(self) -> DataFrame:
@@ -205,12 +213,19 @@ class Tables:
 
     @property
     def ordered(self) -> DataFrame:
-        """The feed with ``ord``, staged once per session and folder for all its readers."""
+        """The feed with ``ord``.
+
+        Raw rows are put in order and staged once per session and folder; each reader
+        derives only the feed columns that it uses.
+        """
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _STAGED:
-            feed = self.view("feed", tie=_TIE)
-            _STAGED[key] = with_ordinal(feed, [*KEYS, "k7"], stage_as="feed").drop("k7")
-        return _STAGED[key]
+            lines = self.table("lineitem").select(
+                "*", F.col("_metadata.row_index").alias(_ROW_INDEX)
+            )
+            rows = self._select(VIEWS["raw_rows"], lineitem=lines)
+            _STAGED[key] = with_ordinal(rows, [*_RAW_KEYS, _ROW_INDEX], stage_as="feed")
+        return self._select(VIEWS["feed"].replace("{ordinal}", "ord,"), raw_rows=_STAGED[key])
 
 
 def forget_staged() -> None:
@@ -246,7 +261,7 @@ def sums(**columns: str) -> str:
 
 def with_views(body: str) -> str:
     """The statement with every view it mentions in front of it."""
-    texts = {**{n: re.sub(r"\{tie\}", "", t) for n, t in VIEWS.items()}, **SQL_VIEWS}
+    texts = {**{n: t.replace("{ordinal}", "") for n, t in VIEWS.items()}, **SQL_VIEWS}
     texts = {n: re.sub(r"\{(\w+)\}", r"\1", t) if n in VIEWS else t for n, t in texts.items()}
     needed: list[str] = []
 

@@ -58,3 +58,24 @@ def category_rows(t: Tables) -> DataFrame:
         CATEGORY.supplier_name,
         ["ord"],
     )
+
+
+def feed_keys(t: Tables) -> DataFrame:
+    """Distinct item codes, supplier names and categories, from one pass over the feed."""
+    kinds = ["item_code", "supplier_name", "category"]
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("item")) for k in kinds])
+    return t.feed.select(F.inline(pairs)).dropna(subset=["item"]).distinct()
+
+
+def stored_keys(t: Tables) -> DataFrame:
+    """Keys of the three stored tables, of the same shape."""
+    stored = [
+        ("item_code", "catalogue", "code"),
+        ("supplier_name", "known_suppliers", "name"),
+        ("category", "known_categories", "name"),
+    ]
+    parts = [
+        t.view(view).select(F.lit(kind).alias("kind"), F.col(key).alias("item"))
+        for kind, view, key in stored
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

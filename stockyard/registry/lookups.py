@@ -9,7 +9,7 @@ from stockyard.operators import cleaning, registration, updates
 from stockyard.operators import lookups as ops
 from stockyard.operators.ordinals import with_batch
 from stockyard.registry.core import KEYS, Tables, amount, query
-from stockyard.registry.inputs import posted_rows
+from stockyard.registry.inputs import feed_keys, posted_rows, stored_keys
 from stockyard.settings import CATEGORY
 
 K = ", ".join(KEYS)
@@ -22,38 +22,23 @@ def _first(key: str, condition: str = "TRUE") -> str:
 
 
 _STORED_KEYS = """
-SELECT DISTINCT 'product' AS kind, item_code AS item FROM feed
+SELECT DISTINCT 'item_code' AS kind, item_code AS item FROM feed
   WHERE item_code {0} (SELECT code FROM catalogue)
-UNION ALL SELECT DISTINCT 'supplier', supplier_name FROM feed
+UNION ALL SELECT DISTINCT 'supplier_name', supplier_name FROM feed
   WHERE supplier_name {0} (SELECT name FROM known_suppliers)
 UNION ALL SELECT DISTINCT 'category', category FROM feed
   WHERE category {0} (SELECT name FROM known_categories)
 """
 
 
-def _by_kind(t: Tables, look) -> DataFrame:
-    """Products, suppliers and categories of the feed, looked up in their tables."""
-    kinds = [
-        ("product", "item_code", t.view("catalogue"), "code"),
-        ("supplier", "supplier_name", t.view("known_suppliers"), "name"),
-        ("category", "category", t.view("known_categories"), "name"),
-    ]
-    found = None
-    for kind, key, stored, stored_key in kinds:
-        keys = look(t.feed, stored, key, stored_key)
-        part = keys.select(F.lit(kind).alias("kind"), F.col(key).alias("item"))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 @query("existing_keys", _STORED_KEYS.format("IN"))
 def existing_keys(t: Tables) -> DataFrame:
-    return _by_kind(t, ops.existing_keys)
+    return ops.existing_keys(feed_keys(t), stored_keys(t), ["kind", "item"])
 
 
 @query("missing_keys", _STORED_KEYS.format("NOT IN"))
 def missing_keys(t: Tables) -> DataFrame:
-    return _by_kind(t, ops.missing_keys)
+    return ops.missing_keys(feed_keys(t), stored_keys(t), ["kind", "item"])
 
 
 @query(
@@ -151,7 +136,7 @@ def supplier_or_default(t: Tables) -> DataFrame:
         CATEGORY.supplier_id,
         CATEGORY.supplier_name,
         spread_by=KEYS,
-    )
+    ).drop("supplier_known")
 
 
 @query(

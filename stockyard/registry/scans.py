@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def write_csv(df: DataFrame, name: str, **options) -> str:
 @query("scan_positional", f"SELECT ord, {_SUPPLIER_SQL} FROM ordered")
 def positional(t: Tables) -> DataFrame:
     """CSV files in feed order; the position found in the files is that of the feed."""
-    folder = write_csv(as_text(t.feed.orderBy(*KEYS), layouts.SUPPLIER), "positional")
+    folder = write_csv(as_text(t.ordered.orderBy("ord"), layouts.SUPPLIER), "positional")
     rows = scan_positional(t.spark, folder, layouts.SUPPLIER, ordinal=True)
     return layouts.typed(rows.drop("source_file"))
 
@@ -100,16 +101,18 @@ def _to_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for number, rows in enumerate(batches):
         cells = rows.astype(object).where(rows.notna(), None).itertuples(index=False, name=None)
         content = _workbook([tuple(rows.columns), *cells])
-        yield pd.DataFrame({"path": [f"feed-{number}.xlsx"], "content": [content]})
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame({"path": [f"feed-{part}-{number}.xlsx"], "content": [content]})
 
 
 @query("scan_workbooks", f"SELECT {_SUPPLIER_SQL} FROM feed")
 def workbooks(t: Tables) -> DataFrame:
-    """The feed as workbooks, one per Arrow batch of rows, opened again."""
+    """The feed as workbooks, one per Arrow batch of rows, spread out and opened again."""
     files = as_text(t.feed, layouts.SUPPLIER).mapInPandas(
         _to_workbooks, "path string, content binary"
     )
-    rows = by_position(decode_workbooks(files), layouts.SUPPLIER)
+    spread = files.repartition(t.spark.sparkContext.defaultParallelism, "path")
+    rows = by_position(decode_workbooks(spread), layouts.SUPPLIER)
     return layouts.typed(rows.drop("source_file", "ord"))
 
 

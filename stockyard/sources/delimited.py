@@ -50,39 +50,44 @@ def drop_promoted_header(rows: DataFrame) -> DataFrame:
 
 
 def scan_named_checked(
-    spark: SparkSession, path: str, required: Sequence[str] = layouts.IMAGE
+    spark: SparkSession,
+    path: str,
+    required: Sequence[str] = layouts.IMAGE,
+    ordinal: bool = False,
 ) -> DataFrame:
     """Named columns of a CSV or workbook, the extension deciding which is tried first.
 
     A file whose content belies its extension is read in the other format. Missing
     columns are an error; columns that are not asked for are left out. Only the
-    header is looked at before the job runs.
+    header is looked at before the job runs. ``ordinal`` adds the row position.
     """
     readers = [_named_csv, _named_workbook]
     if not path.lower().rstrip("/").endswith(".csv"):
         readers.reverse()
     found: set[str] = set()
     for read in readers:
-        rows = read(spark, path, required)
-        if rows is None:
-            continue
-        missing = [c for c in required if c not in rows.columns]
-        if not missing:
-            return rows.select(*required)
-        found.update(rows.columns)
+        names, rows = read(spark, path, required, ordinal)
+        if rows is not None:
+            return rows
+        found.update(names)
     raise MissingColumnsError(f"{path} needs columns {list(required)}, found {sorted(found)}")
 
 
-def _named_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame | None:
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+def _named_csv(spark: SparkSession, path: str, required: Sequence[str], ordinal: bool):
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    if not set(required) <= set(rows.columns):
+        return rows.columns, None
+    if ordinal:
+        marked = rows.select(*required, *file_marks())
+        return rows.columns, with_file_ordinal(marked).select(*required, "ord")
+    return rows.columns, rows.select(*required)
 
 
-def _named_workbook(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame | None:
+def _named_workbook(spark: SparkSession, path: str, required: Sequence[str], ordinal: bool):
     rows = read_workbooks(spark, path)
     names = workbook_columns(rows)
-    if names is None:
-        return None
-    cells = [
-        F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names) if name in required
-    ]
-    return rows.filter("ord > 0").select(*cells)
+    if not set(required) <= set(names):
+        return names, None
+    cells = [F.get("cells", F.lit(names.index(name))).alias(name) for name in required]
+    position = [(F.col("ord") - 1).alias("ord")] if ordinal else []
+    return names, rows.filter("ord > 0").select(*cells, *position)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,14 +63,16 @@ def _number_type(column: str) -> T.DataType | None:
     return None
 
 
-def typed(df: DataFrame) -> DataFrame:
-    """Number columns parsed from text; a cell that does not parse becomes null."""
-    types = {c: _number_type(c) for c in df.columns}
-    parsed = {
-        c: numbers.parse(F.col(c), numbers.PRICE).cast(t)
-        if isinstance(t, T.LongType)
-        else numbers.parse(F.col(c), t)
-        for c, t in types.items()
-        if t is not None
-    }
-    return df.withColumns(parsed)
+def typed(df: DataFrame, keep_text: Sequence[str] = ()) -> DataFrame:
+    """Number columns parsed from text; a cell that does not parse becomes null.
+
+    Columns of ``keep_text`` are left to a reader of their own.
+    """
+
+    def read(column: str, number_type: T.DataType) -> Column:
+        if isinstance(number_type, T.LongType):
+            return numbers.parse(F.col(column)).cast(number_type)
+        return numbers.parse(F.col(column), number_type)
+
+    types = {c: _number_type(c) for c in df.columns if c not in keep_text}
+    return df.withColumns({c: read(c, t) for c, t in types.items() if t is not None})

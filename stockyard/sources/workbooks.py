@@ -11,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import cache
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,6 +23,7 @@ _CHUNK = 20_000
 
 # Number format ids that show a date, as the file format defines them.
 _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+_DIGITS = "0123456789"
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -51,10 +53,10 @@ def by_position(rows: DataFrame, layout: tuple[str, ...]) -> DataFrame:
     return data.select("source_file", (F.col("ord") - 1).alias("ord"), *cells)
 
 
-def workbook_columns(rows: DataFrame) -> list[str] | None:
-    """Header names of one workbook, or None where there is none to be read."""
+def workbook_columns(rows: DataFrame) -> list[str]:
+    """Header names of one workbook, none where there is no header to be read."""
     header = rows.filter("ord = 0 AND problem IS NULL").select("cells").head()
-    return None if header is None else [str(c).strip() for c in header.cells]
+    return [] if header is None else [str(c).strip() for c in header.cells]
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,9 +109,12 @@ def _first_sheet(book: zipfile.ZipFile) -> tuple[str, bool]:
     if workbook is None:
         raise KeyError("xl/workbook.xml")
     flags = [e.get("date1904") for e in workbook.iter() if _local(e) == "workbookPr"]
-    sheet = next(e for e in workbook.iter() if _local(e) == "sheet")
+    sheets = [e for e in workbook.iter() if _local(e) == "sheet"]
     links = _tree(book, "xl/_rels/workbook.xml.rels")
-    target = next(e.get("Target") for e in links if e.get("Id") == sheet.get(_RELATION))
+    targets = {e.get("Id"): e.get("Target") for e in links} if links is not None else {}
+    target = targets[sheets[0].get(_RELATION)] if sheets else None
+    if target is None:
+        raise KeyError("first sheet")
     part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
     return part, any(f in ("1", "true") for f in flags)
 
@@ -129,12 +134,11 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for i, xf in enumerate(formats) if int(xf.get("numFmtId") or 0) in dated}
 
 
-def _column(reference: str) -> int:
-    """Position from 0 of a cell such as AB12."""
+@cache
+def _column(letters: str) -> int:
+    """Position from 0 of a column such as AB."""
     position = 0
-    for letter in reference:
-        if not letter.isalpha():
-            break
+    for letter in letters:
         position = position * 26 + ord(letter.upper()) - ord("A") + 1
     return position - 1
 
@@ -143,11 +147,11 @@ def _number(text: str) -> str:
     return text if re.fullmatch(r"-?\d+", text) else repr(float(text))
 
 
-def _cell(cell, shared: list[str], dated: set[int], epoch: datetime) -> str | None:
+def _cell(cell, space: str, shared: list[str], dated: set[int], epoch: datetime) -> str | None:
     kind = cell.get("t")
     if kind == "inlineStr":
-        return _texts(cell) or None
-    value = next((e.text for e in cell if _local(e) == "v"), None)
+        return "".join(t.text or "" for t in cell.iter(f"{space}t")) or None
+    value = cell.findtext(f"{space}v")
     if value is None or kind == "e":
         return None
     if kind == "s":
@@ -171,16 +175,19 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
         done = 0
         with book.open(part) as sheet:
             for _, element in ElementTree.iterparse(sheet):
-                if _local(element) != "row":
+                if not element.tag.endswith("}row"):
                     continue
+                space = element.tag[:-3]
                 number = int(element.get("r") or done + 1)
                 for _ in range(done + 1, number):
                     yield []
                 done = number
                 cells: list[str | None] = []
                 for cell in element:
-                    at = _column(cell.get("r")) if cell.get("r") else len(cells)
-                    cells.extend([None] * (at + 1 - len(cells)))
-                    cells[at] = _cell(cell, shared, dated, epoch)
+                    place = cell.get("r")
+                    at = _column(place.rstrip(_DIGITS)) if place else len(cells)
+                    if at > len(cells):
+                        cells.extend([None] * (at - len(cells)))
+                    cells.append(_cell(cell, space, shared, dated, epoch))
                 yield cells
                 element.clear()
