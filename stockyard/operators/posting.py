@@ -136,21 +136,34 @@ def purchases_per_supplier(
     order: list[str],
     within: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One purchase per supplier id, named as in its first row; null ids post nothing."""
+    """One purchase per supplier id, named as in its first row; null ids post nothing.
+
+    Rows are first summed per id and name. Over a numeric ``order`` column that is a hash
+    aggregate; finding the first name among the few of a supplier then needs no sort of
+    the feed.
+    """
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    headers = (
+    sums = {
+        "total": "item_total_cost_price",
+        "total_sale": "item_total_sale_price",
+        "total_tax": "item_total_vat",
+        "grand_total": "item_total_after_vat",
+    }
+    per_name = (
         items.filter(F.col("supplier_id").isNotNull())
-        .groupBy(*within, "supplier_id")
+        .groupBy(*within, "supplier_id", "supplier_name")
         .agg(
-            F.min_by("supplier_name", position).alias("supplier"),
-            _total("item_total_cost_price").alias("total"),
-            _total("item_total_sale_price").alias("total_sale"),
-            _total("item_total_vat").alias("total_tax"),
-            _total("item_total_after_vat").alias("grand_total"),
-            money(F.sum(F.coalesce(F.col("total_sale"), F.lit(0)))).alias("transfer_total"),
+            F.min(position).alias("_first"),
+            *[F.sum(source).alias(name) for name, source in sums.items()],
+            F.sum(F.coalesce(F.col("total_sale"), F.lit(0))).alias("transfer_total"),
             F.count(F.lit(1)).alias("items_read"),
         )
     )
+    headers = per_name.groupBy(*within, "supplier_id").agg(
+        F.min_by("supplier_name", "_first").alias("supplier"),
+        *[_total(name).alias(name) for name in (*sums, "transfer_total")],
+        F.sum("items_read").alias("items_read"),
+    )
     return _header_constants(headers, posting, run_time)
 
 

@@ -71,13 +71,14 @@ def category_import(
 
     verdicts = stage(acceptance.batch_verdicts(rows), "verdicts")
     good = acceptance.accepted_rows(rows, verdicts)
-    totals = posting.category_totals(good, suppliers, settings)
+    totals = stage(posting.category_totals(good, suppliers, settings), "totals")
     purchase_id = next_id(stored_purchases) + F.col("batch_id")
     transfer_id = next_id(stored_transfers) + F.col("batch_id")
     purchases = posting.purchases_category(totals, settings, run_time).withColumn("id", purchase_id)
 
     posted = lookups.with_product_id(good.filter("expiry_ok"), catalogue, spread_by=["ord"])
     posted = posted.withColumns({"purchase_id": purchase_id, "transfer_id": transfer_id})
+    posted = stage(posted, "posted")
     items = posting.purchase_items(posted, settings, run_time, keep=("purchase_id", "ord"))
     return {
         "products": new_products,

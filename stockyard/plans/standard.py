@@ -24,7 +24,8 @@ def standard_import(
 ) -> dict[str, DataFrame]:
     """Tables posted by one feed of the standard layout, typed and with ``ord``.
 
-    Products are registered from every batch, also from one that is refused later.
+    Products are registered from every batch, also from one that is refused later. Rows
+    are staged once they are accepted and looked up; every table is a projection of them.
     """
     rows = with_batch(with_sale_vat(feed), settings.batch_rows)
     rows = cleaning.with_strict_expiry(rows).withColumn("avz_item_code", F.col("item_ascon_code"))
@@ -33,7 +34,8 @@ def standard_import(
     catalogue = products.select("id", "code").unionByName(new_products.select("id", "code"))
 
     verdicts = stage(acceptance.batch_verdicts(rows), "verdicts")
-    totals = posting.batch_totals(acceptance.accepted_rows(rows, verdicts))
+    good = acceptance.accepted_rows(rows, verdicts)
+    totals = stage(posting.batch_totals(good), "totals")
     purchase_id = next_id(stored_purchases) + F.col("batch_id")
     transfer_id = next_id(stored_transfers) + F.col("batch_id")
     purchases = posting.purchases_per_batch(totals, settings, run_time).withColumn(
@@ -41,10 +43,9 @@ def standard_import(
     )
     transfers = posting.transfers(totals, settings, run_time).withColumn("id", transfer_id)
 
-    posted = acceptance.accepted_rows(rows, verdicts).filter("expiry_ok")
-    posted = lookups.with_product_id(posted, catalogue, spread_by=["ord"]).withColumns(
-        {"purchase_id": purchase_id, "transfer_id": transfer_id}
-    )
+    posted = lookups.with_product_id(good.filter("expiry_ok"), catalogue, spread_by=["ord"])
+    posted = posted.withColumns({"purchase_id": purchase_id, "transfer_id": transfer_id})
+    posted = stage(posted, "posted")
     items = posting.purchase_items(posted, settings, run_time, keep=("purchase_id", "ord"))
     report = reporting.purchase_report(purchases, items)
     return {

@@ -11,6 +11,7 @@ from stockyard.functions.measures import with_line_totals
 from stockyard.operators import cleaning, lookups, posting, registration, reporting
 from stockyard.operators.ordinals import with_item_code, with_new_ids
 from stockyard.settings import ITEM_CODE_DIGITS, SUPPLIER, Posting
+from stockyard.staging import stage
 
 
 def supplier_import(
@@ -36,7 +37,7 @@ def supplier_import(
 
     posted = lookups.with_product_id(rows.filter(F.col("supplier_id").isNotNull()), catalogue)
     posted = with_item_code(cleaning.with_clamped_expiry(posted), digits=code_digits, used=used_codes)
-    posted = posting.with_order_ids(posted, orders)
+    posted = stage(posting.with_order_ids(posted, orders), "posted")
     items = posting.purchase_items(
         posted, settings, run_time, keep=("purchase_id", "order_id", "ord")
     )
