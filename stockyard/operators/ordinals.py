@@ -2,7 +2,8 @@
 
 Rows are first laid out in order and written with a sequence number that is
 increasing inside each part. Only the part sizes, one row per part, pass through
-an un-partitioned window; their running total is added back to every row.
+an un-partitioned window; their running total, staged as well, is added back to every
+row, so that a reader of the result neither sorts nor counts again.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def with_ordinal(
     numbered = placed.withColumns({"_part": part, "_row": row})
 
     sizes = numbered.groupBy("_part").agg((F.max("_row") + 1).alias("_rows"))
-    starts = _running_start(sizes, Window.orderBy("_part"))
+    starts = stage(_running_start(sizes, Window.orderBy("_part")), f"{stage_as}-starts")
     # One row per sort partition: at most as many as there are shuffle partitions.
     located = numbered.join(F.broadcast(starts.drop("_rows")), "_part")
     return located.withColumn(name, F.col("_start") + F.col("_row")).drop(
@@ -77,6 +78,7 @@ def with_file_ordinal(
         starts = starts.join(offsets, "source_file").withColumn(
             "_start", F.col("_start") + F.col("_offset")
         )
+    starts = stage(starts, f"{stage_as}-starts")
     located = placed.join(starts.select(*split, "_first", "_start"), split)
     position = F.col("_start") + F.col("_seq") - F.col("_first")
     return located.withColumn(name, position).drop("_block", "_seq", "_first", "_start")

@@ -83,7 +83,7 @@ _SUPPLIER = [
 
 
 def supplier_headers(t: Tables) -> DataFrame:
-    return posting.purchases_per_supplier(supplier_lines(t), SUPPLIER, RUN_TIME, KEYS)
+    return posting.purchases_per_supplier(supplier_lines(t), SUPPLIER, RUN_TIME, ["ord"])
 
 
 @query("purchase_per_supplier", _BY_SUPPLIER)
@@ -175,9 +175,9 @@ def report_grand_total(t: Tables) -> DataFrame:
     WHERE place = 1 AND item_code NOT IN (SELECT code FROM catalogue)""",
 )
 def surrogate_ids(t: Tables) -> DataFrame:
-    rows = cleaning.fill_text_defaults(cleaning.drop_null_key(t.feed))
+    rows = cleaning.fill_text_defaults(cleaning.drop_null_key(t.ordered))
     stored = t.view("catalogue")
-    new = registration.products_first(rows, stored, KEYS)
+    new = registration.products_first(rows, stored, ["ord"])
     return with_new_ids(new, stored, ["code"]).select("id", "code", "name", "tax_rate")
 
 
@@ -215,7 +215,7 @@ def purchase_order_copy(t: Tables) -> DataFrame:
     stored_orders = t.table("region").select(F.lit(2000).alias("id"))
     purchases = with_new_ids(supplier_headers(t), stored, ["supplier_id"])
     orders = posting.purchase_orders(purchases, stored, stored_orders)
-    items = posting.with_order_ids(cleaning.drop_null_key(t.feed), orders)
+    items = posting.with_order_ids(cleaning.drop_null_key(t.ordered), orders)
     counted = items.groupBy(F.col("order_id").alias("id")).agg(
         F.sum("item_quantity").alias("quantity")
     )

@@ -134,7 +134,8 @@ def expiry_clamped(t: Tables) -> DataFrame:
     WHERE place = 1""",
 )
 def dedupe_keep_first(t: Tables) -> DataFrame:
-    return ops.keep_first(t.feed, "item_code", KEYS, [*KEYS, "item_name", "item_batch_number"])
+    columns = [*KEYS, "item_name", "item_batch_number"]
+    return ops.keep_first(t.ordered, "item_code", ["ord"], columns)
 
 
 @query(

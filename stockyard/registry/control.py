@@ -15,7 +15,7 @@ from stockyard.registry.scans import as_text, write_csv
 from stockyard.settings import STANDARD, SUPPLIER
 from stockyard.sources import layouts
 from stockyard.sources.store import append_run, read_runs, rewrite_snapshot, scan_store, write_report
-from stockyard.staging import new_folder
+from stockyard.staging import new_folder, stage
 from stockyard.streaming.file_drop import import_drops
 
 # Small batches, so that the feed has both good and bad ones.
@@ -32,8 +32,7 @@ FROM ordered GROUP BY ord // {_ROWS}
 
 
 def _batched(t: Tables) -> DataFrame:
-    rows = with_batch(with_line_totals(t.ordered), _ROWS)
-    return rows
+    return with_batch(with_line_totals(t.ordered), _ROWS)
 
 
 @query(
@@ -44,7 +43,7 @@ def _batched(t: Tables) -> DataFrame:
 )
 def batch_accept(t: Tables) -> DataFrame:
     rows = _batched(t)
-    verdicts = acceptance.batch_verdicts(rows)
+    verdicts = stage(acceptance.batch_verdicts(rows), "verdicts")
     good = acceptance.accepted_rows(rows, verdicts).withColumn("verdict", F.lit("accepted"))
     bad = acceptance.quarantined_rows(rows, verdicts).withColumn("verdict", F.lit("quarantine"))
     return good.unionByName(bad).select("ord", "item_code", "batch_id", "verdict")

@@ -14,7 +14,7 @@ from stockyard.settings import CATEGORY, STANDARD
 
 def supplier_lines(t: Tables) -> DataFrame:
     """Rows with a code and their line totals."""
-    return with_line_totals(cleaning.drop_null_key(t.feed))
+    return with_line_totals(cleaning.drop_null_key(t.ordered))
 
 
 def posted_rows(t: Tables) -> DataFrame:

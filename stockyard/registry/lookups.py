@@ -49,8 +49,8 @@ def missing_keys(t: Tables) -> DataFrame:
     WHERE item_code NOT IN (SELECT code FROM catalogue)""",
 )
 def register_products_first(t: Tables) -> DataFrame:
-    rows = cleaning.fill_text_defaults(cleaning.drop_null_key(t.feed))
-    return registration.products_first(rows, t.view("catalogue"), KEYS)
+    rows = cleaning.fill_text_defaults(cleaning.drop_null_key(t.ordered))
+    return registration.products_first(rows, t.view("catalogue"), ["ord"])
 
 
 @query(
@@ -62,8 +62,8 @@ def register_products_first(t: Tables) -> DataFrame:
     WHERE item_code NOT IN (SELECT code FROM catalogue)""",
 )
 def register_products_priced(t: Tables) -> DataFrame:
-    floats = t.feed.withColumn("item_code", F.concat("item_code", F.lit(".0")))
-    return registration.products_priced(floats, t.view("catalogue"), KEYS)
+    floats = t.ordered.withColumn("item_code", F.concat("item_code", F.lit(".0")))
+    return registration.products_priced(floats, t.view("catalogue"), ["ord"])
 
 
 @query(
@@ -75,9 +75,9 @@ def register_products_priced(t: Tables) -> DataFrame:
     WHERE f.item_code NOT IN (SELECT code FROM catalogue)""",
 )
 def register_products_category(t: Tables) -> DataFrame:
-    rows = cleaning.trim_keys(t.feed, ["item_group"])
+    rows = cleaning.trim_keys(t.ordered, ["item_group"])
     return registration.products_by_category(
-        rows, t.view("catalogue"), t.view("known_groups"), KEYS, code="raw_code"
+        rows, t.view("catalogue"), t.view("known_groups"), ["ord"], code="raw_code"
     )
 
 
@@ -91,7 +91,7 @@ def register_products_category(t: Tables) -> DataFrame:
       ON f.item_code = c.code""",
 )
 def compare_existing(t: Tables) -> DataFrame:
-    first = cleaning.keep_first(t.feed, "item_code", KEYS, ["item_name", "item_cost_price"])
+    first = cleaning.keep_first(t.ordered, "item_code", ["ord"], ["item_name", "item_cost_price"])
     return ops.compare_existing(
         first, t.view("catalogue"), "item_code", "item_name", "item_cost_price"
     )
