@@ -110,7 +110,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         )
     elif args.job == "priced-products":
         feed = layouts.typed(read_feed(spark, args.feed, layouts.SUPPLIER))
-        posted = catalogue.register_priced_products(feed, products, list(layouts.SUPPLIER))
+        posted = catalogue.register_priced_products(
+            feed, products, list(layouts.SUPPLIER), at
+        )
     elif args.job == "images":
         sheet = scan_named_checked(spark, args.feed, ordinal=True)
         posted = catalogue.apply_images(products, sheet)

@@ -24,8 +24,9 @@ def standard_import(
 ) -> dict[str, DataFrame]:
     """Tables posted by one feed of the standard layout, typed and with ``ord``.
 
-    Products are registered from every batch, also from one that is refused later. Rows
-    are staged once they are accepted and looked up; every table is a projection of them.
+    A row without a code or an amount refuses its batch. Products are registered from
+    every batch, also from one that is refused later. Rows are staged once they are
+    accepted and looked up; every table is a projection of them.
     """
     rows = with_batch(with_sale_vat(feed), settings.batch_rows)
     rows = cleaning.with_strict_expiry(rows).withColumn("avz_item_code", F.col("item_ascon_code"))
@@ -33,7 +34,8 @@ def standard_import(
     new_products = with_new_ids(unknown, products, ["code"])
     catalogue = products.select("id", "code").unionByName(new_products.select("id", "code"))
 
-    verdicts = stage(acceptance.batch_verdicts(rows), "verdicts")
+    required = ("item_code", *acceptance.REQUIRED)
+    verdicts = stage(acceptance.batch_verdicts(rows, required), "verdicts")
     good = acceptance.accepted_rows(rows, verdicts)
     totals = stage(posting.batch_totals(good), "totals")
     purchase_id = next_id(stored_purchases) + F.col("batch_id")

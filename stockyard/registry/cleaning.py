@@ -112,15 +112,20 @@ def coerce_numeric(t: Tables) -> DataFrame:
     )
 
 
-@query("expiry_strict", "SELECT ord, item_expiry_date, expiry FROM posted WHERE expiry_ok")
+@query(
+    "expiry_strict",
+    """SELECT ord, item_expiry_date, CAST(expiry AS VARCHAR) AS expiry
+    FROM posted WHERE expiry_ok""",
+)
 def expiry_strict(t: Tables) -> DataFrame:
     return ops.drop_bad_expiry(t.ordered).select("ord", "item_expiry_date", "expiry")
 
 
 @query(
     "expiry_clamped",
-    f"""SELECT {K}, item_expiry_date, CASE WHEN YEAR(day) > 2262
-      THEN TRY_CAST(CONCAT('2262', STRFTIME(day, '-%m-%d')) AS DATE) ELSE day END AS expiry
+    f"""SELECT {K}, item_expiry_date, CAST(CASE WHEN YEAR(day) > 2262
+      THEN TRY_CAST(CONCAT('2262', STRFTIME(day, '-%m-%d')) AS DATE) ELSE day END AS VARCHAR)
+      AS expiry
     FROM (SELECT *, CAST(TRY_CAST(item_expiry_date AS TIMESTAMP) AS DATE) AS day FROM feed) f""",
 )
 def expiry_clamped(t: Tables) -> DataFrame:

@@ -234,15 +234,19 @@ def forget_staged() -> None:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Amounts as DOUBLE, rounded as they are stored."""
-    return df.select(
-        [
-            money(F.col(f.name)).cast("double").alias(f.name)
-            if isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    """Amounts as DOUBLE, rounded as they are stored, and dates as ISO text.
+
+    Both engines have these types in common over their whole range.
+    """
+
+    def column(f: T.StructField):
+        if isinstance(f.dataType, T.DecimalType):
+            return money(F.col(f.name)).cast("double").alias(f.name)
+        if isinstance(f.dataType, T.DateType):
+            return F.col(f.name).cast("string").alias(f.name)
+        return F.col(f.name)
+
+    return df.select([column(f) for f in df.schema.fields])
 
 
 def amount(expression: str, name: str) -> str:

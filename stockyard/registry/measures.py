@@ -108,7 +108,8 @@ _NUMBERED = """
 SELECT p.*, c.id AS product_id, batch_id + 1 AS purchase_id, batch_id + 1 AS transfer_id
 FROM posted p LEFT JOIN catalogue c ON p.item_code = c.code WHERE expiry_ok
 """
-_ITEM_SQL = f"""ord, product_id, item_code AS product_code, item_name AS product_name, expiry,
+_ITEM_SQL = f"""ord, product_id, item_code AS product_code, item_name AS product_name,
+  CAST(expiry AS VARCHAR) AS expiry,
   item_batch_number AS batchno, {amount("item_cost_price", "net_unit_cost")},
   {amount("item_quantity", "quantity")}, {amount("unit_sale", "sale_price")},
   {amount("item_purchase_price", "real_unit_cost")}"""
@@ -147,7 +148,8 @@ def transfer_item_projection(t: Tables) -> DataFrame:
     return items.select(*_ITEM, "transfer_id", "warehouse_id", "status", *_AMOUNTS)
 
 
-_MOVE_COLUMNS = """ord, product_id, item_batch_number AS batch_number, expiry AS expiry_date"""
+_MOVE_COLUMNS = """ord, product_id, item_batch_number AS batch_number,
+      CAST(expiry AS VARCHAR) AS expiry_date"""
 
 
 def _move(kind: str, sign: int, place: int, owner: str) -> str:

@@ -329,6 +329,23 @@ def test_priced_products(spark):
     assert (counters.codes_existing, counters.codes_inserted) == (1, len(codes) - 1)
 
 
+def test_an_unreadable_code_refuses_its_batch_of_priced_products(spark):
+    rows = [{**r, "item_code": f"{i}.0"} for i, r in enumerate(supplier_rows(60))]
+    rows[25]["item_code"] = "x1"
+    rows[41]["item_code"] = None
+    feed = layouts.typed(text_frame(spark, rows, layouts.SUPPLIER))
+    products = spark.createDataFrame([], "id long, code string, name string, cost decimal(18,6)")
+    result = catalogue.register_priced_products(
+        feed, products, list(layouts.SUPPLIER), batch_rows=20
+    )
+    expected = {str(i) for i in range(60)} - {str(i) for i in range(20, 40)} - {"41"}
+    assert {r.code for r in result["products"].collect()} == expected
+    assert result["quarantine"].count() == 20
+    assert rows_of(result["run_log"], "batch_id", "status") == [
+        (0, "completed"), (1, "failed"), (2, "completed"),
+    ]
+
+
 def write_csv(path, rows, layout):
     lines = [",".join(f"h{i}" for i in range(len(layout)))]
     lines += [",".join(f'"{r[c]}"' if r[c] is not None else "" for c in layout) for r in rows]
