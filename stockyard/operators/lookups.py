@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from stockyard.operators.cleaning import distinct_values
 
-# How many join partitions the rows without a key are spread over.
+# Stand-ins for missing keys: a mark that no key starts with, and how many there are.
+_NO_KEY = "\0none-"
 _NULL_SPREAD = 4096
 
 
@@ -35,20 +36,19 @@ def look_up(
     columns: list[str],
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Left join on a unique stored key.
+    """Left join on a unique stored text key.
 
     Null keys match nothing, yet a plain left join sends all their rows to one
-    partition. ``spread_by`` names feed columns whose hash places those rows
+    partition. ``spread_by`` names feed columns whose hash stands in for a missing key
     instead; a hash gives a repeated task the same places.
     """
+    known = stored.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *columns)
     if not spread_by:
-        return feed.join(stored.select(key, *columns), key, "left")
-    place = F.pmod(F.xxhash64(*spread_by), F.lit(_NULL_SPREAD))
-    left = feed.withColumn("_place", F.when(F.col(key).isNull(), place).otherwise(F.lit(-1)))
-    right = stored.filter(F.col(key).isNotNull()).select(
-        key, *columns, F.lit(-1).cast("bigint").alias("_place")
-    )
-    return left.join(right, [key, "_place"], "left").drop("_place")
+        return feed.withColumn("_key", F.col(key)).join(known, "_key", "left").drop("_key")
+    place = F.pmod(F.xxhash64(*spread_by), F.lit(_NULL_SPREAD)).cast("string")
+    stand_in = F.concat(F.lit(_NO_KEY), place)
+    keyed = feed.withColumn("_key", F.coalesce(F.col(key), stand_in))
+    return keyed.join(known, "_key", "left").drop("_key")
 
 
 def with_product_id(

@@ -35,9 +35,10 @@ _ROW_INDEX = "source_row"
 
 VIEWS = {
     "raw_rows": """
-SELECT lineitem.*, p_name, p_brand, p_type, p_retailprice, s_name
-FROM {lineitem} AS lineitem
-JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
+SELECT {row_index} l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+  l_extendedprice, l_discount, l_tax, l_shipdate,
+  p_name, p_brand, p_type, p_retailprice, s_name
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
 """,
     "feed": """
 SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
@@ -186,6 +187,11 @@ ORACLES: dict[str, str] = {}
 _STAGED: dict[tuple[str, str], DataFrame] = {}
 
 
+def _without_options(name: str) -> str:
+    """A view's SQL without the columns that only staging adds."""
+    return VIEWS[name].replace("{ordinal}", "").replace("{row_index}", "")
+
+
 class Tables:
     """The driver's tables in one folder, and the views over them."""
 
@@ -200,7 +206,7 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
     def view(self, name: str) -> DataFrame:
-        return self._select(VIEWS[name].replace("{ordinal}", ""))
+        return self._select(_without_options(name))
 
     def _select(self, text: str, **given: DataFrame) -> DataFrame:
         names = set(re.findall(r"\{(\w+)\}", text)) - set(given)
@@ -223,7 +229,8 @@ class Tables:
             lines = self.table("lineitem").select(
                 "*", F.col("_metadata.row_index").alias(_ROW_INDEX)
             )
-            rows = self._select(VIEWS["raw_rows"], lineitem=lines)
+            text = VIEWS["raw_rows"].replace("{row_index}", f"{_ROW_INDEX},")
+            rows = self._select(text, lineitem=lines)
             _STAGED[key] = with_ordinal(rows, [*_RAW_KEYS, _ROW_INDEX], stage_as="feed")
         return self._select(VIEWS["feed"].replace("{ordinal}", "ord,"), raw_rows=_STAGED[key])
 
@@ -265,7 +272,7 @@ def sums(**columns: str) -> str:
 
 def with_views(body: str) -> str:
     """The statement with every view it mentions in front of it."""
-    texts = {**{n: t.replace("{ordinal}", "") for n, t in VIEWS.items()}, **SQL_VIEWS}
+    texts = {**{n: _without_options(n) for n in VIEWS}, **SQL_VIEWS}
     texts = {n: re.sub(r"\{(\w+)\}", r"\1", t) if n in VIEWS else t for n, t in texts.items()}
     needed: list[str] = []
 

@@ -62,7 +62,7 @@ def scan_named_checked(
     header is looked at before the job runs. ``ordinal`` adds the row position.
     """
     readers = [_named_csv, _named_workbook]
-    if not path.lower().rstrip("/").endswith(".csv"):
+    if not _first_name(spark, path).lower().endswith(".csv"):
         readers.reverse()
     found: set[str] = set()
     for read in readers:
@@ -73,6 +73,12 @@ def scan_named_checked(
     raise MissingColumnsError(f"{path} needs columns {list(required)}, found {sorted(found)}")
 
 
+def _first_name(spark: SparkSession, path: str) -> str:
+    """The path itself, or for a folder the name of a file in it; no content is read."""
+    files = spark.read.format("binaryFile").load(path).select("path").head()
+    return path if files is None else files.path
+
+
 def _named_csv(spark: SparkSession, path: str, required: Sequence[str], ordinal: bool):
     rows = spark.read.option("header", True).option("escape", '"').csv(path)
     if not set(required) <= set(rows.columns):

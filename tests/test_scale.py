@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from stockyard.functions.measures import with_line_totals
-from stockyard.operators import cleaning, posting
+from stockyard.operators import cleaning, lookups, posting
 from stockyard.registry.core import KEYS, RUN_TIME, Tables
 from stockyard.settings import SUPPLIER
 
@@ -114,3 +114,39 @@ def test_numbering_windows_run_over_part_sizes_only(spark):
     assert "SinglePartition" not in rows and "Window" not in rows
     above = starts.split("SinglePartition")[0]
     assert "Window [sum(_rows" in above and "HashAggregate(keys=[_part" in starts
+
+
+def test_hot_and_missing_keys_are_split_in_a_lookup_without_broadcast(spark):
+    """A third of the rows share one code and a third have none."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    row = F.col("id")
+    code = F.when(row % 3 == 0, F.lit("hot")).when(row % 3 == 2, (row % 5000).cast("string"))
+    feed = spark.range(600_000).select(
+        row.alias("ord"), code.alias("item_code"), F.repeat(row.cast("string"), 4).alias("pad")
+    )
+    products = spark.range(5000).select(
+        (row + 1).alias("id"), F.when(row == 3, "hot").otherwise(row.cast("string")).alias("code")
+    )
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = lookups.with_product_id(feed, products, spread_by=["ord"])
+        by_rest = found.groupBy(F.col("product_id") % 7).agg(F.count("*"), F.max("pad"))
+        assert sum(r[1] for r in by_rest.collect()) == 600_000
+        plan = plan_of(by_rest)
+        counts = found.agg(F.count("*"), F.count("item_code"), F.count("product_id")).first()
+        joined = [x for x in plan.splitlines() if "SortMergeJoin" in x]
+        assert joined and all("[_key" in x for x in joined)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert "skew=true" in plan
+    missing = sum(1 for i in range(2, 600_000, 3) if i % 5000 == 3)
+    assert tuple(counts) == (600_000, 400_000, 400_000 - missing)
