@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 # Stored types of amounts and of catalogue discounts.
 MONEY = T.DecimalType(25, 5)
+CENTS = T.DecimalType(25, 2)
 DISCOUNT = T.DecimalType(10, 4)
 
 # Types that text cells are read into before any arithmetic.

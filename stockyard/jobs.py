@@ -37,8 +37,8 @@ _PRODUCTS = T.StructType(
         T.StructField("id", T.LongType()),
         T.StructField("code", T.StringType()),
         T.StructField("name", T.StringType()),
-        T.StructField("cost", numbers.PRICE),
-        T.StructField("price", numbers.PRICE),
+        T.StructField("cost", numbers.MONEY),
+        T.StructField("price", numbers.MONEY),
     ]
 )
 _SUPPLIERS = T.StructType(
@@ -68,18 +68,21 @@ def stored(
     return table.filter(F.col("run_id").cast("string") != run_id).select(*schema.names)
 
 
-def read_catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Products of one or several parquet tables; empty where none is named."""
+def read_catalogue(spark: SparkSession, paths: list[str], run_id: str) -> DataFrame:
+    """Products of one or several parquet tables, without those of this run; empty where
+    none is named."""
     tables = [spark.read.parquet(p) for p in paths] or [spark.createDataFrame([], _PRODUCTS)]
-    whole = tables[0]
-    for table in tables[1:]:
-        whole = whole.unionByName(table, allowMissingColumns=True)
+    whole = None
+    for table in tables:
+        if "run_id" in table.columns:
+            table = table.filter(F.col("run_id").cast("string") != run_id).drop("run_id")
+        whole = table if whole is None else whole.unionByName(table, allowMissingColumns=True)
     return whole
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     """Run one job and write what it posts."""
-    products = read_catalogue(spark, args.catalogue)
+    products = read_catalogue(spark, args.catalogue, args.run_id)
     at = datetime.fromisoformat(args.at)
 
     def table(name: str, schema: T.StructType = _IDS) -> DataFrame:

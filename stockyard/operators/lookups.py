@@ -73,7 +73,8 @@ def with_supplier_or_default(
 ) -> DataFrame:
     """Adds supplier id and name by supplier name, else those of the default supplier.
 
-    ``supplier_known`` tells the two apart. Of stored suppliers that share a name the one with the smallest id counts.
+    ``supplier_known`` tells the two apart. Of stored suppliers that share a name the one
+    with the smallest id counts.
     """
     known = suppliers.groupBy(F.col("name").alias(key)).agg(F.min("id").alias("_id"))
     found = look_up(feed, known, key, ["_id"], spread_by)

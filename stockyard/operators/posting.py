@@ -10,23 +10,36 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stockyard.functions.numbers import money
+from stockyard.functions.numbers import CENTS, MONEY, money
 from stockyard.operators.ordinals import next_id
 from stockyard.settings import Posting
 
-# Header and item columns that every flow posts as zero or empty.
-HEADER_ZEROS = (
-    "old_total_net_purchase",
-    "product_discount",
-    "order_discount",
-    "total_discount",
-    "product_tax",
-    "order_tax",
-    "shipping",
-    "paid",
-)
-ITEM_ZEROS = ("item_discount", "discount1", "discount2", "second_discount_value")
+# Header and item columns that every flow posts as zero or empty, by type.
+HEADER_ZEROS = {
+    "old_total_net_purchase": MONEY,
+    "product_discount": CENTS,
+    "order_discount": MONEY,
+    "total_discount": MONEY,
+    "product_tax": MONEY,
+    "order_tax_id": T.IntegerType(),
+    "order_tax": MONEY,
+    "shipping": CENTS,
+    "paid": MONEY,
+    "purchase_invoice": T.IntegerType(),
+    "is_transfer": T.IntegerType(),
+    "transfer_id": T.IntegerType(),
+    "location_to": T.IntegerType(),
+    "transfer_by": T.IntegerType(),
+}
+ITEM_ZEROS = {
+    "item_discount": MONEY,
+    "discount1": MONEY,
+    "discount2": CENTS,
+    "second_discount_value": MONEY,
+    "bonus": CENTS,
+}
 ITEM_BLANKS = ("discount", "serial_number", "warehouse_shelf")
 
 # Movement types, the sign of their quantity and the end they happen at.
@@ -40,7 +53,6 @@ _SUMS = {
     "total_items": "item_quantity",
     "total_tax": "item_total_vat",
     "transfer_tax": "total_sale_vat",
-    "transfer_total": "total_sale",
 }
 
 
@@ -48,6 +60,12 @@ def _total(column: str) -> Column:
     return money(F.sum(column))
 
 
+def _sums() -> list[Column]:
+    """Header sums, and the transfer total, which is stored in two places."""
+    totals = [_total(source).alias(name) for name, source in _SUMS.items()]
+    return [*totals, F.sum("total_sale").cast(CENTS).alias("transfer_total")]
+
+
 def _moment(run_time: datetime) -> Column:
     return F.lit(run_time)
 
@@ -58,16 +76,14 @@ def batch_totals(items: DataFrame, group: str = "batch_id") -> DataFrame:
     Items that are dropped later for a bad expiry still count in the sums; they are
     reported beside them.
     """
-    sums = [_total(source).alias(name) for name, source in _SUMS.items()]
     counts = [
         F.count(F.lit(1)).alias("items_read"),
         F.count_if(~F.col("expiry_ok")).alias("items_dropped"),
     ]
-    return items.groupBy(group).agg(*sums, *counts)
+    return items.groupBy(group).agg(*_sums(), *counts)
 
 
 def _header_constants(headers: DataFrame, posting: Posting, run_time: datetime) -> DataFrame:
-    zero = money(F.lit(0))
     return headers.withColumns(
         {
             "reference_no": F.lit(posting.reference_no),
@@ -75,7 +91,8 @@ def _header_constants(headers: DataFrame, posting: Posting, run_time: datetime)
             "warehouse_id": F.lit(posting.source.id),
             "note": F.lit(posting.note),
             "total_net_purchase": F.col("total"),
-            **{name: zero for name in HEADER_ZEROS},
+            **{name: F.lit(0).cast(kind) for name, kind in HEADER_ZEROS.items()},
+            "order_discount_id": F.lit(""),
             "status": F.lit("received"),
             "created_by": F.lit(posting.created_by),
             "invoice_number": F.lit(posting.invoice_number),
@@ -104,10 +121,9 @@ def category_totals(
     Only the supplier's id goes through the aggregate, whose fixed-width buffer keeps it
     a hash aggregate; its name is joined to the headers afterwards.
     """
-    sums = [_total(source).alias(name) for name, source in _SUMS.items()]
     known_id = F.when(F.col("supplier_known"), F.col("supplier_id"))
     totals = items.groupBy(group).agg(
-        *sums,
+        *_sums(),
         F.count(F.lit(1)).alias("items_read"),
         F.count_if(~F.col("expiry_ok")).alias("items_dropped"),
         F.max_by(known_id, "ord").alias("supplier_id"),
@@ -161,7 +177,8 @@ def purchases_per_supplier(
     )
     headers = per_name.groupBy(*within, "supplier_id").agg(
         F.min_by("supplier_name", "_first").alias("supplier"),
-        *[_total(name).alias(name) for name in (*sums, "transfer_total")],
+        *[_total(name).alias(name) for name in sums],
+        F.sum("transfer_total").cast(CENTS).alias("transfer_total"),
         F.sum("items_read").alias("items_read"),
     )
     return _header_constants(headers, posting, run_time)
@@ -180,6 +197,7 @@ def transfers(totals: DataFrame, posting: Posting, run_time: datetime) -> DataFr
         F.lit(posting.destination.code).alias("to_warehouse_code"),
         F.lit(posting.destination.name).alias("to_warehouse_name"),
         F.lit(posting.note).alias("note"),
+        F.lit("").alias("attachment"),
         F.col("total_sale").alias("total"),
         F.col("total").alias("total_cost"),
         F.col("transfer_tax").alias("total_tax"),
@@ -225,9 +243,8 @@ def _item_columns(posting: Posting, run_time: datetime) -> dict[str, Column]:
         "quantity_received": quantity,
         "option_id": F.lit(None).cast("int"),
         "batchno": F.col("item_batch_number"),
-        "bonus": F.lit(0),
         "avz_item_code": F.col("avz_item_code"),
-        **{name: money(F.lit(0)) for name in ITEM_ZEROS},
+        **{name: F.lit(0).cast(kind) for name, kind in ITEM_ZEROS.items()},
         **{name: F.lit("") for name in ITEM_BLANKS},
     }
 

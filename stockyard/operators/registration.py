@@ -28,7 +28,7 @@ def products_first(
         "code",
         F.col("item_name").alias("name"),
         F.col("item_name").alias("name_ar"),
-        F.col("vat_value").alias("tax_rate"),
+        F.col("vat_value").cast(numbers.PERCENT).alias("tax_rate"),
     )
 
 
@@ -44,9 +44,9 @@ def products_priced(
         "code",
         F.col("item_name").alias("name"),
         F.col("item_name").alias("name_ar"),
-        F.col("item_cost_price").alias("cost"),
-        F.col("item_sale_price").alias("price"),
-        F.lit(PRICED_TAX_RATE).alias("tax_rate"),
+        numbers.money(F.col("item_cost_price")).alias("cost"),
+        numbers.money(F.col("item_sale_price")).alias("price"),
+        F.lit(PRICED_TAX_RATE).cast(numbers.PERCENT).alias("tax_rate"),
     )
 
 
@@ -72,8 +72,8 @@ def products_by_category(
         F.col("code").alias("item_code"),
         F.col("item_name").alias("name"),
         "category_id",
-        F.col("item_cost_price").alias("cost"),
-        F.col("item_sale_price").alias("price"),
+        numbers.money(F.col("item_cost_price")).alias("cost"),
+        numbers.money(F.col("item_sale_price")).alias("price"),
     )
 
 
@@ -100,10 +100,10 @@ def products_last_in_first_batch(
         "code",
         F.col("code").alias("item_code"),
         F.col("item_name").alias("name"),
-        F.col("item_cost_price").alias("cost"),
-        F.col("item_sale_price").alias("price"),
+        numbers.money(F.col("item_cost_price")).alias("cost"),
+        numbers.money(F.col("item_sale_price")).alias("price"),
         F.lit(None).cast("bigint").alias("category_id"),
-        F.lit(STANDARD_TAX_RATE).alias("tax_rate"),
+        F.lit(STANDARD_TAX_RATE).cast(numbers.PERCENT).alias("tax_rate"),
     )
 
 
@@ -123,7 +123,8 @@ def new_suppliers(
         "name",
         F.col("name").alias("name_ar"),
         F.lit(defaults.company).alias("company"),
-        F.lit(defaults.level).alias("level"),
+        F.lit(defaults.level).cast("int").alias("level"),
+        F.lit(None).cast("int").alias("external_id"),
     )
 
 

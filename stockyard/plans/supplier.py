@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from calendar import timegm
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -24,7 +26,12 @@ def supplier_import(
     code_digits: int = ITEM_CODE_DIGITS,
     used_codes: int = 0,
 ) -> dict[str, DataFrame]:
-    """Tables posted by one feed of the supplier layout, typed and with ``ord``."""
+    """Tables posted by one feed of the supplier layout, typed and with ``ord``.
+
+    The reference number is made of the run time in seconds; it repeats and is no key.
+    """
+    number = f"PR-{timegm(run_time.timetuple())}"
+    settings = replace(settings, reference_no=number, invoice_number=number)
     rows = cleaning.fill_text_defaults(with_line_totals(cleaning.drop_null_key(feed)))
     new_products = with_new_ids(
         registration.products_first(rows, products, ["ord"]), products, ["code"]

@@ -70,11 +70,12 @@ _SUPPLIER_SUMS = sums(
     total_sale="item_total_sale_price",
     total_tax="item_total_vat",
     grand_total="item_total_after_vat",
-    transfer_total="COALESCE(total_sale, 0)",
 )
 _BY_SUPPLIER = f"""
 SELECT supplier_id, ARG_MIN(supplier_name, ROW({K})) AS supplier, COUNT(*) AS items_read,
-  {_SUPPLIER_SUMS} FROM lines WHERE supplier_id IS NOT NULL GROUP BY supplier_id
+  {_SUPPLIER_SUMS},
+  CAST(CAST(SUM(COALESCE(total_sale, 0)) AS DECIMAL(25,2)) AS DOUBLE) AS transfer_total
+  FROM lines WHERE supplier_id IS NOT NULL GROUP BY supplier_id
 """
 _SUPPLIER = [
     "supplier_id", "supplier", "items_read", "total", "total_sale", "total_tax", "grand_total",
@@ -108,7 +109,9 @@ def purchase_category_flow(t: Tables) -> DataFrame:
     "transfer_per_batch",
     f"""SELECT batch_id, 32 AS from_warehouse_id, 42 AS to_warehouse_id, 'completed' AS status,
     {sums(total="item_total_sale_price", total_cost="item_total_cost_price",
-          total_tax="total_sale_vat", grand_total="total_sale")} FROM posted GROUP BY batch_id""",
+          total_tax="total_sale_vat")},
+    CAST(CAST(SUM(total_sale) AS DECIMAL(25,2)) AS DOUBLE) AS grand_total
+    FROM posted GROUP BY batch_id""",
 )
 def transfer_per_batch(t: Tables) -> DataFrame:
     totals = posting.batch_totals(posted_rows(t))

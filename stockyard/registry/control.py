@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockyard.functions.measures import with_line_totals
 from stockyard.operators import acceptance, cleaning, posting, reporting, updates
 from stockyard.operators.ordinals import with_batch, with_item_code
-from stockyard.registry.core import KEYS, RUN_TIME, Tables, amount, amounts, query, sums
+from stockyard.registry.core import RUN_TIME, Tables, amount, query, sums
 from stockyard.registry.inputs import batch_purchases, numbered_posting
 from stockyard.registry.lookups import image_update
 from stockyard.registry.scans import as_text, write_csv

@@ -57,7 +57,7 @@ def register_products_first(t: Tables) -> DataFrame:
     "register_products_priced",
     f"""SELECT item_code AS code, item_name AS name, item_name AS name_ar,
     {amount("COALESCE(item_cost_price, 0)", "cost")},
-    {amount("COALESCE(item_sale_price, 0)", "price")}, 5 AS tax_rate
+    {amount("COALESCE(item_sale_price, 0)", "price")}, {amount("5", "tax_rate")}
     FROM ({_first("item_code", "item_code IS NOT NULL")}) f
     WHERE item_code NOT IN (SELECT code FROM catalogue)""",
 )
@@ -100,7 +100,7 @@ def compare_existing(t: Tables) -> DataFrame:
 @query(
     "upsert_last_in_first_batch",
     f"""SELECT item_code AS code, item_name AS name, {amount("item_cost_price", "cost")},
-    {amount("item_sale_price", "price")}, 1 AS tax_rate
+    {amount("item_sale_price", "price")}, {amount("1", "tax_rate")}
     FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_code ORDER BY ord // 1000, ord DESC)
           AS place FROM ordered WHERE item_code IS NOT NULL) o
     WHERE place = 1 AND item_code NOT IN (SELECT code FROM catalogue)""",
@@ -143,12 +143,13 @@ def supplier_or_default(t: Tables) -> DataFrame:
     "register_suppliers",
     """SELECT (SELECT MAX(id) FROM known_suppliers) + ROW_NUMBER() OVER (ORDER BY name) AS id,
     4 AS group_id, 'supplier' AS group_name, name, name AS name_ar,
-    'Main company' AS company, 1 AS level
+    'Main company' AS company
     FROM (SELECT DISTINCT supplier_name AS name FROM feed
           WHERE supplier_name NOT IN (SELECT name FROM known_suppliers)) s""",
 )
 def register_suppliers(t: Tables) -> DataFrame:
-    return registration.new_suppliers(t.feed, t.view("known_suppliers"))
+    found = registration.new_suppliers(t.feed, t.view("known_suppliers"))
+    return found.drop("level", "external_id")
 
 
 _CATEGORY_COLUMNS = """name AS code, name, LOWER(REPLACE(name, ' ', '-')) AS slug, parent_id,

@@ -76,12 +76,12 @@ CATEGORY = Posting(
 
 @dataclass(frozen=True)
 class SupplierDefaults:
-    """Constants of a newly registered supplier."""
+    """Constants of a newly registered supplier; its level is left open."""
 
     group_id: int = 4
     group_name: str = "supplier"
     company: str = "Main company"
-    level: int = 1
+    level: int | None = None
 
 
 @dataclass(frozen=True)

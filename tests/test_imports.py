@@ -382,6 +382,15 @@ def test_jobs_run_from_files_and_can_be_repeated(spark, tmp_path):
     codes = [r.code for r in table("products").collect()]
     assert len(codes) == len(set(codes))
 
+    priced = [{**r, "item_code": f"9{i}.0"} for i, r in enumerate(supplier_rows(50))]
+    write_csv(tmp_path / "priced.csv", priced, layouts.SUPPLIER)
+    job("priced-products", tmp_path / "priced.csv", "r3", "--catalogue", f"{root}/products")
+    job("priced-products", tmp_path / "priced.csv", "r3", "--catalogue", f"{root}/products")
+    products = table("products").collect()
+    assert [r for r in products if r.run_id == "r3"]
+    assert len({r.code for r in products}) == len(products)
+    assert {r.tax_rate for r in products if r.run_id == "r1"} == {Decimal(1)}
+
     sheet = tmp_path / "images.csv"
     sheet.write_text("product_code,image_url\nhot,http://a\nhot,http://b\nnope,http://c\n")
     job("images", sheet, "v1", "--catalogue", f"{root}/products/run_id=r1")

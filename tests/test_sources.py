@@ -93,7 +93,10 @@ def test_positional_ignores_header_text(spark, tmp_path):
     assert rows_of(rows) == [("1,2", "http://a"), (None, 'x "y"')]
 
 
-@pytest.mark.parametrize("layout, width", [("STANDARD", 15), ("SUPPLIER", 11), ("CATEGORY", 19), ("BARCODE", 18), ("DISCOUNT", 7)])
+@pytest.mark.parametrize(
+    "layout, width",
+    [("STANDARD", 15), ("SUPPLIER", 11), ("CATEGORY", 19), ("BARCODE", 18), ("DISCOUNT", 7)],
+)
 def test_layout_widths(layout, width):
     assert len(set(getattr(layouts, layout))) == width
 
