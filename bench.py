@@ -44,6 +44,9 @@ HEADLINE = [
     "import_counters",
     "category_vat",
     "line_totals",
+    "standard_import",
+    "supplier_import",
+    "category_import",
 ]
 
 

@@ -5,7 +5,15 @@ from __future__ import annotations
 
 def load() -> tuple[dict, dict]:
     """All queries and their SQL, by name."""
-    from stockyard.registry import aggregates, cleaning, control, lookups, measures, scans  # noqa: F401
+    from stockyard.registry import (  # noqa: F401
+        aggregates,
+        cleaning,
+        control,
+        imports,
+        lookups,
+        measures,
+        scans,
+    )
     from stockyard.registry.core import ORACLES, QUERIES
 
     return QUERIES, ORACLES
