@@ -10,6 +10,7 @@ from stockyard.llm import quality
 from stockyard.llm.fingerprints import edit_report
 from stockyard.llm.html import with_main_text
 from stockyard.llm.language import remainder, train, with_language
+from stockyard.llm.lm import with_lm_scores
 from stockyard.llm.mixing import mix
 from stockyard.llm.neardup import near_duplicates
 from stockyard.llm.packing import pack
@@ -39,6 +40,13 @@ def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return with_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document by a model of four fifths of them."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    marked = docs.withColumn("held_out", remainder("doc_id", 5) == 1)
+    return with_lm_scores(marked, ~F.col("held_out"), VOCABULARY)
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words outside repeated 35-word windows, as a digest per document."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -85,6 +93,7 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_text": op2_html_text,
+    "op3_lm_score": op3_lm_score,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_shards": op5_token_shards,
     "op6_source_mix": op6_source_mix,
