@@ -2,11 +2,15 @@
 
 A rule bounds a ratio of two counts of a text, in percent, from a number of words on.
 Ratios are compared by multiplying integers, so there is no rounding.
+
+All counts and the verdict are one expression that binds each step to a name (a lambda
+over an array of one), so a filter on the verdict, which the optimizer moves below the
+projection, costs no more than the projection did.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +60,11 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.size(F.split(text, pattern)) - 1
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _covered(places: Column) -> Column:
     """Words covered by windows that start at these places, in order."""
     steps = F.transform(
@@ -64,80 +73,106 @@ def _covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts that rules use, as bigint; a null text has none of anything.
+def _repeated_places(hashes: Column) -> Column:
+    """Where windows stand whose hash occurs again, in order."""
+    placed = F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("i")))
+    return _let(
+        F.sort_array(placed),
+        lambda ranked: F.sort_array(
+            F.transform(
+                F.filter(
+                    ranked,
+                    lambda x, k: (x["h"] == F.get(ranked, k + 1)["h"])
+                    | (F.when(k > 0, x["h"] == F.get(ranked, k - 1)["h"]).otherwise(False)),
+                ),
+                lambda x: x["i"],
+            )
+        ),
+    )
+
 
-    Repeated windows are windows of equal 64-bit hash within one text. Only a text that has
-    any sorts them, by hash and place, so no text costs more than sorting its words.
-    Stop words count where they stand in lower case and alone, as most of them do.
+def _repeat_words(words: Column) -> Column:
+    """Words in windows that are found twice or more.
+
+    Windows are told apart by a 64-bit hash; only a text with equal ones sorts them.
     """
-    df = without(df, *COUNTS)
-    names = {}
-    for name in ("words", "hashes", "ranked", "places", "lines", "whole"):
-        names[name] = unused([*df.columns, *COUNTS, *names.values()], f"_{name}")
-    words, hashes, ranked, places, lines, whole = (F.col(quoted(n)) for n in names.values())
-
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(WINDOW)]))
-    placed = F.transform(hashes, lambda h, k: F.struct(h.alias("h"), (k + 1).alias("i")))
-    again = F.filter(
-        ranked,
-        lambda x, k: (x["h"] == F.get(ranked, k + 1)["h"])
-        | (F.when(k > 0, x["h"] == F.get(ranked, k - 1)["h"]).otherwise(False)),
+    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+    covered = _let(
+        hashed,
+        lambda hashes: F.when(
+            F.size(F.array_distinct(hashes)) < F.size(hashes), _let(_repeated_places(hashes), _covered)
+        ).otherwise(0),
     )
+    return F.when(F.size(words) > WINDOW, covered).otherwise(0)
 
-    df = df.withColumn(names["whole"], F.coalesce(F.col(quoted(text)), F.lit("")))
-    df = df.withColumns(
-        {
-            names["words"]: F.array_remove(F.split(whole, SPACES), ""),
-            names["lines"]: F.filter(F.split(whole, "\n"), lambda line: F.rlike(line, F.lit("[^\\x20\\x09-\\x0D]"))),
-        }
-    )
-    df = df.withColumn(names["hashes"], F.when(F.size(words) > WINDOW, hashed))
-    df = df.withColumn(
-        names["ranked"],
-        F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(placed)),
-    )
-    df = df.withColumn(names["places"], F.sort_array(F.transform(again, lambda x: x["i"])))
-    counts = {
-        "n_words": F.size(words),
-        "word_chars": F.length(F.array_join(words, "")),
-        "n_symbols": _matches(whole, SYMBOLS),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": F.coalesce(_covered(places), F.lit(0)),
-        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
-        "n_exclamations": _matches(whole, "!"),
-        "n_lines": F.size(lines),
-    }
-    df = df.withColumns({name: count.cast("bigint") for name, count in counts.items()})
-    return df.drop(*names.values())
-
-
-def failures(rules: Sequence[Rule] = RULES) -> Column:
-    """Names of the rules that a row with counts breaks, in the order of the table."""
+
+def _failures(counts: Column, rules: Sequence[Rule]) -> Column:
+    """Names of the rules that these counts break, in the order of the table."""
     broken = []
     for rule in rules:
-        part = 100 * F.col(rule.part)
-        whole = F.lit(1) if rule.whole == "one" else F.col(rule.whole)
+        part = 100 * counts[rule.part]
+        whole = F.lit(1) if rule.whole == "one" else counts[rule.whole]
         bad = F.lit(False)
         if rule.least is not None:
             bad = bad | (part < rule.least * whole)
         if rule.most is not None:
             bad = bad | (part > rule.most * whole)
-        broken.append(F.when(bad & (F.col("n_words") >= rule.from_words), F.lit(rule.name)))
+        broken.append(F.when(bad & (counts["n_words"] >= rule.from_words), F.lit(rule.name)))
     return F.array_compact(F.array(*broken))
 
 
+def verdict(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """A struct of the counts of a text, as bigint, and what the rules make of them.
+
+    A null text has none of anything. Stop words count where they stand in lower case and
+    alone, as most of them do.
+    """
+
+    def counts(whole: Column) -> Column:
+        split = F.array_remove(F.split(whole, SPACES), "")
+        filled = F.filter(F.split(whole, "\n"), lambda line: F.rlike(line, F.lit("[^\\x20\\x09-\\x0D]")))
+        return _let(F.struct(split.alias("words"), filled.alias("lines")), lambda s: of_parts(whole, s))
+
+    def of_parts(whole: Column, parts: Column) -> Column:
+        words, lines = parts["words"], parts["lines"]
+        made = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": _matches(whole, SYMBOLS),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": _repeat_words(words),
+            "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
+            "n_exclamations": _matches(whole, "!"),
+            "n_lines": F.size(lines),
+        }
+        return F.struct(*[made[name].cast("bigint").alias(name) for name in COUNTS])
+
+    def judged(c: Column) -> Column:
+        base = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+        return _let(
+            F.struct(base.alias("base"), _failures(c, rules).alias("failed")),
+            lambda j: F.struct(
+                *[c[name].alias(name) for name in COUNTS],
+                j["base"].alias("base_failed"),
+                j["failed"].alias("failed_rules"),
+                (~j["base"] & (F.size(j["failed"]) == 0)).alias("kept"),
+            ),
+        )
+
+    return _let(F.coalesce(text, F.lit("")), lambda whole: _let(counts(whole), judged))
+
+
 def with_quality(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Adds the counts, ``base_failed``, ``failed_rules`` (names) and ``kept``.
 
     A null, empty or blank text has no words and is not kept. Columns with a name of an
     added one are replaced; repeated rows get the same verdict.
     """
-    counted = with_counts(without(df, "base_failed", "failed_rules", "kept"), text)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = counted.withColumns({"base_failed": base, "failed_rules": failures(rules)})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    made = [*COUNTS, "base_failed", "failed_rules", "kept"]
+    found = unused([*df.columns, *made], "verdict")
+    judged = without(df, *[m for m in made if m != text.lower()]).withColumn(found, verdict(F.col(quoted(text)), rules))
+    return judged.select(*[F.col(quoted(c)) for c in judged.columns if c != found], f"{found}.*")
 
 
 def _rule_sql(rule: Rule) -> str:

@@ -23,25 +23,24 @@ from stockyard.llm.tokens import encoder
 from stockyard.staging import new_folder
 
 SHARD_IDS = 1 << 20
-# Bytes of text per range of document ids.
+# Most bytes of text per range of document ids, as far as the ids allow.
 RANGE_BYTES = 1 << 24
 
 _SHARD = "range int, shard int, n_docs bigint, n_ids bigint, base bigint, docs binary, ends binary, ids binary"
 
 
 def id_ranges(df: DataFrame, key: str, text: str) -> np.ndarray:
-    """Upper ends of ranges of ``key`` that hold about ``RANGE_BYTES`` of text each.
+    """Ends of ranges of ``key`` that hold about ``RANGE_BYTES`` of text each at most.
 
-    A few numbers per range, from an approximate quantile over one light column.
+    There is a range per shuffle partition at least. One number per range comes from an
+    approximate quantile over one light column.
     """
     size = df.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
-    ranges = int(size // RANGE_BYTES) + 1
-    if ranges == 1:
-        return np.zeros(0, np.int64)
+    ranges = max(int(size // RANGE_BYTES) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / ranges for i in range(1, ranges)]
     accuracy = max(10_000, 20 * ranges)
-    ends = df.agg(F.percentile_approx(quoted(key), shares, accuracy)).first()[0] or []
-    return np.unique(np.array(ends, np.int64))
+    ends = df.agg(F.percentile_approx(quoted(key), shares, accuracy)).first()[0] if shares else None
+    return np.unique(np.array(ends or [], np.int64))
 
 
 def write_shards(
@@ -112,7 +111,7 @@ def write_shards(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(ranges) + 2)
     ordered = encoded.repartition(parts, "range").sortWithinPartitions("range", "key", "ids")
     ordered.mapInArrow(write, _SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
-    # One row per shard: at most one per MiB of ids and two per range.
+    # One row per shard: at most one per MiB of ids and two per range and partition.
     sizes = spark.read.parquet(f"{path}/shards").select("range", "shard", "n_ids")
     before = Window.orderBy("range", "shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
