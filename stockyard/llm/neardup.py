@@ -7,10 +7,10 @@ the order they have in the text. Two texts share a sketch with a chance that fal
 their edit distance, and blocks that change places lower it, too. A band joins two
 sketches; texts that share a band are candidates.
 
-Within a band only the text with the smallest number is aligned with each other one, and
-those that do not fit form the next, smaller group, until none is left that has not been
-compared: a group costs a pair per member and kind, not a pair per pair. A pair is a link
-if the banded alignment keeps ``least`` of the words of the longer text. Classes are the
+Within a band only the text with the smallest number is aligned with each other one; those
+that do not fit it form smaller groups by one more band they share, and so on, until no
+group is left: a group costs a pair per member and round, not all its pairs. A pair is a
+link if the banded alignment keeps ``least`` of the words of the longer text. Classes are the
 connected components of the links.
 """
 
@@ -29,7 +29,8 @@ from stockyard.staging import stage
 
 WORDS = 5
 LEAST = 0.8
-# With two thirds of shingles shared by a sketch's chance of 0.64, 24 bands of two miss 3 in a million.
+# A sketch is shared with a chance of about 0.64 at a likeness of 0.8; of 24 bands of two, all
+# differ for 3 pairs in a million.
 BANDS = 24
 _U64 = np.uint64
 _MOST = np.iinfo(np.uint64).max
@@ -117,7 +118,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def align(batches):
         for batch in batches:
-            both = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")])
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 sides = []
@@ -135,23 +135,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return found.mapInArrow(align, "a bigint, b bigint, linked boolean")
 
 
-def links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """All links found among ``members``, rows of (key, row) that share a band."""
-    found, left = None, members
+def links(members: DataFrame, table: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The links found among ``members``, rows (key, row, band) that share a band's key.
+
+    Each round aligns the members of a group with its head, the smallest row. Members that
+    do not fit it are grouped anew, by their group and one more band, a later one each
+    time, so texts that share a band by chance part soon and the rounds come to an end.
+    Texts alike in 0.8 of their shingles share ten bands or so.
+    """
+    done, left = None, members
     while True:
         heads = left.groupBy("key").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n"))
-        offers = stage(
-            left.join(heads.where("n > 1"), "key").where("row <> head").select("key", "row", "head"),
-            "offers",
-        )
+        grouped = left.join(heads.where("n > 1").select("key", "head"), "key").where("row <> head")
+        offers = stage(grouped.select("key", "row", "band", "head"), "offers")
         pairs = offers.select(F.col("row").alias("a"), F.col("head").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         checked = stage(_verified(pairs, texts, least), "checked")
-        linked = checked.where("linked").select("a", "b")
-        found = linked if found is None else found.union(linked)
-        failed = checked.where("NOT linked").select(F.col("a").alias("row"), F.col("b").alias("head"))
-        left = stage(offers.join(failed, ["row", "head"]).select("key", "row"), "left")
+        done = checked if done is None else done.union(checked)
+        failed = done.where("NOT linked").select(F.col("a").alias("row"), F.col("b").alias("head"))
+        rest = offers.join(failed, ["row", "head"]).join(table.select("row", "bands"), "row")
+        finer = rest.select("row", "key", "band", F.posexplode("bands").alias("next", "value")).where("next > band")
+        left = stage(finer.select(F.xxhash64("key", "value").alias("key"), "row", F.col("next").alias("band")), "left")
         if left.isEmpty():
-            return found
+            return done.where("linked").select("a", "b")
 
 
 def near_duplicates(
@@ -175,14 +182,15 @@ def near_duplicates(
     groups = stage(table.groupBy("h1", "h2").agg(F.min("row").alias("head")), "groups")
     heads = groups.select(F.col("head").alias("row"))
 
-    banded = table.where("some").join(heads, "row", "left_semi").select("row", F.explode("bands").alias("key"))
+    single = table.where("some").join(heads, "row", "left_semi")
+    banded = single.select("row", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stage(banded.join(shared, "key"), "members")
     involved = members.select("row").distinct()
     texts = rows.select(F.col(quoted(row)).alias("row"), F.col(quoted(column)).alias("text"))
     texts = stage(texts.join(involved, "row", "left_semi"), "candidates")
 
-    roots = components(links(members, texts, least)).withColumnRenamed("node", "head")
+    roots = components(links(members, table, texts, least)).withColumnRenamed("node", "head")
     placed = (
         table.select("row", "h1", "h2")
         .join(groups, ["h1", "h2"])
