@@ -2,7 +2,8 @@
 
 Cells hold ISO dates as a rule. The lenient form also takes the formats below,
 tried in this order; a date with slashes or hyphens is read month first, and day
-first only where that fails.
+first only where that fails. A month without a day is its first day; of two-digit
+years, those from 69 on belong to the century before.
 """
 
 from __future__ import annotations
@@ -22,23 +23,49 @@ LENIENT_FORMATS = (
     "MMM d, yyyy",
     "d MMMM yyyy",
     "MMMM d, yyyy",
+    "MMM yyyy",
+    "MMMM yyyy",
+    "MMM-yyyy",
+    "M/yyyy",
+    "M-yyyy",
+    "yyyyMMdd",
+    "d.M.yyyy",
+    "yyyy.M.d",
+    "d/MMM/yyyy",
+    "MMM d yyyy",
+    "MMMM d yyyy",
 )
+SHORT_FORMATS = (
+    "M/d/yy",
+    "d/M/yy",
+    "M-d-yy",
+    "d-M-yy",
+    "d.M.yy",
+    "d-MMM-yy",
+    "d MMM yy",
+)
+FIRST_SHORT_YEAR = 2069
 FIRST_DAY = "1677-09-22"
 LAST_DAY = "2262-04-11"
 LAST_YEAR = 2262
 
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_SHAPED = r"\d[-/ ]|[A-Za-z]{3} "
+_SHAPED = r"\d[-/ .]|[A-Za-z]{3,}[- ]|^\d{8}$"
+_SHORT = r"[-/. ]\d{2}$"
 
 
 def lenient_date(text: Column) -> Column:
     """Text as a date in any accepted format; null where none fits."""
     iso = text.try_cast("timestamp_ntz").cast("date")
-    # Ten parsers are tried only on text that looks like one of their formats.
+    # The parsers are tried only on text that looks like one of their formats.
     other = F.when(
         text.rlike(_SHAPED), F.coalesce(*[F.try_to_date(text, f) for f in LENIENT_FORMATS])
     )
-    return F.coalesce(iso, other)
+    short = F.when(
+        text.rlike(_SHORT), F.coalesce(*[F.try_to_date(text, f) for f in SHORT_FORMATS])
+    )
+    century = F.when(F.year(short) >= FIRST_SHORT_YEAR, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(iso, other, century)
 
 
 def strict_expiry(text: Column) -> Column:

@@ -15,6 +15,8 @@ DISCOUNT = T.DecimalType(10, 4)
 PRICE = T.DecimalType(18, 6)
 QUANTITY = T.DecimalType(14, 4)
 PERCENT = T.DecimalType(9, 4)
+# Wide enough for any id or amount that a cell may hold, before it is checked.
+WIDE = T.DecimalType(38, 6)
 
 
 def money(value: Column) -> Column:
@@ -27,6 +29,11 @@ def parse(text: Column, number_type: T.DataType = PRICE) -> Column:
     return text.try_cast(number_type)
 
 
+def parse_id(text: Column) -> Column:
+    """Text as a whole number, cut at the point; null where it does not parse."""
+    return parse(text, WIDE).try_cast("bigint")
+
+
 def parse_grouped(text: Column, number_type: T.DataType = PRICE) -> Column:
     """Text with thousands commas as a number; null where it does not parse."""
     return parse(F.replace(text, F.lit(","), F.lit("")), number_type)

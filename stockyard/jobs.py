@@ -3,8 +3,10 @@
     spark-submit stockyard/jobs.py standard --feed in/ --catalogue products/ \\
         --store store/ --run-id 42
 
-The store holds one folder per table and one partition per run. A run that is repeated
-replaces its own partition; ids already handed out by other runs are never used again.
+The store holds one folder per table and one partition per run, read once the run is
+committed. A run that is repeated takes the place of its earlier attempt; ids already handed
+out by other runs are never used again. ``--catalogue`` names a parquet table, the products
+of a store, or a catalogue written by the image and discount jobs, whose latest version counts.
 """
 
 from __future__ import annotations
@@ -22,15 +24,12 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from stockyard.functions import numbers  # noqa: E402
-from stockyard.operators.ordinals import with_ordinal  # noqa: E402
+from stockyard.operators.cleaning import without_numeric_key  # noqa: E402
 from stockyard.plans import catalogue, category, standard, supplier  # noqa: E402
-from stockyard.sources import layouts, store, workbooks  # noqa: E402
-from stockyard.sources.delimited import (  # noqa: E402
-    drop_promoted_header,
-    scan_named_checked,
-    scan_positional,
-)
-from stockyard.staging import stage  # noqa: E402
+from stockyard.operators import updates  # noqa: E402
+from stockyard.shipping import ship_package  # noqa: E402
+from stockyard.sources import feeds, layouts, store  # noqa: E402
+from stockyard.sources.delimited import drop_promoted_header  # noqa: E402
 
 _PRODUCTS = T.StructType(
     [
@@ -49,12 +48,8 @@ _IDS = T.StructType([T.StructField("id", T.LongType())])
 
 
 def read_feed(spark: SparkSession, path: str, layout: tuple[str, ...]) -> DataFrame:
-    """A CSV or workbook feed as text cells with ``ord``, staged for its many readers."""
-    if path.lower().endswith((".xlsx", ".xlsm")):
-        rows = workbooks.by_position(workbooks.read_workbooks(spark, path), layout)
-        placed = stage(rows.withColumnRenamed("ord", "_at"), "cells")
-        return with_ordinal(placed, ["source_file", "_at"]).drop("_at")
-    return scan_positional(spark, path, layout, ordinal=True)
+    """A feed of CSV files and workbooks as text cells with ``ord``, staged for its readers."""
+    return feeds.read_positional(spark, path, layout)
 
 
 def stored(
@@ -65,23 +60,24 @@ def stored(
         table = store.read_runs(spark, root, name)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    return table.filter(F.col("run_id").cast("string") != run_id).select(*schema.names)
+    return table.filter(F.col("run_id") != run_id).select(*schema.names)
 
 
 def read_catalogue(spark: SparkSession, paths: list[str], run_id: str) -> DataFrame:
     """Products of one or several parquet tables, without those of this run; empty where
     none is named."""
-    tables = [spark.read.parquet(p) for p in paths] or [spark.createDataFrame([], _PRODUCTS)]
+    tables = [store.read_table(spark, p) for p in paths] or [spark.createDataFrame([], _PRODUCTS)]
     whole = None
     for table in tables:
         if "run_id" in table.columns:
-            table = table.filter(F.col("run_id").cast("string") != run_id).drop("run_id")
+            table = table.filter(F.col("run_id") != run_id).drop("run_id")
         whole = table if whole is None else whole.unionByName(table, allowMissingColumns=True)
     return whole
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     """Run one job and write what it posts."""
+    ship_package(spark)
     products = read_catalogue(spark, args.catalogue, args.run_id)
     at = datetime.fromisoformat(args.at)
 
@@ -117,13 +113,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             feed, products, list(layouts.SUPPLIER), at
         )
     elif args.job == "images":
-        sheet = scan_named_checked(spark, args.feed, ordinal=True)
+        sheet = feeds.read_named(spark, args.feed)
         posted = catalogue.apply_images(products, sheet)
+        posted["not-found"] = updates.images_not_found(products, sheet)
     else:
         sheet = drop_promoted_header(read_feed(spark, args.feed, layouts.DISCOUNT))
         posted = catalogue.apply_discounts(products, sheet)
+        posted["not-found"] = updates.discounts_not_found(products, sheet)
+        posted["left-out"] = without_numeric_key(sheet, "item_no")
 
-    for name in ("report", "counters", "comparison"):
+    for name in ("report", "counters", "comparison", "not-found", "left-out"):
         if name in posted:
             store.write_report(posted.pop(name), f"{args.store}/reports/{name}-{args.run_id}")
     if args.job in ("images", "discounts"):

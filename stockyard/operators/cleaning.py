@@ -70,9 +70,18 @@ def with_slug(df: DataFrame, name: str = "name") -> DataFrame:
 def coerce_numeric(
     df: DataFrame, key: str, columns: Sequence[str], number_type=numbers.PRICE
 ) -> DataFrame:
-    """Numbers from text, null where it does not parse; rows without a numeric key go."""
-    typed = df.withColumns({c: numbers.parse(F.col(c), number_type) for c in [key, *columns]})
-    return typed.filter(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("bigint"))
+    """Numbers from text, null where it does not parse; rows without a numeric key go.
+
+    :func:`without_numeric_key` gives the rows that go.
+    """
+    values = {c: numbers.parse(F.col(c), number_type) for c in columns}
+    typed = df.withColumns({key: numbers.parse_id(F.col(key)), **values})
+    return typed.filter(F.col(key).isNotNull())
+
+
+def without_numeric_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows that :func:`coerce_numeric` leaves out, as they stand."""
+    return df.filter(numbers.parse_id(F.col(key)).isNull())
 
 
 def with_strict_expiry(df: DataFrame, raw: str = "item_expiry_date") -> DataFrame:

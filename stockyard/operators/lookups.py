@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from stockyard.operators.cleaning import distinct_values
 
-# Stand-ins for missing keys: a mark that no key starts with, and how many there are.
-_NO_KEY = "\0none-"
-_NULL_SPREAD = 4096
-
 
 def existing_keys(feed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct feed keys that are stored."""
@@ -40,15 +36,19 @@ def look_up(
 
     Null keys match nothing, yet a plain left join sends all their rows to one
     partition. ``spread_by`` names feed columns whose hash stands in for a missing key
-    instead; a hash gives a repeated task the same places.
+    instead, next to a mark that no stored key has; a hash gives a repeated task the same
+    places, and there are as many places as rows.
     """
     known = stored.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *columns)
     if not spread_by:
         return feed.withColumn("_key", F.col(key)).join(known, "_key", "left").drop("_key")
-    place = F.pmod(F.xxhash64(*spread_by), F.lit(_NULL_SPREAD)).cast("string")
-    stand_in = F.concat(F.lit(_NO_KEY), place)
-    keyed = feed.withColumn("_key", F.coalesce(F.col(key), stand_in))
-    return keyed.join(known, "_key", "left").drop("_key")
+    keyed = feed.withColumns(
+        {
+            "_has": F.col(key).isNotNull(),
+            "_key": F.coalesce(F.col(key), F.xxhash64(*spread_by).cast("string")),
+        }
+    )
+    return keyed.join(known.withColumn("_has", F.lit(True)), ["_has", "_key"], "left").drop("_has", "_key")
 
 
 def with_product_id(
@@ -58,8 +58,11 @@ def with_product_id(
     stored_key: str = "code",
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Adds ``product_id`` by code, null where the code is unknown."""
-    known = products.select(F.col(stored_key).alias(key), F.col("id").alias("product_id"))
+    """Adds ``product_id`` by code, null where the code is unknown.
+
+    Of stored products that share a code the one with the smallest id counts.
+    """
+    known = products.groupBy(F.col(stored_key).alias(key)).agg(F.min("id").alias("product_id"))
     return look_up(feed, known, key, ["product_id"], spread_by)
 
 
@@ -93,15 +96,15 @@ def compare_existing(
 ) -> DataFrame:
     """File values beside the stored ones for codes that are stored, with difference flags.
 
-    ``feed`` holds one row per code.
+    ``feed`` holds one row per code; of stored products that share a code the one with the
+    smallest id counts.
     """
     sheet = feed.select(
         F.col(key).alias("code"), F.col(name).alias("file_name"), F.col(cost).alias("file_cost")
     )
-    stored = products.select(
-        "code", F.col("name").alias("stored_name"), F.col("cost").alias("stored_cost")
-    )
-    return sheet.join(stored, "code").withColumns(
+    values = F.struct(F.col("name").alias("stored_name"), F.col("cost").alias("stored_cost"))
+    first = products.groupBy("code").agg(F.min_by(values, "id").alias("_stored"))
+    return sheet.join(first.select("code", "_stored.*"), "code").withColumns(
         {
             "name_differs": ~F.col("file_name").eqNullSafe(F.col("stored_name")),
             "cost_differs": ~F.col("file_cost").eqNullSafe(F.col("stored_cost")),

@@ -17,46 +17,33 @@ from pyspark.sql import types as T
 from stockyard.settings import BATCH_ROWS, ITEM_CODE_DIGITS
 from stockyard.staging import stage
 
-# Bytes of input files per partition of a full sort: 100 TB gives about 100,000.
-_SORT_BYTES = 1 << 30
-# Sizes from here on are Spark's mark for inputs of unknown size.
-_UNKNOWN_SIZE = 1 << 62
-
 # monotonically_increasing_id holds the partition above the row's place in it.
 _ROW_BITS = 33
 
 
-def _sort_partitions(df: DataFrame) -> int | None:
-    """How many partitions a full sort needs beyond the session's number, if any.
-
-    Adaptive execution merges small shuffle partitions but never makes more of them than
-    the session asks for, so a large input is given its own number.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    wanted = sum(s for s in sizes if s < _UNKNOWN_SIZE) // _SORT_BYTES
-    given = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return wanted if wanted > given else None
-
-
-def _sorted(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
-    partitions = _sort_partitions(df)
+def _sorted(df: DataFrame, keys: Sequence[str | Column], partitions: int | None) -> DataFrame:
+    """Rows in order, in ranges of all keys; as many as the session shuffles to by default."""
     if partitions is None:
-        return df.orderBy(*keys)
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
 
 
 def with_ordinal(
-    df: DataFrame, keys: Sequence[str | Column], name: str = "ord", stage_as: str = "ordered"
+    df: DataFrame,
+    keys: Sequence[str | Column],
+    name: str = "ord",
+    stage_as: str = "ordered",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds the position of each row, from 0, under the given sort keys.
 
     The sort is range partitioned on all keys, so one hot first key does not have to
     fit a single task. Where many rows may share all keys, end the list with a
-    column that tells them apart, such as the row index of the source file. The
+    column that tells them apart, such as path and row index of the source file. The
     sorted rows are staged, and every later reader sees the same positions.
+    ``partitions`` says into how many ranges rows are sorted, one per GiB or so.
     """
-    ranked = _sorted(df, keys).withColumn("_seq", F.monotonically_increasing_id())
+    ranked = _sorted(df, keys, partitions).withColumn("_seq", F.monotonically_increasing_id())
     placed = stage(ranked, stage_as)
     part = F.shiftright("_seq", _ROW_BITS)
     row = F.col("_seq").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
@@ -64,7 +51,7 @@ def with_ordinal(
 
     sizes = numbered.groupBy("_part").agg((F.max("_row") + 1).alias("_rows"))
     starts = stage(_running_start(sizes, Window.orderBy("_part")), f"{stage_as}-starts")
-    # One row per sort partition: the session's number, or one per GiB of input.
+    # One row per sort partition.
     located = numbered.join(F.broadcast(starts.drop("_rows")), "_part")
     return located.withColumn(name, F.col("_start") + F.col("_row")).drop(
         "_seq", "_part", "_row", "_start"

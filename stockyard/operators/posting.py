@@ -154,6 +154,8 @@ def purchases_per_supplier(
 ) -> DataFrame:
     """One purchase per supplier id, named as in its first row; null ids post nothing.
 
+    A sum of which every part is missing is 0.
+
     Rows are first summed per id and name. Over a numeric ``order`` column that is a hash
     aggregate; finding the first name among the few of a supplier then needs no sort of
     the feed.
@@ -170,7 +172,7 @@ def purchases_per_supplier(
         .groupBy(*within, "supplier_id", "supplier_name")
         .agg(
             F.min(position).alias("_first"),
-            *[F.sum(source).alias(name) for name, source in sums.items()],
+            *[F.coalesce(F.sum(source), F.lit(0)).alias(name) for name, source in sums.items()],
             F.sum(F.coalesce(F.col("total_sale"), F.lit(0))).alias("transfer_total"),
             F.count(F.lit(1)).alias("items_read"),
         )

@@ -60,9 +60,10 @@ def products_by_category(
 ) -> DataFrame:
     """Unknown products, the first row of each code, with the category of their group.
 
-    Of stored categories that share a name the one with the largest id counts.
+    Groups are stored without blanks around them and looked up so. Of stored categories
+    that share a name the one with the largest id counts.
     """
-    rows = cleaning.with_first_code(feed, code, "code")
+    rows = cleaning.trim_keys(cleaning.with_first_code(feed, code, "code"), [group])
     first = cleaning.keep_first(
         rows, "code", order, ["item_name", "item_cost_price", "item_sale_price", group]
     )

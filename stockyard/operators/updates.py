@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.functions.numbers import DISCOUNT
+from stockyard.functions.numbers import DISCOUNT, WIDE
 from stockyard.functions.text import strip
 from stockyard.operators.cleaning import coerce_numeric
 
@@ -83,6 +83,20 @@ def _rows_where(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("sheet_rows"))), F.lit(0))
 
 
+def images_not_found(products: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Codes of the image sheet without a product, and how many rows name each."""
+    rows = image_rows(sheet).groupBy(F.col("product_code").alias("code"))
+    return rows.agg(F.count(F.lit(1)).alias("sheet_rows")).join(
+        products.select("code").filter(F.col("code").isNotNull()), "code", "left_anti"
+    )
+
+
+def discounts_not_found(products: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Item numbers of the discount sheet without a product, and how many rows name each."""
+    rows = discount_rows(sheet).groupBy("id").agg(F.count(F.lit(1)).alias("sheet_rows"))
+    return rows.join(products.select("id"), "id", "left_anti")
+
+
 def image_counters(products: DataFrame, sheet: DataFrame) -> DataFrame:
     """One row: sheet rows loaded, updated and not found."""
     rows = image_rows(sheet).withColumnRenamed("product_code", "code")
@@ -100,9 +114,10 @@ def discount_rows(sheet: DataFrame) -> DataFrame:
     """
     names = {"cash_dis": "cash_discount", "credit_dis": "credit_discount"}
     renamed = sheet.withColumnsRenamed(names).withColumnRenamed("item_no", "id")
-    typed = coerce_numeric(renamed, "id", DISCOUNT_COLUMNS)
+    typed = coerce_numeric(renamed, "id", DISCOUNT_COLUMNS, WIDE)
     too_large = [F.coalesce(F.abs(F.col(c)) >= _DISCOUNT_LIMIT, F.lit(False)) for c in DISCOUNT_COLUMNS]
-    return typed.withColumn("in_error", F.greatest(*too_large))
+    checked = typed.withColumn("in_error", F.greatest(*too_large))
+    return checked.withColumns({c: F.col(c).try_cast(DISCOUNT) for c in DISCOUNT_COLUMNS})
 
 
 def update_discounts(products: DataFrame, sheet: DataFrame, order: str = "ord") -> DataFrame:

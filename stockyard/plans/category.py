@@ -88,7 +88,9 @@ def category_import(
         "inventory_movements": posting.movements(
             posted, settings, run_time, with_transfer=False, keep=("ord",)
         ),
-        "quarantine": acceptance.quarantined_rows(rows, verdicts),
+        "quarantine": acceptance.left_out(
+            acceptance.quarantined_rows(rows, verdicts), "batch refused"
+        ).unionByName(acceptance.left_out(good.filter("NOT expiry_ok"), "no date")),
         "run_log": acceptance.run_log(verdicts, "category import", run_time),
         "report": reporting.with_grand_total(reporting.purchase_report(purchases, items)),
     }

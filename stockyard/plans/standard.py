@@ -59,7 +59,9 @@ def standard_import(
             posted, settings, run_time, keep=("transfer_id", "ord")
         ),
         "inventory_movements": posting.movements(posted, settings, run_time, keep=("ord",)),
-        "quarantine": acceptance.quarantined_rows(rows, verdicts),
+        "quarantine": acceptance.left_out(
+            acceptance.quarantined_rows(rows, verdicts), "batch refused"
+        ).unionByName(acceptance.left_out(good.filter("NOT expiry_ok"), "no date")),
         "run_log": acceptance.run_log(verdicts, "standard import", run_time),
         "report": reporting.with_grand_total(report),
     }

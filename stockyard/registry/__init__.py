@@ -9,6 +9,7 @@ def load() -> tuple[dict, dict]:
         aggregates,
         cleaning,
         control,
+        extras,
         imports,
         lookups,
         measures,

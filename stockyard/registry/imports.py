@@ -77,7 +77,7 @@ def supplier(t: Tables) -> DataFrame:
     """Items with the ids of their order, purchase and, new ones included, product."""
     tables = supplier_import(
         t.ordered, t.view("catalogue"), _last_id(t, 1000), _last_id(t, 2000), RUN_TIME,
-        code_digits=12,
+        code_digits=12, required=(),
     )
     return tables["purchase_items"].select(
         "order_id", "purchase_id", "ord", "product_id", "product_code", "product_name",

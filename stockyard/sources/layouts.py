@@ -71,7 +71,7 @@ def typed(df: DataFrame, keep_text: Sequence[str] = ()) -> DataFrame:
 
     def read(column: str, number_type: T.DataType) -> Column:
         if isinstance(number_type, T.LongType):
-            return numbers.parse(F.col(column)).cast(number_type)
+            return numbers.parse_id(F.col(column))
         return numbers.parse(F.col(column), number_type)
 
     types = {c: _number_type(c) for c in df.columns if c not in keep_text}

@@ -1,10 +1,24 @@
-"""Stored tables: lookups, posted runs, catalogue snapshots and report files."""
+"""Stored tables: lookups, posted runs, catalogue snapshots and report files.
+
+Every write of a run or a version goes to a folder of its own, named by the attempt, and
+counts once a line in the commits says so. A run that fails half way, or one that is being
+repeated, is therefore never read, and a repeat cannot empty what it reads itself. Run
+ids, versions and attempts are text, whatever they look like.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_TEXT_PARTITIONS = ("run_id", "version", "drop_id", "attempt")
+_COMMIT = "name string, attempt string, at bigint"
 
 # Posting order: headers before the rows that refer to them.
 POSTING_ORDER = (
@@ -28,34 +42,91 @@ def scan_store(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> D
     return table.select(*columns) if columns else table
 
 
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table whose run ids and versions stay text, such as ``007``."""
+    found = spark.read.parquet(path).schema
+    text = [
+        T.StructField(f.name, T.StringType()) if f.name in _TEXT_PARTITIONS else f for f in found
+    ]
+    return spark.read.schema(T.StructType(text)).parquet(path)
+
+
+def _commit(spark: SparkSession, path: str, name: str, attempt: str) -> None:
+    row = spark.createDataFrame([(name, attempt, time.time_ns())], _COMMIT)
+    row.coalesce(1).write.mode("append").parquet(path)
+
+
+def _committed(spark: SparkSession, path: str) -> DataFrame:
+    """The last committed attempt of each run or version, one row each."""
+    rows = spark.read.schema(_COMMIT).parquet(path)
+    return rows.groupBy("name").agg(F.max_by("attempt", "at").alias("attempt"), F.max("at").alias("at"))
+
+
 def append_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
     """Write the tables of one run, each into its own partition of the stored table.
 
-    A run that is repeated replaces its partition, so nothing is posted twice.
+    The run counts once all of them are written. A run that is repeated takes the place of
+    its earlier attempt, so nothing is posted twice.
     """
     unknown = set(tables) - set(POSTING_ORDER)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
+    attempt = uuid4().hex
     for name in POSTING_ORDER:
         if name in tables:
-            tables[name].write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}")
+            tables[name].write.parquet(f"{root}/{name}/run_id={run_id}/attempt={attempt}")
+            spark = tables[name].sparkSession
+    if tables:
+        _commit(spark, f"{root}/commits", run_id, attempt)
 
 
 def read_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """All runs of a stored table, with the run id as text."""
-    return spark.read.parquet(f"{root}/{name}")
+    """All committed runs of a stored table, with the run id as text."""
+    table = read_partitioned(spark, f"{root}/{name}")
+    return table.join(_committed(spark, f"{root}/commits").select("attempt"), "attempt", "left_semi").drop("attempt")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, the latest version of a snapshot, or the committed runs of a store.
+
+    ``path`` may also be one run of a stored table.
+    """
+    try:
+        return read_latest(spark, path)
+    except AnalysisException:
+        table = read_partitioned(spark, path)
+    if "attempt" not in table.columns:
+        return table
+    parent = path.rstrip("/").rsplit("/", 1)[0]
+    for root in (parent, parent.rsplit("/", 1)[0]):
+        try:
+            done = _committed(spark, f"{root}/commits").select("attempt")
+        except AnalysisException:
+            continue
+        return table.join(done, "attempt", "left_semi").drop("attempt")
+    raise ValueError(f"no run of {path} has been committed")
 
 
 def rewrite_snapshot(df: DataFrame, root: str, version: str) -> DataFrame:
-    """Write an updated table as a new version and return it as read back.
+    """Write an updated table as a version and return it as read back.
 
-    The version must be new: the one that was read is never overwritten.
+    What was read is never overwritten: a repeat of a version takes the place of the
+    earlier attempt when it is complete.
     """
-    path = f"{root}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
+    attempt = uuid4().hex
+    path = f"{root}/version={version}/attempt={attempt}"
+    df.write.parquet(path)
+    _commit(df.sparkSession, f"{root.rstrip('/')}.commits", version, attempt)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    """The version of a snapshot that was committed last."""
+    done = _committed(spark, f"{root.rstrip('/')}.commits")
+    last = done.agg(F.max_by(F.struct("name", "attempt"), "at")).first()[0]
+    return spark.read.parquet(f"{root}/version={last.name}/attempt={last.attempt}")
+
+
 def write_report(report: DataFrame, path: str, file_format: str = "csv") -> None:
     """A report as CSV with a header, or as parquet."""
     writer = report.write.mode("overwrite")

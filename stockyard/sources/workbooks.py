@@ -46,13 +46,19 @@ def by_position(rows: DataFrame, layout: tuple[str, ...]) -> DataFrame:
 
     A file that could not be opened fails the job.
     """
-    refused = F.raise_error(F.concat_ws(": ", "source_file", "problem"))
-    good = F.when(F.col("problem").isNotNull(), refused.cast("boolean")).otherwise(F.lit(True))
     cells = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(layout)]
-    data = rows.filter(good).filter("ord > 0")
+    data = readable(rows).filter("ord > 0")
     return data.select("source_file", (F.col("ord") - 1).alias("ord"), *cells)
 
 
+def readable(rows: DataFrame) -> DataFrame:
+    """Rows as they are; a file that could not be read, or not to its end, fails the job."""
+    refused = F.raise_error(F.concat_ws(": ", "source_file", "problem"))
+    return rows.filter(
+        F.when(F.col("problem").isNotNull(), refused.cast("boolean")).otherwise(F.lit(True))
+    )
+
+
 def workbook_columns(rows: DataFrame) -> list[str]:
     """Header names of one workbook, none where there is no header to be read."""
     header = rows.filter("ord = 0 AND problem IS NULL").select("cells").head()

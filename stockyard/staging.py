@@ -16,8 +16,7 @@ _SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
-    given = spark.sparkContext._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get(_SETTING, None) or (given.get() if given.isDefined() else None)
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -148,7 +148,12 @@ def test_standard_transfer_and_quarantine(posted):
     sale = sum(Decimal(r["item_total_sale_price"]) for r in batch)
     vat = sum(Decimal(r["item_total_sale_price"]) * Decimal(r["vat_value"]) for r in batch)
     assert (header.total, header.total_tax, header.grand_total) == (five(sale), five(vat), five(sale + vat))
-    assert rows_of(tables["quarantine"], "ord") == [(i,) for i in range(90, 120)]
+    left = tables["quarantine"]
+    refused = left.filter("left_out_as = 'batch refused'")
+    assert rows_of(refused, "ord") == [(i,) for i in range(90, 120)]
+    undated = {r.ord for r in left.filter("left_out_as = 'no date'").collect()}
+    assert undated == {i for i in range(len(rows)) if not 90 <= i < 120
+                       and EXPIRIES[rows[i]["item_expiry_date"]] == "bad"}
     log = rows_of(tables["run_log"], "batch_id", "status", "reason")
     assert log[3] == (3, "failed", "item_total_sale_price") and log[2][1] == "completed"
     report = tables["report"].collect()
@@ -183,13 +188,37 @@ def supplier_rows(count=200, seed=9):
     ]
 
 
+def test_a_supplier_with_an_item_without_a_price_is_refused(spark):
+    rows = supplier_rows()
+    feed = layouts.typed(text_frame(spark, rows, layouts.SUPPLIER))
+    none = spark.createDataFrame([], "id long")
+    products = spark.createDataFrame([], "id long, code string")
+    tables = supplier.supplier_import(feed, products, none, none, AT)
+    reason = {}
+    faulty = {
+        r["supplier_id"] for r in rows
+        if r["item_code"] and r["supplier_id"] and r["item_sale_price"] is None
+    }
+    for i, r in enumerate(rows):
+        if r["item_code"] is None:
+            reason[i] = "no code"
+        elif r["supplier_id"] is None:
+            reason[i] = "no supplier"
+        elif r["supplier_id"] in faulty:
+            reason[i] = "supplier refused"
+    assert dict(rows_of(tables["quarantine"], "ord", "left_out_as")) == reason
+    assert tables["purchase_items"].count() == len(rows) - len(reason)
+    failed = {str(r.batch_id) for r in tables["run_log"].filter("status = 'failed'").collect()}
+    assert failed == faulty
+
+
 def test_supplier_import(spark):
     rows = supplier_rows()
     feed = layouts.typed(text_frame(spark, rows, layouts.SUPPLIER))
     products = spark.createDataFrame([(3, "1")], "id long, code string")
     purchases = spark.createDataFrame([(40,)], "id long")
     orders = spark.createDataFrame([(90,)], "id long")
-    tables = supplier.supplier_import(feed, products, purchases, orders, AT)
+    tables = supplier.supplier_import(feed, products, purchases, orders, AT, required=())
 
     groups = defaultdict(list)
     for i, r in enumerate(rows):
@@ -394,7 +423,7 @@ def test_jobs_run_from_files_and_can_be_repeated(spark, tmp_path):
     sheet = tmp_path / "images.csv"
     sheet.write_text("product_code,image_url\nhot,http://a\nhot,http://b\nnope,http://c\n")
     job("images", sheet, "v1", "--catalogue", f"{root}/products/run_id=r1")
-    catalogue_v1 = spark.read.parquet(f"{root}/catalogue/version=v1")
+    catalogue_v1 = store.read_latest(spark, f"{root}/catalogue")
     assert catalogue_v1.filter("image_url_new IS NOT NULL").first().image_url_new == "http://b"
     counters = spark.read.option("header", True).csv(f"{root}/reports/counters-v1").first()
     assert tuple(counters) == ("3", "2", "1")

@@ -67,19 +67,10 @@ def test_ordinal_is_the_sorted_position(spark, partitions):
     assert placed == dict(enumerate(sorted(data)))
 
 
-def test_a_large_input_is_sorted_in_more_partitions(spark, tmp_path, monkeypatch):
+def test_any_number_of_sort_partitions_gives_the_same_positions(spark):
     data, df = skewed(spark)
-    path = str(tmp_path / "rows")
-    df.write.parquet(path)
-    size = sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet"))
-    monkeypatch.setattr(ordinals, "_SORT_BYTES", size // 23)
-    stored = spark.read.parquet(path)
-    assert ordinals._sort_partitions(stored) >= 23
-    found = ordinals.with_ordinal(stored, ["a", "b", "i"])
+    found = ordinals.with_ordinal(df, ["a", "b", "i"], partitions=23)
     assert {r.ord: (r.a, r.b, r.i) for r in found.collect()} == dict(enumerate(sorted(data)))
-    monkeypatch.undo()
-    assert ordinals._sort_partitions(stored) is None
-    assert ordinals._sort_partitions(spark.createDataFrame(df.rdd, df.schema)) is None
 
 
 def test_ordinal_with_equal_keys_is_dense(spark):

@@ -10,7 +10,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from stockyard.registry.scans import _workbook
-from stockyard.sources import layouts, store, workbooks
+from stockyard.sources import feeds, layouts, store, workbooks
 from stockyard.sources.delimited import (
     MissingColumnsError,
     scan_named_checked,
@@ -139,13 +139,50 @@ def test_a_repeated_run_replaces_its_own_rows(spark, tmp_path):
         store.append_run({"purchase": spark.range(1)}, root, "c")
 
 
+def test_a_run_that_broke_off_is_not_read(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.append_run({"purchases": spark.range(2)}, root, "007")
+    broken = spark.range(3).select(F.raise_error(F.lit("lost")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        store.append_run({"purchases": spark.range(9), "purchase_items": broken}, root, "007")
+    with pytest.raises(Exception, match="lost"):
+        store.append_run({"purchases": spark.range(9), "purchase_items": broken}, root, "2024-01-01")
+    assert rows_of(store.read_runs(spark, root, "purchases").groupBy("run_id").count()) == [("007", 2)]
+
+
 def test_a_snapshot_never_overwrites_a_version(spark, tmp_path):
     root = str(tmp_path / "catalogue")
     first = store.rewrite_snapshot(spark.range(3), root, "1")
     second = store.rewrite_snapshot(first.withColumn("id", F.col("id") + 1), root, "2")
     assert rows_of(second) == [(1,), (2,), (3,)]
-    with pytest.raises(Exception, match="already exists"):
-        store.rewrite_snapshot(spark.range(1), root, "2")
+    again = store.rewrite_snapshot(second.filter("id > 1"), root, "2")
+    assert rows_of(again) == rows_of(store.read_latest(spark, root)) == [(2,), (3,)]
+    assert rows_of(second) == [(1,), (2,), (3,)]
+
+
+def test_folders_of_files_in_any_order_of_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("product_code,image_url\n1,u\n2,v\n")
+    (tmp_path / "b.csv").write_text("image_url,other,product_code\nw,x,3\n")
+    (tmp_path / "c.xlsx").write_bytes(_workbook([("image_url", "product_code"), ("y", "4")]))
+    (tmp_path / "d.xlsx").write_bytes(_workbook([("product_code", "image_url"), ("5", "z")]))
+    rows = feeds.read_named(spark, str(tmp_path))
+    assert rows_of(rows, "ord", "product_code", "image_url") == [
+        (0, "1", "u"), (1, "2", "v"), (2, "3", "w"), (3, "4", "y"), (4, "5", "z"),
+    ]
+    (tmp_path / "e.xlsx").write_bytes(b"PK no workbook")
+    with pytest.raises(Exception, match="e.xlsx"):
+        feeds.read_named(spark, str(tmp_path)).collect()
+    with pytest.raises(MissingColumnsError):
+        feeds.read_named(spark, str(tmp_path / "a.csv"), ["price"])
+
+
+def test_a_mixed_folder_by_position(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,u\n2,v\n")
+    (tmp_path / "b.xlsx").write_bytes(_workbook([("p", "q"), ("3", "w"), ("4", None)]))
+    rows = feeds.read_positional(spark, str(tmp_path), ("code", "name"))
+    assert rows_of(rows, "ord", "code", "name") == [
+        (0, "1", "u"), (1, "2", "v"), (2, "3", "w"), (3, "4", None),
+    ]
 
 
 @pytest.mark.parametrize("file_format", ["csv", "parquet"])
