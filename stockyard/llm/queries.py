@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.llm import quality
+from stockyard.llm import quality, substrings
 from stockyard.llm.fingerprints import edit_report
 from stockyard.llm.html import with_main_text
 from stockyard.llm.language import remainder, train, with_language
@@ -15,7 +15,6 @@ from stockyard.llm.mixing import mix
 from stockyard.llm.neardup import near_duplicates
 from stockyard.llm.packing import pack
 from stockyard.llm.shards import round_trip
-from stockyard.llm.substrings import drop_repeated_windows
 
 # The byte-level vocabulary; it is installed beside the library on every executor.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,7 +49,7 @@ def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words outside repeated 35-word windows, as a digest per document."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    cut = drop_repeated_windows(docs)
+    cut = substrings.drop_repeated_windows(docs)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -103,4 +102,4 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES = {"op1_quality_rules": quality.SQL}
+ORACLES = {"op1_quality_rules": quality.SQL, "op4_substring_dedup": substrings.SQL}

@@ -289,3 +289,28 @@ def _cut(df, texts, replies, column, chunk, place, size, bits, cells) -> DataFra
     left, right = texts.groupBy(quoted(chunk)), sender.groupBy(quoted(chunk))
     schema = added(df, "kept_text string, n_words bigint, n_removed bigint")
     return left.cogroup(right).applyInArrow(cut, schema)
+
+
+SQL = """
+WITH texts AS (
+  SELECT ROW_NUMBER() OVER () AS r, doc_id,
+    REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), windows AS (
+  SELECT r, i, ARRAY_TO_STRING(LIST_SLICE(w, i, i + 34), ' ') AS window_text
+  FROM (SELECT r, w, UNNEST(RANGE(1, LEN(w) - 33)) AS i FROM texts)
+), repeated AS (
+  SELECT r, i FROM windows QUALIFY COUNT(*) OVER (PARTITION BY window_text) > 1
+), covered AS (
+  SELECT DISTINCT r, i + k AS p FROM repeated, RANGE(35) AS steps(k)
+), words AS (
+  SELECT r, UNNEST(w) AS word, UNNEST(RANGE(1, LEN(w) + 1)) AS p FROM texts
+), kept AS (
+  SELECT r, STRING_AGG(word, ' ' ORDER BY p) AS kept_text, COUNT(*) AS n_kept
+  FROM words ANTI JOIN covered USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(LEN(w) AS BIGINT) AS n_words,
+  CAST(LEN(w) - COALESCE(n_kept, 0) AS BIGINT) AS n_removed,
+  SHA256(COALESCE(kept_text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
