@@ -7,9 +7,9 @@ the order they have in the text. Two texts share a sketch with a chance that fal
 their edit distance, and blocks that change places lower it, too. A band joins two
 sketches; texts that share a band are candidates.
 
-Within a band only the text with the smallest number is aligned with each other one; those
-that do not fit it form smaller groups by one more band they share, and so on, until no
-group is left: a group costs a pair per member and round, not all its pairs. A pair is a
+Within a band only the text with the smallest number is aligned with each other one; groups
+that then hold several classes are split by one more band their members share, and so on,
+until no group is left: a group costs a pair per member and round, not all its pairs. A pair is a
 link if the banded alignment keeps ``least`` of the words of the longer text. Classes are the
 connected components of the links.
 """
@@ -135,30 +135,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return found.mapInArrow(align, "a bigint, b bigint, linked boolean")
 
 
-def links(members: DataFrame, table: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The links found among ``members``, rows (key, row, band) that share a band's key.
+def linked_classes(members: DataFrame, table: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``node`` and ``root`` of every linked row among ``members``, rows (key, row, band).
 
-    Each round aligns the members of a group with its head, the smallest row. Members that
-    do not fit it are grouped anew, by their group and one more band, a later one each
-    time, so texts that share a band by chance part soon and the rounds come to an end.
-    Texts alike in 0.8 of their shingles share ten bands or so.
+    Members of one key share a band. Each round aligns the members of a group with its head,
+    the smallest row, unless both are in one class already, and joins the classes that a
+    link connects. A group that then still holds several classes is split by one more band
+    that its members share, a later one each time; a group within one class is done. So
+    texts that share a band by chance part soon, copies of one text cost one alignment
+    each, and the rounds come to an end. Texts alike in 0.8 of their shingles share ten
+    bands or so.
     """
-    done, left = None, members
+    done, roots, left = None, None, members
     while True:
-        heads = left.groupBy("key").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n"))
-        grouped = left.join(heads.where("n > 1").select("key", "head"), "key").where("row <> head")
-        offers = stage(grouped.select("key", "row", "band", "head"), "offers")
-        pairs = offers.select(F.col("row").alias("a"), F.col("head").alias("b")).distinct()
+        held = _rooted(left, roots)
+        groups = held.groupBy("key").agg(
+            F.min("row").alias("head"),
+            F.min_by("root", "row").alias("head_root"),
+            F.min("root").alias("low"),
+            F.max("root").alias("high"),
+        )
+        mixed = groups.where("low <> high").select("key", "head", "head_root")
+        offers = stage(held.join(mixed, "key").where("row <> head"), "offers")
+        pairs = offers.where("root <> head_root").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        checked = stage(_verified(pairs, texts, least), "checked")
-        done = checked if done is None else done.union(checked)
-        failed = done.where("NOT linked").select(F.col("a").alias("row"), F.col("b").alias("head"))
-        rest = offers.join(failed, ["row", "head"]).join(table.select("row", "bands"), "row")
-        finer = rest.select("row", "key", "band", F.posexplode("bands").alias("next", "value")).where("next > band")
-        left = stage(finer.select(F.xxhash64("key", "value").alias("key"), "row", F.col("next").alias("band")), "left")
+        done_now = stage(_verified(pairs, texts, least), "checked")
+        done = done_now if done is None else done.union(done_now)
+        roots = _merged(roots, done_now.where("linked").select("a", "b"))
+        rest = offers.select("row", "key", "band").union(
+            offers.select(F.col("head").alias("row"), "key", "band").distinct()
+        )
+        # Two members have been compared with each other; three or more may not have been.
+        open_keys = _rooted(rest, roots).groupBy("key").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
+        )
+        rest = rest.join(open_keys.where("low <> high AND n > 2").select("key"), "key", "left_semi")
+        finer = rest.join(table.select("row", "bands"), "row").select(
+            "row", "key", "band", F.posexplode("bands").alias("next", "value")
+        )
+        finer = finer.where("next > band").select(
+            F.xxhash64("key", "value").alias("key"), "row", F.col("next").alias("band")
+        )
+        left = stage(finer, "left")
         if left.isEmpty():
-            return done.where("linked").select("a", "b")
+            return roots
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` with the root of each row, itself if it is not linked yet."""
+    if roots is None:
+        return rows.withColumn("root", F.col("row"))
+    found = rows.join(roots.withColumnRenamed("node", "row"), "row", "left")
+    return found.withColumn("root", F.coalesce("root", "row"))
+
+
+def _merged(roots: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """The classes after more links: components of the links between present classes."""
+    if roots is None:
+        return components(linked)
+    a = _rooted(linked.withColumnRenamed("a", "row"), roots).select(F.col("root").alias("a"), "b")
+    between = _rooted(a.withColumnRenamed("b", "row"), roots).select("a", F.col("root").alias("b"))
+    joined = components(between)
+    fresh = joined.join(roots.select("node"), "node", "left_anti")
+    above = joined.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+    return stage(moved.union(fresh), "roots")
 
 
 def near_duplicates(
@@ -185,12 +227,12 @@ def near_duplicates(
     single = table.where("some").join(heads, "row", "left_semi")
     banded = single.select("row", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stage(banded.join(shared, "key"), "members")
+    members = stage(banded.join(shared, "key").select("key", "row", "band"), "members")
     involved = members.select("row").distinct()
     texts = rows.select(F.col(quoted(row)).alias("row"), F.col(quoted(column)).alias("text"))
     texts = stage(texts.join(involved, "row", "left_semi"), "candidates")
 
-    roots = components(links(members, table, texts, least)).withColumnRenamed("node", "head")
+    roots = linked_classes(members, table, texts, least).withColumnRenamed("node", "head")
     placed = (
         table.select("row", "h1", "h2")
         .join(groups, ["h1", "h2"])

@@ -11,14 +11,15 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 # Pieces kept per process; full caches start afresh, which only costs time.
-_MOST_PIECES = 1_000_000
-_MOST_WORDS = 500_000
+_MOST_PIECES = 1_200_000
+_MOST_WORDS = 200_000
 
 # A blank that belongs to a longer run of white space, where no cut is safe.
 _RUN = re.compile(r" (?:\s|\Z)")
@@ -27,13 +28,14 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)")
 
 
 class Encoder:
-    """Ids of texts as little-endian arrays, two bytes per id where the vocabulary allows."""
+    """Ids of texts as arrays of the machine's order, two bytes per id where the vocabulary allows."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         described = json.loads(self.tokenizer.to_str())
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         self.special = [t["content"] for t in described["added_tokens"]]
         before = described["pre_tokenizer"] or {}
         self.cuts = (
@@ -54,14 +56,17 @@ class Encoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def word(self, mapped: str) -> bytes:
+    def fresh(self, mapped: str) -> bytes:
         """Ids of one pre-token, given in the byte alphabet of the vocabulary."""
+        return array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
+
+    def word(self, mapped: str) -> bytes:
+        """The same, kept for the next time."""
         found = self.words.get(mapped)
         if found is None:
             if len(self.words) >= _MOST_WORDS:
                 self.words.clear()
-            found = np.array([t.id for t in self.tokenize(mapped)], self.dtype).tobytes()
-            self.words[mapped] = found
+            found = self.words[mapped] = self.fresh(mapped)
         return found
 
     def piece(self, text: str) -> bytes:
@@ -94,10 +99,10 @@ class _Pieces(dict):
         plain = _PLAIN.fullmatch(part)
         if plain is None:
             found = self.encoder.piece(" " + part)
+        elif plain[2]:
+            found = self[plain[1]] + self.encoder.word(plain[2])
         else:
-            found = self.encoder.word(_mapped(" " + plain[1]))
-            if plain[2]:
-                found += self.encoder.word(plain[2])
+            found = self.encoder.fresh(_mapped(" " + part))
         self[part] = found
         return found
 

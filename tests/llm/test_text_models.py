@@ -137,3 +137,13 @@ def test_scores_of_the_table(spark, folder):
         assert r.n_known == 1 + sum(w in counts for w in mine)
         assert r.base_score == pytest.approx(worth(len(trained)) + sum(worth(counts[w]) for w in mine))
         assert math.isfinite(r.score) and r.score < 0
+
+
+def test_looked_up_scores_are_the_models():
+    draw = np.random.default_rng(3)
+    w = attention.Weights.start(30, np.ones(6) / 6)
+    w = w.like(w.flat() * 2)
+    inputs, targets, _ = attention.windows(np.append(draw.integers(0, 29, 200), 29), np.array([0, 201]), 30)
+    classes = np.where(targets >= 0, targets % 6, -1)
+    loss, _ = attention.gradients(w, inputs, classes)
+    assert -attention.log_probability(w, inputs, classes).sum() / 201 == pytest.approx(loss, rel=1e-4)
