@@ -7,9 +7,9 @@ the order they have in the text. Two texts share a sketch with a chance that fal
 their edit distance, and blocks that change places lower it, too. A band joins two
 sketches; texts that share a band are candidates.
 
-Within a band only the text with the smallest number is aligned with each other one; groups
-that then hold several classes are split by one more band their members share, and so on,
-until no group is left: a group costs a pair per member and round, not all its pairs. A pair is a
+Within a band each text is aligned with one other only, the head of the group; groups that
+then hold several classes are given other heads, until that links nothing more: a group
+costs a pair per member and round, not all its pairs. A pair is a
 link if the banded alignment keeps ``least`` of the words of the longer text. Classes are the
 connected components of the links.
 """
@@ -32,6 +32,8 @@ LEAST = 0.8
 # A sketch is shared with a chance of about 0.64 at a likeness of 0.8; of 24 bands of two, all
 # differ for 3 pairs in a million.
 BANDS = 24
+# Rounds of drawn heads before one without a new link ends the search.
+LEAST_ROUNDS = 2
 _U64 = np.uint64
 _MOST = np.iinfo(np.uint64).max
 
@@ -135,50 +137,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return found.mapInArrow(align, "a bigint, b bigint, linked boolean")
 
 
-def linked_classes(members: DataFrame, table: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``node`` and ``root`` of every linked row among ``members``, rows (key, row, band).
+def linked_classes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``node`` and ``root`` of every linked row among ``members``, rows (key, row).
 
-    Members of one key share a band. Each round aligns the members of a group with its head,
-    the smallest row, unless both are in one class already, and joins the classes that a
-    link connects. A group that then still holds several classes is split by one more band
-    that its members share, a later one each time; a group within one class is done. So
-    texts that share a band by chance part soon, copies of one text cost one alignment
-    each, and the rounds come to an end. Texts alike in 0.8 of their shingles share ten
-    bands or so.
+    Members of one key share a band. Each round aligns the members of a group with one of
+    them, its head, unless both are in one class already, and joins the classes that a
+    link connects. The head is the smallest row at first, which brings most classes
+    together at one alignment per member; groups that still hold several classes get
+    another head by a seeded draw, each group its own. So a text that differs from one head
+    meets others, as texts alike in 0.8 of their shingles share ten groups or so. It ends
+    when no group holds two classes, or when a whole round of drawn heads links nothing.
+    No round makes more pairs than there are members.
     """
-    done, roots, left = None, None, members
+    done, roots, left, number = None, None, members, 0
     while True:
         held = _rooted(left, roots)
-        groups = held.groupBy("key").agg(
-            F.min("row").alias("head"),
-            F.min_by("root", "row").alias("head_root"),
+        draw = F.col("row") if number == 0 else F.xxhash64(F.lit(number), "key", "row")
+        groups = held.withColumn("draw", draw).groupBy("key").agg(
+            F.min_by("row", "draw").alias("head"),
+            F.min_by("root", "draw").alias("head_root"),
             F.min("root").alias("low"),
             F.max("root").alias("high"),
         )
         mixed = groups.where("low <> high").select("key", "head", "head_root")
-        offers = stage(held.join(mixed, "key").where("row <> head"), "offers")
-        pairs = offers.where("root <> head_root").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct()
+        left = stage(held.join(mixed, "key"), "mixed")
+        pairs = left.where("root <> head_root").select(
+            F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")
+        )
+        pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        done_now = stage(_verified(pairs, texts, least), "checked")
-        done = done_now if done is None else done.union(done_now)
-        roots = _merged(roots, done_now.where("linked").select("a", "b"))
-        rest = offers.select("row", "key", "band").union(
-            offers.select(F.col("head").alias("row"), "key", "band").distinct()
-        )
-        # Two members have been compared with each other; three or more may not have been.
-        open_keys = _rooted(rest, roots).groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
-        )
-        rest = rest.join(open_keys.where("low <> high AND n > 2").select("key"), "key", "left_semi")
-        finer = rest.join(table.select("row", "bands"), "row").select(
-            "row", "key", "band", F.posexplode("bands").alias("next", "value")
-        )
-        finer = finer.where("next > band").select(
-            F.xxhash64("key", "value").alias("key"), "row", F.col("next").alias("band")
-        )
-        left = stage(finer, "left")
-        if left.isEmpty():
+        checked = stage(_verified(pairs, texts, least), "checked")
+        linked = checked.where("linked").select("a", "b")
+        if number >= LEAST_ROUNDS and linked.isEmpty():
+            return roots
+        done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
+        roots = _merged(roots, linked)
+        left, number = left.select("key", "row"), number + 1
+        if number > 1 and left.isEmpty():
             return roots
 
 
@@ -225,14 +221,14 @@ def near_duplicates(
     heads = groups.select(F.col("head").alias("row"))
 
     single = table.where("some").join(heads, "row", "left_semi")
-    banded = single.select("row", F.posexplode("bands").alias("band", "key"))
+    banded = single.select("row", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stage(banded.join(shared, "key").select("key", "row", "band"), "members")
+    members = stage(banded.join(shared, "key").select("key", "row"), "members")
     involved = members.select("row").distinct()
     texts = rows.select(F.col(quoted(row)).alias("row"), F.col(quoted(column)).alias("text"))
     texts = stage(texts.join(involved, "row", "left_semi"), "candidates")
 
-    roots = linked_classes(members, table, texts, least).withColumnRenamed("node", "head")
+    roots = linked_classes(members, texts, least).withColumnRenamed("node", "head")
     placed = (
         table.select("row", "h1", "h2")
         .join(groups, ["h1", "h2"])
