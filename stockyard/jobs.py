@@ -30,6 +30,7 @@ from stockyard.operators import updates  # noqa: E402
 from stockyard.shipping import ship_package  # noqa: E402
 from stockyard.sources import feeds, layouts, store  # noqa: E402
 from stockyard.sources.delimited import drop_promoted_header  # noqa: E402
+from stockyard.streaming.file_drop import import_runs  # noqa: E402
 
 _PRODUCTS = T.StructType(
     [
@@ -44,6 +45,7 @@ _SUPPLIERS = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("name", T.StringType())]
 )
 _CATEGORIES = T.StructType([*_SUPPLIERS.fields, T.StructField("parent_id", T.LongType())])
+_WATCH = "watch-"
 _IDS = T.StructType([T.StructField("id", T.LongType())])
 
 
@@ -75,54 +77,85 @@ def read_catalogue(spark: SparkSession, paths: list[str], run_id: str) -> DataFr
     return whole
 
 
-def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Run one job and write what it posts."""
-    ship_package(spark)
-    products = read_catalogue(spark, args.catalogue, args.run_id)
+LAYOUTS = {
+    "standard": layouts.STANDARD,
+    "supplier": layouts.SUPPLIER,
+    "category-metadata": layouts.CATEGORY,
+    "category": layouts.CATEGORY,
+    "priced-products": layouts.SUPPLIER,
+}
+REPORTS = ("report", "counters", "comparison", "not-found", "left-out")
+
+
+def post_feed(
+    spark: SparkSession, args: argparse.Namespace, job: str, run_id: str, feed: DataFrame, products: DataFrame
+) -> dict[str, DataFrame]:
+    """The tables and reports of one flow over a feed of text cells with ``ord``."""
     at = datetime.fromisoformat(args.at)
 
     def table(name: str, schema: T.StructType = _IDS) -> DataFrame:
-        return stored(spark, args.store, name, schema, args.run_id)
+        return stored(spark, args.store, name, schema, run_id)
 
-    if args.job == "standard":
-        feed = layouts.typed(read_feed(spark, args.feed, layouts.STANDARD))
-        posted = standard.standard_import(
-            feed, products, table("purchases"), table("transfers"), at
+    if job == "standard":
+        return standard.standard_import(
+            layouts.typed(feed), products, table("purchases"), table("transfers"), at
         )
-    elif args.job == "supplier":
-        feed = layouts.typed(read_feed(spark, args.feed, layouts.SUPPLIER))
-        posted = supplier.supplier_import(
-            feed, products, table("purchases"), table("purchase_orders"), at,
+    if job == "supplier":
+        return supplier.supplier_import(
+            layouts.typed(feed), products, table("purchases"), table("purchase_orders"), at,
             code_digits=args.code_digits, used_codes=args.used_codes,
         )
-    elif args.job == "category-metadata":
-        feed = read_feed(spark, args.feed, layouts.CATEGORY)
-        posted = category.category_metadata(
+    if job == "category-metadata":
+        return category.category_metadata(
             feed, table("suppliers", _SUPPLIERS), table("categories", _CATEGORIES)
         )
-    elif args.job == "category":
-        feed = read_feed(spark, args.feed, layouts.CATEGORY)
-        feed = layouts.typed(feed, keep_text=category.GROUPED_NUMBERS)
-        posted = category.category_import(
-            feed, products, table("suppliers", _SUPPLIERS), table("categories", _CATEGORIES),
+    if job == "category":
+        return category.category_import(
+            layouts.typed(feed, keep_text=category.GROUPED_NUMBERS), products,
+            table("suppliers", _SUPPLIERS), table("categories", _CATEGORIES),
             table("purchases"), table("transfers"), at,
         )
-    elif args.job == "priced-products":
-        feed = layouts.typed(read_feed(spark, args.feed, layouts.SUPPLIER))
-        posted = catalogue.register_priced_products(
-            feed, products, list(layouts.SUPPLIER), at
-        )
-    elif args.job == "images":
+    return catalogue.register_priced_products(layouts.typed(feed), products, list(layouts.SUPPLIER), at)
+
+
+def watch(spark: SparkSession, args: argparse.Namespace, job: str) -> None:
+    """One flow over the files that were dropped since the last time, a run per trigger.
+
+    Products that earlier drops registered are known to later ones.
+    """
+
+    def post(feed: DataFrame, run_id: str) -> dict[str, DataFrame]:
+        own = stored(spark, args.store, "products", T.StructType(_PRODUCTS.fields[:2]), run_id)
+        known = read_catalogue(spark, args.catalogue, run_id).unionByName(own, allowMissingColumns=True)
+        posted = post_feed(spark, args, job, run_id, feed, known)
+        for name in REPORTS:
+            if name in posted:
+                store.write_report(posted.pop(name), f"{args.store}/reports/{name}-{run_id}")
+        return posted
+
+    import_runs(spark, args.feed, LAYOUTS[job], post, args.store, f"{args.store}/drops-{job}")
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Run one job and write what it posts."""
+    ship_package(spark)
+    if args.job.startswith(_WATCH):
+        return watch(spark, args, args.job.removeprefix(_WATCH))
+    products = read_catalogue(spark, args.catalogue, args.run_id)
+    if args.job == "images":
         sheet = feeds.read_named(spark, args.feed)
         posted = catalogue.apply_images(products, sheet)
         posted["not-found"] = updates.images_not_found(products, sheet)
-    else:
+    elif args.job == "discounts":
         sheet = drop_promoted_header(read_feed(spark, args.feed, layouts.DISCOUNT))
         posted = catalogue.apply_discounts(products, sheet)
         posted["not-found"] = updates.discounts_not_found(products, sheet)
         posted["left-out"] = without_numeric_key(sheet, "item_no")
+    else:
+        feed = read_feed(spark, args.feed, LAYOUTS[args.job])
+        posted = post_feed(spark, args, args.job, args.run_id, feed, products)
 
-    for name in ("report", "counters", "comparison", "not-found", "left-out"):
+    for name in REPORTS:
         if name in posted:
             store.write_report(posted.pop(name), f"{args.store}/reports/{name}-{args.run_id}")
     if args.job in ("images", "discounts"):
@@ -137,12 +170,12 @@ def parser() -> argparse.ArgumentParser:
         "job",
         choices=[
             "standard", "supplier", "category-metadata", "category", "priced-products",
-            "images", "discounts",
+            "images", "discounts", "watch-standard", "watch-supplier", "watch-category",
         ],
     )
     result.add_argument("--feed", required=True)
     result.add_argument("--store", required=True)
-    result.add_argument("--run-id", required=True)
+    result.add_argument("--run-id", help="of every job that does not watch a folder")
     result.add_argument("--catalogue", action="append", default=[])
     result.add_argument("--at", default=datetime.now().isoformat(timespec="seconds"))
     result.add_argument("--code-digits", type=int, default=6)
@@ -150,7 +183,14 @@ def parser() -> argparse.ArgumentParser:
     return result
 
 
+def parsed(words: list[str] | None = None) -> argparse.Namespace:
+    args = parser().parse_args(words)
+    if args.run_id is None and not args.job.startswith(_WATCH):
+        parser().error("--run-id is missing")
+    return args
+
+
 if __name__ == "__main__":
     session = SparkSession.builder.appName("stock posting").getOrCreate()
-    run(session, parser().parse_args())
+    run(session, parsed())
     session.stop()

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from stockyard.operators.ordinals import file_marks, with_file_ordinal
 from stockyard.sources import layouts
 from stockyard.sources.delimited import POSITIONAL_OPTIONS
+from stockyard.sources.store import append_run
 
 Post = Callable[[DataFrame], DataFrame]
+PostRun = Callable[[DataFrame, str], dict[str, DataFrame]]
 
 
 def watch_folder(
@@ -42,7 +44,34 @@ def import_drops(
         numbered = with_file_ordinal(rows, per_file=True, stage_as="drop")
         post(numbered).write.mode("overwrite").parquet(f"{target}/drop_id={trigger}")
 
-    stream = watch_folder(spark, folder, layout, files_per_trigger)
+    _take(watch_folder(spark, folder, layout, files_per_trigger), land, checkpoint)
+
+
+def import_runs(
+    spark: SparkSession,
+    folder: str,
+    layout: tuple[str, ...],
+    post: PostRun,
+    root: str,
+    checkpoint: str,
+    files_per_trigger: int = 1000,
+) -> None:
+    """Import every file not seen before as a whole flow, then stop.
+
+    Each trigger is a run of the store under ``root``, named ``drop-<trigger>``. ``post``
+    gets its rows, with ``ord`` over all its files, and the name, and returns the tables of
+    the run, which count once all are written; a trigger that is repeated after a failure
+    takes the place of its earlier attempt.
+    """
+
+    def land(rows: DataFrame, trigger: int) -> None:
+        run_id = f"drop-{trigger}"
+        append_run(post(with_file_ordinal(rows, stage_as="drop"), run_id), root, run_id)
+
+    _take(watch_folder(spark, folder, layout, files_per_trigger), land, checkpoint)
+
+
+def _take(stream: DataFrame, land: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     query = (
         stream.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from conftest import rows_of
 from test_imports import supplier_rows, write_csv
 
+from stockyard import jobs
 from stockyard.operators.ordinals import file_marks, with_file_ordinal
 from stockyard.registry.control import post_supplier_drop
-from stockyard.sources import layouts
+from stockyard.sources import layouts, store
 from stockyard.sources.delimited import scan_positional
 from stockyard.streaming.file_drop import import_drops
 
@@ -38,3 +39,22 @@ def test_stream_equals_batch_and_takes_each_file_once(spark, tmp_path):
 
     write_csv(folder / "late.csv", supplier_rows(40, seed=8), layouts.SUPPLIER)
     assert rows_of(drop(spark, folder, tmp_path), *COLUMNS) == rows_of(batch(spark, folder), *COLUMNS)
+
+
+def test_whole_imports_of_drops_go_on_where_the_last_left_off(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    words = ["watch-supplier", "--feed", str(folder), "--store", root, "--at", "2025-06-01T08:00:00"]
+    priced = [{**r, "item_sale_price": "5.5"} for r in supplier_rows(80, seed=3)]
+    posted = 0
+    for n, rows in enumerate((priced[:50], priced[50:])):
+        write_csv(folder / f"f{n}.csv", rows, layouts.SUPPLIER)
+        jobs.run(spark, jobs.parsed(words))
+        posted += sum(bool(r["item_code"] and r["supplier_id"]) for r in rows)
+        assert store.read_runs(spark, root, "purchase_items").count() == posted
+    ids = [r.id for r in store.read_runs(spark, root, "purchases").collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
+    codes = [r.code for r in store.read_runs(spark, root, "products").collect()]
+    assert len(codes) == len(set(codes)) > 0
+    jobs.run(spark, jobs.parsed(words))
+    assert store.read_runs(spark, root, "purchase_items").count() == posted
