@@ -35,5 +35,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back from the shared folder."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
