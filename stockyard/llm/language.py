@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.frames import added, append, quoted, unused, without
-from stockyard.llm.words import mix, seeded, slices
+from stockyard.llm.frames import added, append, quoted, without
+from stockyard.llm.words import seeded, slices
 
 SIZE = 1 << 14
 SAMPLE = 4000

@@ -34,7 +34,6 @@ from stockyard.llm.words import (
     mix,
     range_hashes,
     seeded,
-    shingles,
     slices,
 )
 from stockyard.staging import stage
