@@ -32,8 +32,8 @@ LEAST = 0.8
 # A sketch is shared with a chance of about 0.64 at a likeness of 0.8; of 24 bands of two, all
 # differ for 3 pairs in a million.
 BANDS = 24
-# Rounds of drawn heads before one without a new link ends the search.
-LEAST_ROUNDS = 2
+# Heads that a group of several classes is given in a round.
+HEADS = 6
 _U64 = np.uint64
 _MOST = np.iinfo(np.uint64).max
 
@@ -144,32 +144,33 @@ def linked_classes(members: DataFrame, texts: DataFrame, least: float) -> DataFr
     them, its head, unless both are in one class already, and joins the classes that a
     link connects. The head is the smallest row at first, which brings most classes
     together at one alignment per member; groups that still hold several classes get
-    another head by a seeded draw, each group its own. So a text that differs from one head
-    meets others, as texts alike in 0.8 of their shingles share ten groups or so. It ends
-    when no group holds two classes, or when a whole round of drawn heads links nothing.
-    No round makes more pairs than there are members.
+    ``HEADS`` others by seeded draws, each group its own. So a text that differs from one
+    head meets others, as texts alike in 0.8 of their shingles share ten groups or so. It
+    ends when no group holds two classes, or when a whole round of drawn heads links
+    nothing. No round makes more pairs than members times heads.
     """
     done, roots, left, number = None, None, members, 0
     while True:
         held = _rooted(left, roots)
-        draw = F.col("row") if number == 0 else F.xxhash64(F.lit(number), "key", "row")
-        groups = held.withColumn("draw", draw).groupBy("key").agg(
-            F.min_by("row", "draw").alias("head"),
-            F.min_by("root", "draw").alias("head_root"),
-            F.min("root").alias("low"),
-            F.max("root").alias("high"),
+        draws = [F.col("row")] if number == 0 else [
+            F.xxhash64(F.lit(HEADS * number + i), "key", "row") for i in range(HEADS)
+        ]
+        chosen = [F.min_by(F.struct("row", "root"), draw) for draw in draws]
+        groups = held.groupBy("key").agg(
+            F.array(*chosen).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high")
         )
-        mixed = groups.where("low <> high").select("key", "head", "head_root")
+        mixed = groups.where("low <> high").select("key", "heads")
         left = stage(held.join(mixed, "key"), "mixed")
-        pairs = left.where("root <> head_root").select(
-            F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")
+        offers = left.select("row", "root", F.explode("heads").alias("head")).where("root <> head.root")
+        pairs = offers.select(
+            F.greatest("row", "head.row").alias("a"), F.least("row", "head.row").alias("b")
         )
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         checked = stage(_verified(pairs, texts, least), "checked")
         linked = checked.where("linked").select("a", "b")
-        if number >= LEAST_ROUNDS and linked.isEmpty():
+        if number and linked.isEmpty():
             return roots
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
         roots = _merged(roots, linked)
