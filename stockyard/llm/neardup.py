@@ -7,18 +7,19 @@ the order they have in the text. Two texts share a sketch with a chance that fal
 their edit distance, and blocks that change places lower it, too. A band joins two
 sketches; texts that share a band are candidates.
 
-Within a band each text is aligned with one other only, the head of the group; groups that
-then hold several classes are given other heads, until that links nothing more: a group
-costs a pair per member and round, not all its pairs. A pair is a
-link if the banded alignment keeps ``least`` of the words of the longer text. Classes are the
-connected components of the links.
+Within a band each text is first aligned with one other, the head of the group, and then with
+some drawn heads, which brings most classes together at a few pairs per member. In groups
+that still hold several classes all other pairs are settled, block by block: a pair in one
+class needs no test, bounds by length and common words rule most others out, and the rest are
+aligned. A pair is a link if the banded alignment keeps ``least`` of the words of the longer
+text. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.llm.alignment import similar
@@ -32,8 +33,14 @@ LEAST = 0.8
 # A sketch is shared with a chance of about 0.64 at a likeness of 0.8; of 24 bands of two, all
 # differ for 3 pairs in a million.
 BANDS = 24
-# Heads that a group of several classes is given in a round.
+# Heads that a group of several classes is given before all its pairs are settled.
 HEADS = 6
+# Members in a block of a large group; smaller groups are settled so many members at a time.
+BLOCK = 256
+BUNDLE = 2048
+# Cells of a text's counts of words, and of pairs of words, and pairs bounded at once.
+_CELLS = 512
+_PAIRS = 4096
 _U64 = np.uint64
 _MOST = np.iinfo(np.uint64).max
 
@@ -140,43 +147,126 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def linked_classes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``node`` and ``root`` of every linked row among ``members``, rows (key, row).
 
-    Members of one key share a band. Each round aligns the members of a group with one of
-    them, its head, unless both are in one class already, and joins the classes that a
-    link connects. The head is the smallest row at first, which brings most classes
-    together at one alignment per member; groups that still hold several classes get
-    ``HEADS`` others by seeded draws, each group its own. So a text that differs from one
-    head meets others, as texts alike in 0.8 of their shingles share ten groups or so. It
-    ends when no group holds two classes, or when a whole round of drawn heads links
-    nothing. No round makes more pairs than members times heads.
+    Members of one key share a band; ``texts`` has the text and the bands of each. The
+    members of a group are aligned with its smallest row, those of groups that hold several
+    classes with ``HEADS`` drawn ones, each group its own, and what is left then is settled
+    pair by pair. So at the end any two members of a group are in one class or not alike.
     """
-    done, roots, left, number = None, None, members, 0
-    while True:
+    roots, left = None, members
+    for number in range(2):
         held = _rooted(left, roots)
         draws = [F.col("row")] if number == 0 else [
             F.xxhash64(F.lit(HEADS * number + i), "key", "row") for i in range(HEADS)
         ]
         chosen = [F.min_by(F.struct("row", "root"), draw) for draw in draws]
-        groups = held.groupBy("key").agg(
-            F.array(*chosen).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high")
-        )
-        mixed = groups.where("low <> high").select("key", "heads")
+        mixed = _mixed(held, F.array(*chosen).alias("heads"))
         left = stage(held.join(mixed, "key"), "mixed")
         offers = left.select("row", "root", F.explode("heads").alias("head")).where("root <> head.root")
         pairs = offers.select(
             F.greatest("row", "head.row").alias("a"), F.least("row", "head.row").alias("b")
         )
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        checked = stage(_verified(pairs, texts, least), "checked")
-        linked = checked.where("linked").select("a", "b")
-        if number and linked.isEmpty():
-            return roots
-        done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
-        roots = _merged(roots, linked)
-        left, number = left.select("key", "row"), number + 1
-        if number > 1 and left.isEmpty():
-            return roots
+        checked = stage(_verified(pairs.distinct(), texts, least), "checked")
+        roots = _merged(roots, checked.where("linked").select("a", "b"))
+        # The two members of a pair have been compared.
+        left = left.where("size > 2").select("key", "row")
+    held = _rooted(left, roots)
+    open_groups = stage(held.join(_mixed(held), "key").select("key", "row", "root", "size"), "open")
+    return _merged(roots, stage(_settled(open_groups, texts, least), "settled"))
+
+
+def _mixed(held: DataFrame, *more: Column) -> DataFrame:
+    """The keys whose members are of several classes, with their ``size``."""
+    groups = held.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), *more
+    )
+    return groups.where("low <> high").drop("low", "high")
+
+
+def _settled(held: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links ``a``, ``b`` that join all alike members of each group in ``held``.
+
+    A group above ``BLOCK`` is dealt into blocks, and each two blocks are settled by
+    themselves; groups below are settled some at a time.
+    """
+    small = F.col("size") <= BLOCK
+    bundles = held.where(small).count() // BUNDLE + 1
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), blocks).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    bundle = F.when(small, F.pmod(F.xxhash64("key"), F.lit(bundles))).otherwise(F.xxhash64("key", low, high))
+    placed = paired.select("key", "row", "root", "block", low.alias("low"), high.alias("high"), bundle.alias("bundle"))
+
+    def settle(table: pa.Table) -> pa.Table:
+        links = _links(table.combine_chunks(), least)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return placed.join(texts, "row").groupBy("bundle").applyInArrow(settle, "a bigint, b bigint")
+
+
+def _links(table: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Pairs that join all alike members of each two blocks in ``table``.
+
+    A pair that shares several bands is looked at in the first of them only.
+    """
+    column = lambda name: table.column(name).to_numpy()
+    rows, roots, keys, block = (column(n) for n in ("row", "root", "key", "block"))
+    own, at, place = np.unique(rows, return_index=True, return_inverse=True)
+    some = table.take(pa.array(at))
+    words = find_words(some.column("text").combine_chunks())
+    hashes = words.hashes(1)
+    texts = [hashes[a:b].tolist() for a, b in zip(words.first, words.first[1:])]
+    sizes = words.counts()
+    singles = _bags(hashes, words.first)
+    doubles = _bags(*(lambda s: (s.hashes, s.first))(shingles(words, hashes, 2)))
+    bands = np.array(some.column("bands").to_pylist(), np.int64).reshape(len(own), -1)
+    above: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while (up := above.get(node, node)) != node:
+            above[node] = node = above.get(up, up)
+        return node
+
+    found = []
+    order = np.lexsort((column("high"), column("low"), keys))
+    shown = np.stack([keys[order], column("low")[order], column("high")[order]])
+    cuts = np.flatnonzero((shown[:, 1:] != shown[:, :-1]).any(0)) + 1
+    for members in np.split(order, cuts):
+        low, high = column("low")[members[0]], column("high")[members[0]]
+        left = members[block[members] == low]
+        right = members[block[members] == high]
+        for start in range(0, len(left), max(1, _PAIRS // max(1, len(right)))):
+            part = left[start : start + max(1, _PAIRS // max(1, len(right)))]
+            a, b = np.repeat(part, len(right)), np.tile(right, len(part))
+            keep = roots[a] != roots[b]
+            if low == high:
+                keep &= rows[a] < rows[b]
+            a, b = a[keep], b[keep]
+            key = keys[a]
+            a_root, b_root = roots[a], roots[b]
+            a, b = place[a], place[b]
+            same = bands[a] == bands[b]
+            keep = bands[a, same.argmax(1)] == key
+            longer = np.maximum(sizes[a], sizes[b])
+            most = ((1.0 - least) * longer + 1e-9).astype(np.int64)
+            keep &= np.abs(sizes[a] - sizes[b]) <= most
+            a, b, a_root, b_root, longer, most = (x[keep] for x in (a, b, a_root, b_root, longer, most))
+            # An edit takes one word of the longer text away, and two pairs of neighbours.
+            keep = np.minimum(singles[a], singles[b]).sum(1) >= longer - most
+            keep &= np.minimum(doubles[a], doubles[b]).sum(1) >= longer - 1 - 2 * most
+            for x, y, p, q in zip(*(side[keep].tolist() for side in (a, b, a_root, b_root))):
+                p, q = root(p), root(q)
+                if p != q and similar(texts[x], texts[y], least):
+                    above[max(p, q)] = min(p, q)
+                    found.append((int(own[x]), int(own[y])))
+    return found
+
+
+def _bags(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many hashes of each text fall into each cell: two texts share at most what cells share."""
+    texts = len(first) - 1
+    cell = (hashes % _U64(_CELLS)).astype(np.int64) + np.repeat(np.arange(texts), np.diff(first)) * _CELLS
+    return np.bincount(cell, minlength=texts * _CELLS).reshape(texts, _CELLS).astype(np.int32)
 
 
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -227,7 +317,8 @@ def near_duplicates(
     members = stage(banded.join(shared, "key").select("key", "row"), "members")
     involved = members.select("row").distinct()
     texts = rows.select(F.col(quoted(row)).alias("row"), F.col(quoted(column)).alias("text"))
-    texts = stage(texts.join(involved, "row", "left_semi"), "candidates")
+    texts = texts.join(involved, "row", "left_semi").join(table.select("row", "bands"), "row")
+    texts = stage(texts, "candidates")
 
     roots = linked_classes(members, texts, least).withColumnRenamed("node", "head")
     placed = (

@@ -132,6 +132,46 @@ def test_classes_hold_all_alike_and_nothing_else(spark, folder):
         assert find(a) == find(found[a])
 
 
+def classes_by_brute_force(texts, share):
+    """The smallest place of the class of each text, joined by alignments of pairs that ``share``."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            if find(i) != find(j) and share(i, j) and alignment.edit_distance(a, b, most) is not None:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_large_families_of_texts_that_share_a_band(spark, monkeypatch):
+    # The few alike pairs share no band of their own and rarely meet a drawn head.
+    monkeypatch.setattr(neardup, "BLOCK", 64, raising=False)
+    draw = random.Random(6)
+    frame = [f"f{i}" for i in range(60)]
+    texts = []
+    for n in range(400):
+        own = [f"w{n}x{i}" for i in range(24)]
+        texts.append(frame + own)
+        if n % 130 == 5:
+            texts.append(frame + [w if i % 3 else "v" + w for i, w in enumerate(own)])
+    draw.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bands = {r.row: np.array(r.bands) for r in neardup.band_table(df, "doc_id", "text").collect()}
+    sizes = Counter(k for b in bands.values() for k in b.tolist())
+    assert max(sizes.values()) > 100
+    expected = classes_by_brute_force(texts, lambda i, j: bool((bands[i] == bands[j]).any()))
+    assert len(set(expected)) < len(texts)
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
 def test_order_sketches_follow_the_edit_distance():
     draw = random.Random(2)
     base = [f"w{draw.randrange(10_000)}" for _ in range(400)]
