@@ -1,11 +1,12 @@
 """Near-duplicate classes by Order MinHash and banded alignment.
 
 Texts with the same words form a group first, and one of them stands for all. From each
-of these, ``2 * BANDS`` sketches are taken: a sketch orders the five-word shingles, each
+of these, ``BANDS`` sketches are taken: a sketch orders the three-word shingles, each
 labelled with its occurrence, by a random hash, takes the two smallest and keeps them in
 the order they have in the text. Two texts share a sketch with a chance that falls with
-their edit distance, and blocks that change places lower it, too. A band joins two
-sketches; texts that share a band are candidates.
+their edit distance, and blocks that change places lower it, too. A sketch is a band, and
+texts that share a band are candidates. Few edits can touch all shingles of a short text, so
+it also has bands of two sketches each of its single words.
 
 Within a band each text is first aligned with one other, the head of the group, and then with
 some drawn heads, which brings most classes together at a few pairs per member. In groups
@@ -28,18 +29,23 @@ from stockyard.llm.frames import quoted, unused, with_row_id, without
 from stockyard.llm.words import Shingles, find_words, mix, range_hashes, seeded, shingles, slices
 from stockyard.staging import stage
 
-WORDS = 5
+WORDS = 3
 LEAST = 0.8
-# A sketch is shared with a chance of about 0.64 at a likeness of 0.8; of 24 bands of two, all
-# differ for 3 pairs in a million.
-BANDS = 24
+# With a fifth of the words replaced, single ones anywhere, half of the shingles stay, a third of
+# those of both texts, and a sketch is shared with a chance of about 0.12: of 64 bands all
+# differ for 3 pairs in 10,000.
+BANDS = 64
+# Texts of at most so many words have these bands as well.
+SHORT = 64
+SHORT_BANDS = 24
 # Heads that a group of several classes is given before all its pairs are settled.
-HEADS = 6
+HEADS = 1
 # Members in a block of a large group; smaller groups are settled so many members at a time.
-BLOCK = 256
+BLOCK = 2048
 BUNDLE = 2048
 # Cells of a text's counts of words, and of pairs of words, and pairs bounded at once.
 _CELLS = 512
+_COARSE = 64
 _PAIRS = 4096
 _U64 = np.uint64
 _MOST = np.iinfo(np.uint64).max
@@ -92,6 +98,16 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def _short_bands(hashes: np.ndarray, first: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Bands of two sketches of single words for the texts marked in ``short``."""
+    sizes = np.diff(first)
+    kept = np.append(0, np.cumsum(sizes[short]))
+    singles = Shingles(hashes[np.repeat(short, sizes)], np.arange(kept[-1]), kept)
+    pairs = order_sketches(singles, 2 * SHORT_BANDS)
+    place = np.arange(SHORT_BANDS, dtype=_U64) + _U64(1 << 32)
+    return mix(pairs[:, 0::2] * _U64(5) + mix(pairs[:, 1::2] + place))
+
+
 def band_table(texts: DataFrame, row: str, column: str, bands: int = BANDS) -> DataFrame:
     """For every text that is not null: a 128-bit hash of its words and its bands."""
 
@@ -102,12 +118,15 @@ def band_table(texts: DataFrame, row: str, column: str, bands: int = BANDS) -> D
                 hashes = words.hashes(1)
                 bounds = words.first[:-1], words.first[1:]
                 found = shingles(words, hashes, WORDS, whole=True)
-                pairs = order_sketches(found, 2 * bands)
-                keys = mix(pairs[:, 0::2] * _U64(5) + mix(pairs[:, 1::2] + np.arange(bands, dtype=_U64)))
-                some = np.diff(found.first) > 0
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), _signed(keys.ravel())
-                )
+                keys = np.zeros((piece.num_rows, bands + SHORT_BANDS), _U64)
+                keys[:, :bands] = mix(order_sketches(found, bands) + np.arange(bands, dtype=_U64))
+                some = words.counts() > 0
+                short = words.counts() <= SHORT
+                keys[short, bands:] = _short_bands(hashes, words.first, short)
+                given = np.ones(keys.shape, bool)
+                given[~short, bands:] = False
+                ends = np.append(0, np.cumsum(given.sum(1)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(keys[given]))
                 yield pa.record_batch(
                     {
                         "row": piece.column(row),
@@ -215,11 +234,19 @@ def _links(table: pa.Table, least: float) -> list[tuple[int, int]]:
     some = table.take(pa.array(at))
     words = find_words(some.column("text").combine_chunks())
     hashes = words.hashes(1)
-    texts = [hashes[a:b].tolist() for a, b in zip(words.first, words.first[1:])]
+    texts = [hashes[a:b] for a, b in zip(words.first, words.first[1:])]
     sizes = words.counts()
     singles = _bags(hashes, words.first)
-    doubles = _bags(*(lambda s: (s.hashes, s.first))(shingles(words, hashes, 2)))
-    bands = np.array(some.column("bands").to_pylist(), np.int64).reshape(len(own), -1)
+    pairs = shingles(words, hashes, 2)
+    doubles = _bags(pairs.hashes, pairs.first)
+    bounds = [(_coarse(singles), 1), (_coarse(doubles), 2), (singles, 1), (doubles, 2)]
+    lists = some.column("bands").to_pylist()
+    bands = np.zeros((len(own), max(map(len, lists))), np.int64)
+    for line, values in zip(bands, lists):
+        line[: len(values)] = values
+    numbers = np.stack([np.unique(c, return_inverse=True)[1] for c in bands.T], axis=1)
+    numbers = numbers.astype(np.min_scalar_type(len(own) + 1))
+    others = np.where(bands == 0, len(own) + 1, numbers).astype(numbers.dtype)
     above: dict[int, int] = {}
 
     def root(node: int) -> int:
@@ -245,23 +272,28 @@ def _links(table: pa.Table, least: float) -> list[tuple[int, int]]:
             key = keys[a]
             a_root, b_root = roots[a], roots[b]
             a, b = place[a], place[b]
-            same = bands[a] == bands[b]
-            keep = bands[a, same.argmax(1)] == key
+            keep = bands[a, (numbers[a] == others[b]).argmax(1)] == key
+            a, b, a_root, b_root = a[keep], b[keep], a_root[keep], b_root[keep]
             longer = np.maximum(sizes[a], sizes[b])
             most = ((1.0 - least) * longer + 1e-9).astype(np.int64)
-            keep &= np.abs(sizes[a] - sizes[b]) <= most
-            a, b, a_root, b_root, longer, most = (x[keep] for x in (a, b, a_root, b_root, longer, most))
+            keep = np.flatnonzero(np.abs(sizes[a] - sizes[b]) <= most)
             # An edit takes one word of the longer text away, and two pairs of neighbours.
-            keep = np.minimum(singles[a], singles[b]).sum(1) >= longer - most
-            keep &= np.minimum(doubles[a], doubles[b]).sum(1) >= longer - 1 - 2 * most
+            for bags, each in bounds:
+                shared = np.minimum(bags[a[keep]], bags[b[keep]]).sum(1)
+                keep = keep[shared >= longer[keep] - (each - 1) - each * most[keep]]
             for x, y, p, q in zip(*(side[keep].tolist() for side in (a, b, a_root, b_root))):
                 p, q = root(p), root(q)
-                if p != q and similar(texts[x], texts[y], least):
+                if p != q and similar(texts[x].tolist(), texts[y].tolist(), least):
                     above[max(p, q)] = min(p, q)
                     found.append((int(own[x]), int(own[y])))
     return found
 
 
+def _coarse(bags: np.ndarray) -> np.ndarray:
+    """The same counts in fewer cells, quicker to compare."""
+    return np.ascontiguousarray(bags.reshape(len(bags), -1, _COARSE).sum(1, dtype=np.int32))
+
+
 def _bags(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """How many hashes of each text fall into each cell: two texts share at most what cells share."""
     texts = len(first) - 1
@@ -302,7 +334,7 @@ def near_duplicates(
     ``class_id`` is the smallest ``key`` of the class, null if none of its rows has a key;
     ``kept`` marks the one row of a class with that key (of equal ones, any single one).
     Texts without words are alike and form one class. A null text is a class of its own,
-    as nothing is known of it. Texts of fewer than five words have one shingle, all of it.
+    as nothing is known of it. Texts of fewer than three words have one shingle, all of it.
     """
     df = without(df, "class_id", "class_size", "kept")
     row = unused(df, "row")

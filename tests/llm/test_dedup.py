@@ -172,6 +172,22 @@ def test_large_families_of_texts_that_share_a_band(spark, monkeypatch):
     assert [found[i] for i in range(len(texts))] == expected
 
 
+def test_candidates_at_four_fifths_of_the_words(spark):
+    draw = random.Random(8)
+    texts, sizes = [], [10, 20, 40, 64, 80, 150, 400, 1000]
+    for size in sizes:
+        for _ in range(60):
+            base = [f"w{draw.randrange(20_000)}" for _ in range(size)]
+            gone = set(draw.sample(range(size), size // 5))
+            texts += [base, [f"v{i}" if i in gone else w for i, w in enumerate(base)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bands = {r.row: set(r.bands) for r in neardup.band_table(df, "doc_id", "text").collect()}
+    met = np.array([bool(bands[i] & bands[i + 1]) for i in range(0, len(texts), 2)]).reshape(len(sizes), -1)
+    assert met.mean() > 0.99 and met.mean(1).min() > 0.95, met.mean(1)
+    # Unrelated texts meet in no band.
+    assert not any(bands[i] & bands[i + 2] for i in range(0, len(texts) - 2, 2))
+
+
 def test_order_sketches_follow_the_edit_distance():
     draw = random.Random(2)
     base = [f"w{draw.randrange(10_000)}" for _ in range(400)]
