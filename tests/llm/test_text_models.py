@@ -10,10 +10,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stockyard.llm import attention, language
+from stockyard.llm import attention, language, lm
 from stockyard.llm.html import main_text
-from stockyard.llm.queries import ORACLES, QUERIES, op3_lm_score, op7_language_id
+from stockyard.llm.queries import ORACLES, QUERIES, VOCABULARY, op3_lm_score, op7_language_id
 from stockyard.llm.quality import with_quality
+from stockyard.llm.tokens import encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -139,6 +140,21 @@ def test_scores_of_the_table(spark, folder):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_a_round_trains_on_every_window(spark):
+    # Every document is a window; each of a thousand kinds occurs in one of them only.
+    dtype = encoder(VOCABULARY).dtype
+    kinds = np.minimum(np.arange(len(lm._opens(VOCABULARY))), lm.KINDS - 2)
+    classes = np.arange(lm.KINDS) % lm.CLASSES
+    weights = attention.Weights.start(lm.KINDS, np.ones(lm.CLASSES) / lm.CLASSES)
+    model = lm.Model(kinds, np.zeros(len(kinds)), classes, None, weights, 0, 0, 0)
+    docs = [[1500, n // 26 if n % 26 == 0 else 1200, 1501] for n in range(26_000)]
+    rows = [(True, bytearray(np.array(d, dtype).tobytes())) for d in docs]
+    ids = spark.createDataFrame(rows, "learn boolean, ids binary").coalesce(1)
+    after = lm._round(ids, VOCABULARY, model, 0, lm.RATE)
+    changed = (after.embed != weights.embed).any(1)
+    assert changed[:1000].all() and not changed[1000:1200].any()
+
+
 def test_looked_up_scores_are_the_models():
     draw = np.random.default_rng(3)
     w = attention.Weights.start(30, np.ones(6) / 6)
