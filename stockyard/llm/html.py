@@ -4,8 +4,10 @@ Markup is stripped block by block: each block is a line. Parts that cannot be th
 (menus, scripts, forms, adverts, reader comments and the like, by tag or by the words of
 their class, id or role) become runs of blank lines. The lengths of lines, links not
 counted, are summed over a sliding window; where the sum surges above a threshold the
-text begins, and where it dives to zero the text ends. On a page that marks its article
-or main part, lines outside it are blank and any text in it is a surge.
+text begins, and where it dives to zero the text ends. Of the articles, the main part and the
+rest of a page, the one with most text outside links counts, a marked character as ``PRIOR``;
+if that part is marked its lines weigh as much and surge early, and lines outside it surge only
+if they are as long as the longest in it.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark.sql import DataFrame
 from stockyard.llm.frames import added, append, without
 from stockyard.llm.words import slices
 
-# Lines in a window, and the characters that make a surge on a page without marks.
+# Lines in a window, and the characters that make a surge.
 WINDOW = 3
 SURGE = 80
+# How many characters one in an article or main part counts for.
+PRIOR = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -143,17 +147,25 @@ def _lines(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by one space; empty if there is none."""
     lines = _lines(page or "")
-    mark = max((m for text, _, m in lines if text), default=0)
-    if mark:
-        lines = [line if line[2] == mark else ("", 0, 0) for line in lines]
-    weights = np.array([len(t) if mark else n for t, n, _ in lines], np.int64)
+    # The part with most text counts; marks count for more than none.
+    held = [sum(n * (PRIOR if m else 1) for _, n, m in lines if m == part) for part in range(3)]
+    mark = max(range(3), key=lambda part: (held[part], part))
+    blocks: list[tuple[str, int, bool]] = []
+    for text, n, m in lines:
+        if text and blocks and mark and blocks[-1][2] != (m == mark):
+            blocks += [("", 0, m == mark)] * WINDOW
+        blocks.append((text, n, m == mark))
+    weights = np.array([n * (PRIOR if mark and own else 1) for _, n, own in blocks], np.int64)
     if not weights.any():
         return ""
     sums = np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
-    surge = 0 if mark else min(SURGE, int(sums.max()) - 1)
+    most = int(sums.max())
+    surge = min(SURGE // PRIOR if mark else SURGE, most - 1)
+    # Text outside the part needs windows as long as the longest in it.
+    outside = max(SURGE, most // PRIOR) if mark else surge
     kept, inside = [], False
-    for (text, _, _), block in zip(lines, sums.tolist()):
-        inside = block > 0 if inside else block > surge
+    for (text, _, own), block in zip(blocks, sums.tolist()):
+        inside = block > 0 if inside else block > (surge if own else outside)
         if inside and text:
             kept.append(text)
     return " ".join(kept)

@@ -72,6 +72,16 @@ def test_main_text(page):
     assert main_text(page) == PAGES[page]
 
 
+def test_cards_do_not_take_the_place_of_the_body():
+    body = "The body of this page is written in a main part and is long enough to be its text."
+    cards = "<article><h3>Card</h3><p>Teaser</p></article>" * 3
+    assert main_text(f"<main><div><p>{body}</p><p>{body}</p></div>{cards}</main>") == f"{body} {body}"
+    # Without a main part, too, and lines of links alone are no text of an article.
+    assert body in main_text(f"<div><p>{body}</p><p>{body}</p></div>{cards}")
+    links = "<p><a href='/'>Next page</a></p>" * 4
+    assert main_text(f"<article><p>{body}</p>{links}</article>") == body
+
+
 def test_main_text_of_null():
     assert main_text(None) == ""
 
