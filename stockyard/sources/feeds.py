@@ -40,14 +40,19 @@ def with_input_ordinal(rows: DataFrame) -> DataFrame:
     return located.withColumn("ord", F.col("_start") + F.col("_at")).drop("_start", "_at")
 
 
-def read_positional(spark: SparkSession, path: str | list[str], layout: tuple[str, ...]) -> DataFrame:
-    """Files of one layout as text cells with ``source_file`` and ``ord``, staged."""
+def read_positional(
+    spark: SparkSession, path: str | list[str], layout: tuple[str, ...], per_file: bool = False
+) -> DataFrame:
+    """Files of one layout as text cells with ``source_file`` and ``ord``, staged.
+
+    With ``per_file``, ``ord`` starts at 0 in each file.
+    """
     csv, books = input_files(spark, path)
     parts = []
     if csv:
         rows = scan_positional(spark, csv, layout).select("*", *file_marks())
         if not books:
-            return with_file_ordinal(rows)
+            return with_file_ordinal(rows, per_file=per_file)
         parts.append(with_file_ordinal(rows, per_file=True))
     if books:
         parts.append(workbooks.by_position(workbooks.read_workbooks(spark, books), layout))
@@ -55,7 +60,7 @@ def read_positional(spark: SparkSession, path: str | list[str], layout: tuple[st
     whole = parts[0].select(columns)
     for part in parts[1:]:
         whole = whole.unionByName(part.select(columns))
-    return with_input_ordinal(whole)
+    return stage(whole, "cells") if per_file else with_input_ordinal(whole)
 
 
 def read_named(

@@ -1,4 +1,4 @@
-"""Feeds dropped into a folder, imported by Structured Streaming."""
+"""Feeds of CSV files and workbooks dropped into a folder, imported by Structured Streaming."""
 
 from __future__ import annotations
 
@@ -6,22 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockyard.operators.ordinals import file_marks, with_file_ordinal
-from stockyard.sources import layouts
-from stockyard.sources.delimited import POSITIONAL_OPTIONS
+from stockyard.sources import feeds
 from stockyard.sources.store import append_run
 
 Post = Callable[[DataFrame], DataFrame]
 PostRun = Callable[[DataFrame, str], dict[str, DataFrame]]
 
 
-def watch_folder(
-    spark: SparkSession, folder: str, layout: tuple[str, ...], files_per_trigger: int = 1000
-) -> DataFrame:
-    """A stream of the rows of new files, marked with the file each came from."""
-    reader = spark.readStream.schema(layouts.text_schema(layout)).options(**POSITIONAL_OPTIONS)
-    rows = reader.option("maxFilesPerTrigger", files_per_trigger).csv(folder)
-    return rows.select("*", *file_marks())
+def watch_folder(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """A stream of the ``path`` of new files, whose content is not read here."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).load(folder).select("path")
 
 
 def import_drops(
@@ -40,11 +36,11 @@ def import_drops(
     after a failure replaces what it wrote.
     """
 
-    def land(rows: DataFrame, trigger: int) -> None:
-        numbered = with_file_ordinal(rows, per_file=True, stage_as="drop")
+    def land(files: DataFrame, trigger: int) -> None:
+        numbered = feeds.read_positional(spark, _paths(files), layout, per_file=True)
         post(numbered).write.mode("overwrite").parquet(f"{target}/drop_id={trigger}")
 
-    _take(watch_folder(spark, folder, layout, files_per_trigger), land, checkpoint)
+    _take(watch_folder(spark, folder, files_per_trigger), land, checkpoint)
 
 
 def import_runs(
@@ -64,11 +60,16 @@ def import_runs(
     takes the place of its earlier attempt.
     """
 
-    def land(rows: DataFrame, trigger: int) -> None:
+    def land(files: DataFrame, trigger: int) -> None:
         run_id = f"drop-{trigger}"
-        append_run(post(with_file_ordinal(rows, stage_as="drop"), run_id), root, run_id)
+        append_run(post(feeds.read_positional(spark, _paths(files), layout), run_id), root, run_id)
 
-    _take(watch_folder(spark, folder, layout, files_per_trigger), land, checkpoint)
+    _take(watch_folder(spark, folder, files_per_trigger), land, checkpoint)
+
+
+def _paths(files: DataFrame) -> list[str]:
+    """The new files of a trigger, as many as it takes at most."""
+    return sorted(r.path for r in files.collect())
 
 
 def _take(stream: DataFrame, land: Callable[[DataFrame, int], None], checkpoint: str) -> None:

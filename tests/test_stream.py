@@ -8,6 +8,7 @@ from test_imports import supplier_rows, write_csv
 from stockyard import jobs
 from stockyard.operators.ordinals import file_marks, with_file_ordinal
 from stockyard.registry.control import post_supplier_drop
+from stockyard.registry.scans import _workbook
 from stockyard.sources import layouts, store
 from stockyard.sources.delimited import scan_positional
 from stockyard.streaming.file_drop import import_drops
@@ -58,3 +59,24 @@ def test_whole_imports_of_drops_go_on_where_the_last_left_off(spark, tmp_path):
     assert len(codes) == len(set(codes)) > 0
     jobs.run(spark, jobs.parsed(words))
     assert store.read_runs(spark, root, "purchase_items").count() == posted
+
+
+def test_dropped_workbooks_are_posted_as_in_a_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    priced = [{**r, "item_sale_price": "5.5"} for r in supplier_rows(60, seed=5)]
+    write_csv(folder / "a.csv", priced[:30], layouts.SUPPLIER)
+    lines = [layouts.SUPPLIER, *[[r[c] for c in layouts.SUPPLIER] for r in priced[30:]]]
+    (folder / "b.xlsx").write_bytes(_workbook(lines))
+    posted = []
+    for job, more in (("watch-supplier", []), ("supplier", ["--run-id", "1"])):
+        root = str(tmp_path / job)
+        words = [job, "--feed", str(folder), "--store", root, "--at", "2025-06-01T08:00:00", *more]
+        jobs.run(spark, jobs.parsed(words))
+        posted.append([
+            rows_of(table.drop("run_id"))
+            for name in ("purchases", "purchase_items")
+            for table in [store.read_runs(spark, root, name)]
+        ])
+    assert posted[0] == posted[1]
+    assert len(posted[0][1]) == sum(bool(r["item_code"] and r["supplier_id"]) for r in priced)
