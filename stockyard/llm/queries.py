@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.llm import quality, substrings
+from stockyard.llm import audit, linedup, quality, search, substrings
 from stockyard.llm.fingerprints import edit_report
 from stockyard.llm.html import with_main_text
 from stockyard.llm.language import remainder, train, with_language
@@ -89,6 +89,24 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_report(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that larger documents repeat, as a digest."""
+    cut = linedup.drop_repeated_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes in each of their 120 orders, per language."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return audit.filter_audit(docs, _table(spark, folder, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return search.search(docs, _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_text": op2_html_text,
@@ -100,6 +118,15 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLES = {"op1_quality_rules": quality.SQL, "op4_substring_dedup": substrings.SQL}
+ORACLES = {
+    "op1_quality_rules": quality.SQL,
+    "op4_substring_dedup": substrings.SQL,
+    "op11_line_dedup": linedup.SQL,
+    "op12_filter_audit": audit.SQL,
+    "op13_lexical_search": search.SQL,
+}
