@@ -37,6 +37,8 @@ BLOCK_DOCS = 8192
 BUNDLE_ITEMS = 256
 # Slots of the prefilter: the most that is broadcast, in bits.
 SLOTS = 1 << 22
+# Bytes of text that a task takes apart at once.
+_SLICE = 1 << 19
 
 # Bytes of terms: digits, letters and all of other code points; A-Z in lower case.
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -44,7 +46,7 @@ for _low, _high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
     _FOLD[_low : _high + 1] = np.arange(_low, _high + 1)
 _FOLD[0x41:0x5B] += 0x20
 
-_BUNDLE = "bundle int, block int, item bigint, terms binary, owners binary, bounds binary, at binary, ids binary, known binary, scores binary"
+_BUNDLE = "cell int, item bigint, terms binary, owners binary, bounds binary, at binary, ids binary, known binary, scores binary"
 
 
 def find_terms(texts: pa.Array) -> Words:
@@ -104,7 +106,7 @@ def search(
     gains = _owned(found.where("kind = 1"), asked, sizes.docs, sizes.terms or 1, owners, blocks, bundles)
     travelling = _bundles(asked, gains, blocks, bundles)
     for owner in range(owners):
-        mine = gains.where(F.col("owner") == owner).select("bundle", "block", "at", "id", "term", "gain")
+        mine = gains.where(F.col("owner") == owner).select("cell", "at", "id", "term", "gain")
         travelling = _visit(travelling, mine, owner, most)
     best = travelling.mapInArrow(_opened, "item bigint, at bigint, id bigint, known boolean, score bigint")
     doc = F.when(F.col("known"), F.col("id"))
@@ -142,7 +144,7 @@ def _postings(docs: DataFrame, key: str, text: str, wanted) -> DataFrame:
         following = TaskContext.get().partitionId() << 33
         slots = np.unpackbits(wanted.value).view(bool)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", _SLICE):
                 words = find_terms(piece.column("text"))
                 owner, terms, tf = _counted(words)
                 keep = slots[_slot(terms)]
@@ -184,10 +186,11 @@ def _owned(
     gain = F.expr("weight * ((1000000000L * tf) DIV (1000 * tf + 8 * norm))")
     rows = postings.join(terms.select("term", "weight", "bundles", owner.alias("owner")), "term")
     rows = rows.withColumn("norm", norm).select(
-        "owner", F.explode("bundles").alias("bundle"), F.pmod(F.xxhash64("at"), F.lit(blocks)).cast("int").alias("block"),
-        "at", "id", "term", gain.alias("gain"),
-    )
-    return stage(rows.where("gain > 0"), "gains", ["owner"])
+        "owner", F.explode("bundles").alias("bundle"), "at", "id", "term", gain.alias("gain")
+    )
+    cell = F.col("bundle") * blocks + F.pmod(F.xxhash64("at"), F.lit(blocks))
+    rows = rows.where("gain > 0").select("owner", cell.cast("int").alias("cell"), "at", "id", "term", "gain")
+    return stage(rows, "gains", ["owner"])
 
 
 def _bundle_of(bundles: int):
@@ -203,8 +206,9 @@ def _bundles(asked: DataFrame, gains: DataFrame, blocks: int, bundles: int) -> D
     rows = grouped.select(_bundle_of(bundles).alias("bundle"), "item", "plan").mapInArrow(
         _packed, "bundle int, item bigint, terms binary, owners binary, bounds binary"
     )
+    first = F.col("bundle") * blocks
     return rows.select(
-        "bundle", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "item", "terms", "owners", "bounds",
+        F.explode(F.sequence(first, first + (blocks - 1))).alias("cell"), "item", "terms", "owners", "bounds",
         *[empty.alias(c) for c in ("at", "ids", "known", "scores")],
     )
 
@@ -253,7 +257,7 @@ def _visit(bundles: DataFrame, postings: DataFrame, owner: int, most: int) -> Da
         columns = {c: pa.array([r[i].tobytes() for r in results], pa.binary()) for i, c in enumerate(_SCORES)}
         return pa.table({**{c: left.column(c) for c in left.column_names if c not in columns}, **columns})
 
-    grouped = bundles.groupBy("bundle", "block").cogroup(postings.groupBy("bundle", "block"))
+    grouped = bundles.groupBy("cell").cogroup(postings.groupBy("cell"))
     return grouped.applyInArrow(add, _BUNDLE)
 
 
