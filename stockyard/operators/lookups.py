@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.operators.cleaning import distinct_values
 
+# Marks in front of a key and of what stands in for a missing one.
+_KEY, _NO_KEY = "=", "#"
+
 
 def existing_keys(feed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct feed keys that are stored."""
@@ -36,19 +39,21 @@ def look_up(
 
     Null keys match nothing, yet a plain left join sends all their rows to one
     partition. ``spread_by`` names feed columns whose hash stands in for a missing key
-    instead, next to a mark that no stored key has; a hash gives a repeated task the same
+    instead, behind a mark that no stored key has; a hash gives a repeated task the same
     places, and there are as many places as rows.
+
+    Keys are joined behind a mark, so that both sides are shuffled for the join alone: a
+    side that is still dealt out as its aggregate left it is not split where a key is hot.
     """
-    known = stored.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *columns)
-    if not spread_by:
-        return feed.withColumn("_key", F.col(key)).join(known, "_key", "left").drop("_key")
-    keyed = feed.withColumns(
-        {
-            "_has": F.col(key).isNotNull(),
-            "_key": F.coalesce(F.col(key), F.xxhash64(*spread_by).cast("string")),
-        }
-    )
-    return keyed.join(known.withColumn("_has", F.lit(True)), ["_has", "_key"], "left").drop("_has", "_key")
+    known = stored.filter(F.col(key).isNotNull()).select(_marked(F.col(key)).alias("_key"), *columns)
+    asked = _marked(F.col(key))
+    if spread_by:
+        asked = F.coalesce(asked, F.concat(F.lit(_NO_KEY), F.xxhash64(*spread_by).cast("string")))
+    return feed.withColumn("_key", asked).join(known, "_key", "left").drop("_key")
+
+
+def _marked(key: Column) -> Column:
+    return F.concat(F.lit(_KEY), key)
 
 
 def with_product_id(
