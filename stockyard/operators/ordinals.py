@@ -20,6 +20,12 @@ from stockyard.staging import stage
 # monotonically_increasing_id holds the partition above the row's place in it.
 _ROW_BITS = 33
 
+# Shuffled codes: rounds, a prime whose square fits a BIGINT, and digits of rows and columns
+# below it.
+_ROUNDS = 4
+_PRIME = 2_147_483_647
+_MOST_DIGITS = 18
+
 
 def _sorted(df: DataFrame, keys: Sequence[str | Column], partitions: int | None) -> DataFrame:
     """Rows in order, in ranges of all keys; as many as the session shuffles to by default."""
@@ -106,21 +112,25 @@ def with_batch(df: DataFrame, rows: int = BATCH_ROWS, ordinal: str = "ord") -> D
     return df.withColumn("batch_id", F.expr(f"{ordinal} div {rows}"))
 
 
-def next_id(stored: DataFrame, column: str = "id") -> Column:
-    """One more than the largest stored id, as a scalar subquery."""
-    return stored.agg(F.coalesce(F.max(column), F.lit(0)).cast("bigint") + 1).scalar()
+def next_id(stored: DataFrame, first: int | None = None) -> Column:
+    """``first`` where it is known, else one more than the largest stored id, as a scalar
+    subquery."""
+    if first is not None:
+        return F.lit(first).cast("bigint")
+    return stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint") + 1).scalar()
 
 
 def with_new_ids(
-    df: DataFrame, stored: DataFrame, keys: Sequence[str | Column], name: str = "id"
+    df: DataFrame, stored: DataFrame, keys: Sequence[str | Column], first: int | Column | None = None
 ) -> DataFrame:
-    """Adds ids above the stored ones, handed out in the order of ``keys``.
+    """Adds ids, from ``first`` on or above the stored ones, handed out in the order of ``keys``.
 
     New rows are few beside the feed they were found in; staged, they are sorted without
     a second pass over it.
     """
     numbered = with_ordinal(stage(df, "new-rows"), keys, name="_ord", stage_as="new-ids")
-    return numbered.select((next_id(stored) + F.col("_ord")).alias(name), *df.columns)
+    start = first if isinstance(first, Column) else next_id(stored, first)
+    return numbered.select((start + F.col("_ord")).alias("id"), *df.columns)
 
 
 def with_item_code(
@@ -129,9 +139,54 @@ def with_item_code(
     digits: int = ITEM_CODE_DIGITS,
     used: int = 0,
     ordinal: str = "ord",
+    secret: int | None = None,
 ) -> DataFrame:
-    """Adds a code of ``digits`` digits, unique over the run; running out is an error."""
+    """Adds a code of ``digits`` digits, unique over the run; running out is an error.
+
+    With a ``secret`` the codes show no order: the position is shuffled over the whole range
+    of codes, one to one, so codes stay unique over runs that go on with ``used`` and are
+    the same when a run is repeated.
+    """
     first = 10 ** (digits - 1)
-    code = F.lit(first + used).cast(T.LongType()) + F.col(ordinal)
+    place = F.lit(used).cast(T.LongType()) + F.col(ordinal)
     spent = F.raise_error(F.lit(f"all item codes of {digits} digits are used"))
-    return df.withColumn(name, F.when(code < 10 * first, code.cast("string")).otherwise(spent))
+    found = place if secret is None else shuffled_place(place, digits, secret)
+    code = (F.lit(first).cast(T.LongType()) + found).cast("string")
+    return df.withColumn(name, F.when(place < 9 * first, code).otherwise(spent))
+
+
+def shuffled_place(place: Column, digits: int, secret: int) -> Column:
+    """A place of the codes of ``digits`` digits moved to another one, one to one.
+
+    The 9 * 10**(digits - 1) places are a grid of rows and columns. In each of some rounds
+    the row is turned by a number that hangs on the column and the secret, and then the
+    column by one that hangs on the row. A turn can be undone, so no two places meet.
+    """
+    if not 2 <= digits <= _MOST_DIGITS:
+        raise ValueError(f"codes of 2 to {_MOST_DIGITS} digits can be shuffled")
+    columns = 10 ** (digits // 2)
+    rows = 9 * 10 ** (digits - 1) // columns
+
+    def turned(grid: Column, number: Column) -> Column:
+        row = (grid["row"] + _scrambled(grid["column"], number)) % rows
+        column = (grid["column"] + _scrambled(row, number)) % columns
+        return F.struct(row.alias("row"), column.alias("column"))
+
+    parts = F.struct(F.call_function("div", place, F.lit(columns)).alias("row"), (place % columns).alias("column"))
+    return F.aggregate(
+        F.array(*[F.lit(n).cast(T.LongType()) for n in round_numbers(secret)]),
+        parts,
+        turned,
+        lambda grid: grid["row"] * columns + grid["column"],
+    )
+
+
+def round_numbers(secret: int) -> list[int]:
+    """A number below the prime for each round."""
+    return [(secret * (2 * i + 3) + 7919 * (i + 1)) % _PRIME for i in range(_ROUNDS)]
+
+
+def _scrambled(value: Column, number: Column) -> Column:
+    """A number that follows from ``value``, in whole arithmetic that stays within 64 bits."""
+    mixed = (value + number) % _PRIME
+    return (mixed * mixed + 48271 * mixed + number) % _PRIME

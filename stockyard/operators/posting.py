@@ -212,9 +212,15 @@ def transfers(totals: DataFrame, posting: Posting, run_time: datetime) -> DataFr
     )
 
 
-def purchase_orders(purchases: DataFrame, stored_purchases: DataFrame, stored_orders: DataFrame):
+def purchase_orders(
+    purchases: DataFrame,
+    stored_purchases: DataFrame,
+    stored_orders: DataFrame,
+    first_purchase: int | None = None,
+    first_order: int | None = None,
+) -> DataFrame:
     """A pending order for each purchase, with an id of its own and a link to it."""
-    shift = next_id(stored_orders) - next_id(stored_purchases)
+    shift = next_id(stored_orders, first_order) - next_id(stored_purchases, first_purchase)
     return purchases.withColumns(
         {"purchase_id": F.col("id"), "id": F.col("id") + shift, "status": F.lit("pending")}
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.functions import numbers, text
@@ -113,11 +113,12 @@ def new_suppliers(
     suppliers: DataFrame,
     key: str = "supplier_name",
     defaults: SupplierDefaults = SupplierDefaults(),
+    first: int | None = None,
 ) -> DataFrame:
     """Unknown suppliers with ids in name order and the constants of a new supplier."""
     names = cleaning.distinct_values(feed.select(F.col(key).alias("name")), "name")
     unknown = names.join(suppliers.select("name"), "name", "left_anti")
-    return with_new_ids(unknown, suppliers, ["name"]).select(
+    return with_new_ids(unknown, suppliers, ["name"], first).select(
         "id",
         F.lit(defaults.group_id).alias("group_id"),
         F.lit(defaults.group_name).alias("group_name"),
@@ -141,11 +142,13 @@ def _category_rows(named: DataFrame) -> DataFrame:
     )
 
 
-def new_categories(feed: DataFrame, categories: DataFrame, key: str = "category") -> DataFrame:
+def new_categories(
+    feed: DataFrame, categories: DataFrame, key: str = "category", first: int | None = None
+) -> DataFrame:
     """Unknown top-level categories with ids in name order."""
     names = cleaning.distinct_values(feed.select(F.col(key).alias("name")), "name")
     unknown = names.join(categories.select("name"), "name", "left_anti")
-    numbered = with_new_ids(unknown, categories, ["name"])
+    numbered = with_new_ids(unknown, categories, ["name"], first)
     return _category_rows(numbered.withColumn("parent_id", F.lit(0)))
 
 
@@ -154,6 +157,7 @@ def new_subcategories(
     categories: DataFrame,
     parent: str = "category",
     group: str = "item_group",
+    first: Column | None = None,
 ) -> DataFrame:
     """Unknown (group, parent) pairs whose parent is stored, with ids in pair order.
 
@@ -170,7 +174,7 @@ def new_subcategories(
     found = pairs.join(parents, "_parent").select("name", "parent_id")
     stored = categories.select("name", F.col("parent_id").cast("bigint").alias("parent_id"))
     unknown = found.join(stored, ["name", "parent_id"], "left_anti")
-    return _category_rows(with_new_ids(unknown, categories, ["parent_id", "name"]))
+    return _category_rows(with_new_ids(unknown, categories, ["parent_id", "name"], first))
 
 
 def last_price(items: DataFrame, code: str = "item_code", order: str = "ord") -> DataFrame:

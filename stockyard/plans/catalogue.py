@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockyard.operators import acceptance, cleaning, lookups, registration, reporting, updates
 from stockyard.operators.ordinals import with_batch, with_new_ids, with_ordinal
-from stockyard.settings import BATCH_ROWS
+from stockyard.settings import BATCH_ROWS, NO_IDS
 from stockyard.staging import stage
 
 
@@ -19,6 +20,7 @@ def register_priced_products(
     file_columns: list[str],
     run_time: datetime | None = None,
     batch_rows: int = BATCH_ROWS,
+    ids: Mapping[str, int] = NO_IDS,
 ) -> dict[str, DataFrame]:
     """New products of a supplier feed, those already stored beside their stored values,
     and the counts of both. ``feed`` has ``ord``.
@@ -39,7 +41,7 @@ def register_priced_products(
     good = acceptance.accepted_rows(coded, verdicts)
     new_products = registration.products_priced(good, products, ["ord"], "code")
     return {
-        "products": with_new_ids(new_products, products, ["code"]),
+        "products": with_new_ids(new_products, products, ["code"], ids.get("products")),
         "comparison": lookups.compare_existing(
             cleaning.keep_first(good, "code", ["ord"], ["item_name", "item_cost_price"]),
             products,

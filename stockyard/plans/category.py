@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from stockyard.functions.measures import with_category_vat
 from stockyard.operators import acceptance, cleaning, lookups, posting, registration, reporting
 from stockyard.operators.ordinals import next_id, with_batch, with_new_ids
-from stockyard.settings import CATEGORY, CategoryRule, Posting, SupplierDefaults
+from stockyard.settings import CATEGORY, NO_IDS, CategoryRule, Posting, SupplierDefaults
 from stockyard.staging import stage
 
 GROUPED_NUMBERS = (
@@ -26,18 +27,23 @@ def category_metadata(
     suppliers: DataFrame,
     categories: DataFrame,
     defaults: SupplierDefaults = SupplierDefaults(),
+    ids: Mapping[str, int] = NO_IDS,
 ) -> dict[str, DataFrame]:
     """New suppliers, categories and subcategories of a whole feed.
 
-    Batches do not matter here: each only adds what is missing.
+    Batches do not matter here: each only adds what is missing. ``ids`` has the first id of
+    tables whose ids were reserved.
     """
-    parents = registration.new_categories(feed, categories)
+    parents = registration.new_categories(feed, categories, first=ids.get("categories"))
     complete = categories.select("id", "name", "parent_id").unionByName(
         parents.select("id", "name", "parent_id")
     )
-    children = registration.new_subcategories(feed, complete, group="group")
+    after = None
+    if "categories" in ids:
+        after = parents.agg(F.coalesce(F.max("id") + 1, F.lit(ids["categories"]).cast("bigint"))).scalar()
+    children = registration.new_subcategories(feed, complete, group="group", first=after)
     return {
-        "suppliers": registration.new_suppliers(feed, suppliers, "supplier", defaults),
+        "suppliers": registration.new_suppliers(feed, suppliers, "supplier", defaults, ids.get("suppliers")),
         "categories": parents.unionByName(children),
     }
 
@@ -52,11 +58,13 @@ def category_import(
     run_time: datetime,
     settings: Posting = CATEGORY,
     rule: CategoryRule = CategoryRule(),
+    ids: Mapping[str, int] = NO_IDS,
 ) -> dict[str, DataFrame]:
     """Tables posted by one feed of the category layout, with ``ord``.
 
     The four grouped number columns are still text here. Transfers have a header only,
-    and each item moves stock once.
+    and each item moves stock once. ``ids`` has the first id of tables whose ids were
+    reserved.
     """
     rows = cleaning.strip_thousands(feed, GROUPED_NUMBERS)
     rows = cleaning.with_first_code(with_category_vat(rows, rule), "item_code")
@@ -66,14 +74,14 @@ def category_import(
     ).withColumn("avz_item_code", F.lit(None).cast("string"))
 
     unknown = registration.products_by_category(rows, products, categories, ["ord"], group="group")
-    new_products = with_new_ids(unknown, products, ["code"])
+    new_products = with_new_ids(unknown, products, ["code"], ids.get("products"))
     catalogue = products.select("id", "code").unionByName(new_products.select("id", "code"))
 
     verdicts = stage(acceptance.batch_verdicts(rows), "verdicts")
     good = acceptance.accepted_rows(rows, verdicts)
     totals = stage(posting.category_totals(good, suppliers, settings), "totals")
-    purchase_id = next_id(stored_purchases) + F.col("batch_id")
-    transfer_id = next_id(stored_transfers) + F.col("batch_id")
+    purchase_id = next_id(stored_purchases, ids.get("purchases")) + F.col("batch_id")
+    transfer_id = next_id(stored_transfers, ids.get("transfers")) + F.col("batch_id")
     purchases = posting.purchases_category(totals, settings, run_time).withColumn("id", purchase_id)
 
     posted = lookups.with_product_id(good.filter("expiry_ok"), catalogue, spread_by=["ord"])

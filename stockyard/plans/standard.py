@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from stockyard.functions.measures import with_sale_vat
 from stockyard.operators import acceptance, cleaning, lookups, posting, registration, reporting
 from stockyard.operators.ordinals import next_id, with_batch, with_new_ids
-from stockyard.settings import STANDARD, Posting
+from stockyard.settings import NO_IDS, STANDARD, Posting
 from stockyard.staging import stage
 
 
@@ -21,25 +22,27 @@ def standard_import(
     stored_transfers: DataFrame,
     run_time: datetime,
     settings: Posting = STANDARD,
+    ids: Mapping[str, int] = NO_IDS,
 ) -> dict[str, DataFrame]:
     """Tables posted by one feed of the standard layout, typed and with ``ord``.
 
     A row without a code or an amount refuses its batch. Products are registered from
     every batch, also from one that is refused later. Rows are staged once they are
-    accepted and looked up; every table is a projection of them.
+    accepted and looked up; every table is a projection of them. ``ids`` has the first id of
+    tables whose ids were reserved; the others go on after the stored ones.
     """
     rows = with_batch(with_sale_vat(feed), settings.batch_rows)
     rows = cleaning.with_strict_expiry(rows).withColumn("avz_item_code", F.col("item_ascon_code"))
     unknown = registration.products_last_in_first_batch(rows, products)
-    new_products = with_new_ids(unknown, products, ["code"])
+    new_products = with_new_ids(unknown, products, ["code"], ids.get("products"))
     catalogue = products.select("id", "code").unionByName(new_products.select("id", "code"))
 
     required = ("item_code", *acceptance.REQUIRED)
     verdicts = stage(acceptance.batch_verdicts(rows, required), "verdicts")
     good = acceptance.accepted_rows(rows, verdicts)
     totals = stage(posting.batch_totals(good), "totals")
-    purchase_id = next_id(stored_purchases) + F.col("batch_id")
-    transfer_id = next_id(stored_transfers) + F.col("batch_id")
+    purchase_id = next_id(stored_purchases, ids.get("purchases")) + F.col("batch_id")
+    transfer_id = next_id(stored_transfers, ids.get("transfers")) + F.col("batch_id")
     purchases = posting.purchases_per_batch(totals, settings, run_time).withColumn(
         "id", purchase_id
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from calendar import timegm
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from datetime import datetime
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stockyard.functions.measures import with_line_totals
 from stockyard.operators import acceptance, cleaning, lookups, posting, registration, reporting
 from stockyard.operators.ordinals import with_item_code, with_new_ids
-from stockyard.settings import ITEM_CODE_DIGITS, SUPPLIER, Posting
+from stockyard.settings import ITEM_CODE_DIGITS, NO_IDS, SUPPLIER, Posting
 from stockyard.staging import stage
 
 
@@ -39,12 +39,15 @@ def supplier_import(
     code_digits: int = ITEM_CODE_DIGITS,
     used_codes: int = 0,
     required: Sequence[str] = REQUIRED,
+    ids: Mapping[str, int] = NO_IDS,
 ) -> dict[str, DataFrame]:
     """Tables posted by one feed of the supplier layout, typed and with ``ord``.
 
     A supplier is taken or refused as a whole: one of its items lacking a value of
     ``required`` refuses it. Refused rows and those without a code or a supplier go to the
-    quarantine. Products are registered from every row that has a code. The reference number is made of the run time in seconds; it repeats and is no key.
+    quarantine. Products are registered from every row that has a code. The reference number is made of
+    the run time in seconds; it repeats and is no key. ``ids`` has the first id of tables
+    whose ids were reserved.
     """
     number = f"PR-{timegm(run_time.timetuple())}"
     settings = replace(settings, reference_no=number, invoice_number=number)
@@ -54,13 +57,15 @@ def supplier_import(
     verdicts = stage(acceptance.batch_verdicts(named, required, "supplier_id"), "verdicts")
     good = acceptance.accepted_rows(named, verdicts, "supplier_id")
     new_products = with_new_ids(
-        registration.products_first(rows, products, ["ord"]), products, ["code"]
+        registration.products_first(rows, products, ["ord"]), products, ["code"], ids.get("products")
     )
     catalogue = products.select("id", "code").unionByName(new_products.select("id", "code"))
 
     headers = posting.purchases_per_supplier(good, settings, run_time, ["ord"])
-    purchases = with_new_ids(headers, stored_purchases, ["supplier_id"])
-    orders = posting.purchase_orders(purchases, stored_purchases, stored_orders)
+    purchases = with_new_ids(headers, stored_purchases, ["supplier_id"], ids.get("purchases"))
+    orders = posting.purchase_orders(
+        purchases, stored_purchases, stored_orders, ids.get("purchases"), ids.get("purchase_orders")
+    )
 
     posted = lookups.with_product_id(good, catalogue)
     posted = with_item_code(cleaning.with_clamped_expiry(posted), digits=code_digits, used=used_codes)

@@ -13,13 +13,14 @@ from stockyard.registry.inputs import batch_purchases, numbered_posting
 from stockyard.registry.lookups import image_update
 from stockyard.registry.scans import as_text, write_csv
 from stockyard.settings import STANDARD, SUPPLIER
-from stockyard.sources import layouts
+from stockyard.sources import buckets, layouts
 from stockyard.sources.store import append_run, read_runs, rewrite_snapshot, scan_store, write_report
 from stockyard.staging import new_folder, stage
 from stockyard.streaming.file_drop import import_drops
 
 # Small batches, so that the feed has both good and bad ones.
 _ROWS = 20
+_BUCKETS = 16
 
 _VERDICTS = f"""
 SELECT ord // {_ROWS} AS batch_id, COUNT(*) AS rows_read,
@@ -111,6 +112,26 @@ def rewrite_by_key(t: Tables) -> DataFrame:
     return rewrite_snapshot(image_update(t), new_folder(t.spark, "catalogue"), "2")
 
 
+@query(
+    "rewrite_buckets",
+    """WITH told AS (
+      SELECT TRIM(product_code) AS code, TRIM(image_url) AS url, ord FROM image_sheet
+      WHERE product_code IS NOT NULL AND image_url IS NOT NULL AND ord % 3 = 0),
+    news AS (SELECT code, ARG_MAX(url, ord) AS url FROM told GROUP BY code)
+    SELECT c.id, c.code, n.url AS image_url_new FROM catalogue c LEFT JOIN news n ON c.code = n.code""",
+)
+def rewrite_buckets(t: Tables) -> DataFrame:
+    """A catalogue in buckets, of which a sheet rewrites those that it touches, read back.
+
+    The first update tells a third of the images, the column comes with it.
+    """
+    root, sheet = new_folder(t.spark, "catalogue"), t.view("image_sheet").where("ord % 3 = 0")
+    buckets.write_buckets(t.view("catalogue").select("id", "code"), root, "1", "code", _BUCKETS)
+    codes = updates.image_rows(sheet).select(F.col("product_code").alias("code"))
+    buckets.update_buckets(t.spark, root, "2", codes, "code", lambda part: updates.update_images(part, sheet))
+    return buckets.read_buckets(t.spark, root, ["id", "code", "image_url_new"])
+
+
 @query(
     "add_missing_columns",
     f"""SELECT id, code, {amount("cost", "cash_discount")}, {amount("NULL", "cash_dis2")},

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from decimal import Decimal
+from types import MappingProxyType
 
 # Rows per batch, and the item code range of the supplier flow.
 BATCH_ROWS = 1000
@@ -25,6 +27,9 @@ VAT_RATE = Decimal("0.15")
 DEFAULT_BATCH_NUMBER = "AAA"
 DEFAULT_ITEM_NAME = "empty product"
 
+# No ids reserved: every table goes on after its largest stored id.
+NO_IDS: Mapping[str, int] = MappingProxyType({})
+
 # Tax codes given to newly registered products.
 STANDARD_TAX_RATE = 1
 PRICED_TAX_RATE = 5

@@ -41,16 +41,22 @@ def with_input_ordinal(rows: DataFrame) -> DataFrame:
 
 
 def read_positional(
-    spark: SparkSession, path: str | list[str], layout: tuple[str, ...], per_file: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    layout: tuple[str, ...],
+    per_file: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """Files of one layout as text cells with ``source_file`` and ``ord``, staged.
 
-    With ``per_file``, ``ord`` starts at 0 in each file.
+    With ``per_file``, ``ord`` starts at 0 in each file. ``multiline`` takes quoted cells
+    with line breaks in CSV files, at the price of one task per file; cells of workbooks
+    keep theirs in any case.
     """
     csv, books = input_files(spark, path)
     parts = []
     if csv:
-        rows = scan_positional(spark, csv, layout).select("*", *file_marks())
+        rows = scan_positional(spark, csv, layout, multiline=multiline).select("*", *file_marks())
         if not books:
             return with_file_ordinal(rows, per_file=per_file)
         parts.append(with_file_ordinal(rows, per_file=True))

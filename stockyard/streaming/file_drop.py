@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,7 +10,7 @@ from stockyard.sources import feeds
 from stockyard.sources.store import append_run
 
 Post = Callable[[DataFrame], DataFrame]
-PostRun = Callable[[DataFrame, str], dict[str, DataFrame]]
+PostRun = Callable[[DataFrame, str], tuple[dict[str, DataFrame], Mapping[str, int]]]
 
 
 def watch_folder(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -51,18 +51,23 @@ def import_runs(
     root: str,
     checkpoint: str,
     files_per_trigger: int = 1000,
+    job: str = "drop",
+    multiline: bool = False,
 ) -> None:
     """Import every file not seen before as a whole flow, then stop.
 
-    Each trigger is a run of the store under ``root``, named ``drop-<trigger>``. ``post``
-    gets its rows, with ``ord`` over all its files, and the name, and returns the tables of
-    the run, which count once all are written; a trigger that is repeated after a failure
-    takes the place of its earlier attempt.
+    Each trigger is a run of the store under ``root``, named ``<job>-<trigger>``, so jobs
+    that share a store, each with a checkpoint and triggers of its own, need names of their
+    own. ``post`` gets its rows, with ``ord`` over all its files, and the name, and returns
+    the tables of the run and the ids it was given, which count once all are written; a
+    trigger that is repeated after a failure takes the place of its earlier attempt.
     """
 
     def land(files: DataFrame, trigger: int) -> None:
-        run_id = f"drop-{trigger}"
-        append_run(post(feeds.read_positional(spark, _paths(files), layout), run_id), root, run_id)
+        run_id = f"{job}-{trigger}"
+        rows = feeds.read_positional(spark, _paths(files), layout, multiline=multiline)
+        posted, ids = post(rows, run_id)
+        append_run(posted, root, run_id, ids)
 
     _take(watch_folder(spark, folder, files_per_trigger), land, checkpoint)
 
