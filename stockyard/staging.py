@@ -37,7 +37,43 @@ def stage(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
 
     ``by`` names columns of few values; filters on them read only what they ask for.
     """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
+    return _staged(df, new_folder(df.sparkSession, name), by)
+
+
+def _staged(df: DataFrame, path: str, by: Sequence[str]) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Staged tables that one piece of work needs until its own result is staged."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, new_folder(spark, name)
+
+    def stage(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        """As :func:`stage`, in the folder of this work."""
+        return _staged(df, self._path(name), by)
+
+    def stage_bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """Write ``df`` once, in as many buckets of ``keys`` as the session shuffles to.
+
+        Joins and groups by all of the keys read it without a shuffle of its rows. Meant for
+        keys of few rows each: a join does not split a bucket.
+        """
+        table = f"stockyard_{uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
+        writer.option("path", self._path(name)).saveAsTable(table)
+        found = self.spark.table(table)
+        # The frame knows its files and buckets; the session's catalogue need not.
+        self.spark.sql(f"DROP TABLE {table}")
+        return found
+
+    def release(self) -> None:
+        """Deletes the folder, when nothing that is still to run reads from it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{name}-{uuid4().hex}"
