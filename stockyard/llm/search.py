@@ -48,6 +48,8 @@ _FOLD[0x41:0x5B] += 0x20
 
 _BUNDLE = "cell int, item bigint, terms binary, owners binary, bounds binary, at binary, ids binary, known binary, scores binary"
 
+_SCORED = "item bigint, at bigint, id bigint, known boolean, score bigint"
+
 
 def find_terms(texts: pa.Array) -> Words:
     """The terms of each text, folded; a null text has none."""
@@ -107,11 +109,10 @@ def search(
     travelling = _bundles(asked, gains, blocks, bundles)
     for owner in range(owners):
         mine = gains.where(F.col("owner") == owner).select("cell", "at", "id", "term", "gain")
-        travelling = _visit(travelling, mine, owner, most)
-    best = travelling.mapInArrow(_opened, "item bigint, at bigint, id bigint, known boolean, score bigint")
+        travelling = _visit(travelling, mine, owner, most, last=owner == owners - 1)
     doc = F.when(F.col("known"), F.col("id"))
-    last = Window.partitionBy("item").orderBy(F.desc("score"), doc.asc_nulls_first(), "at")
-    ranked = best.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= most)
+    best = Window.partitionBy("item").orderBy(F.desc("score"), doc.asc_nulls_first(), "at")
+    ranked = travelling.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
     names = asked.select("item", F.col("id").alias("name"))
     return ranked.join(names, "item").select(F.col("name").alias(item_key), "rank", doc.alias(key), "score")
 
@@ -224,12 +225,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"bundle": batch.column("bundle"), "item": batch.column("item"), **packed})
 
 
-def _visit(bundles: DataFrame, postings: DataFrame, owner: int, most: int) -> DataFrame:
-    """Bundles after an owner: its gains are added, and what cannot win any more is let go."""
+def _visit(bundles: DataFrame, postings: DataFrame, owner: int, most: int, last: bool) -> DataFrame:
+    """Bundles after an owner: its gains are added, and what cannot win any more is let go.
+
+    After the last owner a row per accumulator that is left.
+    """
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return left
         held = [_accumulators(row) for row in left.select(_HELD).to_pylist()]
         at, term = (right.column(c).to_numpy() for c in ("at", "term"))
         ids = right.column("id")
@@ -254,11 +256,13 @@ def _visit(bundles: DataFrame, postings: DataFrame, owner: int, most: int) -> Da
                 scores[place[a:b]] += gain[a:b]
             results.append(_best(scores, int(h["bounds"][h["owners"] > owner].sum()), docs, doc_id, doc_known, most))
             scores[:] = 0
+        if last:
+            return _opened(left.column("item").to_numpy(), results)
         columns = {c: pa.array([r[i].tobytes() for r in results], pa.binary()) for i, c in enumerate(_SCORES)}
         return pa.table({**{c: left.column(c) for c in left.column_names if c not in columns}, **columns})
 
     grouped = bundles.groupBy("cell").cogroup(postings.groupBy("cell"))
-    return grouped.applyInArrow(add, _BUNDLE)
+    return grouped.applyInArrow(add, _SCORED if last else _BUNDLE)
 
 
 _KINDS = {
@@ -287,21 +291,13 @@ def _best(scores, rest, docs, doc_id, known, most):
     return docs[seen], doc_id[seen], known[seen], scores[seen]
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(items: np.ndarray, results: list) -> pa.Table:
     """A row per accumulator."""
-    for batch in batches:
-        held = [_accumulators(row) for row in batch.select(_HELD).to_pylist()]
-        many = [len(h["at"]) for h in held]
-        columns = {c: np.concatenate([h[c] for h in held]) if held else np.zeros(0, _KINDS[c]) for c in _SCORES}
-        yield pa.record_batch(
-            {
-                "item": pa.array(np.repeat(batch.column("item").to_numpy(), many)),
-                "at": pa.array(columns["at"]),
-                "id": pa.array(columns["ids"]),
-                "known": pa.array(columns["known"]),
-                "score": pa.array(columns["scores"]),
-            }
-        )
+    many = [len(r[0]) for r in results]
+    columns = [np.concatenate([np.zeros(0, _KINDS[c]), *[r[i] for r in results]]) for i, c in enumerate(_SCORES)]
+    names = ("item", "at", "id", "known", "score")
+    values = [np.repeat(items, many), *columns]
+    return pa.table({n: pa.array(v) for n, v in zip(names, values)})
 
 
 _TERMS = "REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
