@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.staging import stage
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """``node`` and ``root``, the smallest node it is connected to, for every node of an edge.
 
     ``edges`` has bigint columns ``a`` and ``b``. Every round hooks each node's root to the
     smallest root next to it and then halves the paths, so rounds grow with the logarithm
-    of the longest path. Rounds are staged, and only a count comes back.
+    of the longest path. Rounds are staged, by ``stage``, and only a count comes back.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stage(both.where("a <> b").distinct(), "edges")

@@ -8,12 +8,17 @@ their edit distance, and blocks that change places lower it, too. A sketch is a
 texts that share a band are candidates. Few edits can touch all shingles of a short text, so
 it also has bands of two sketches each of its single words.
 
-Within a band each text is first aligned with one other, the head of the group, and then with
-some drawn heads, which brings most classes together at a few pairs per member. In groups
-that still hold several classes all other pairs are settled, block by block: a pair in one
-class needs no test, bounds by length and common words rule most others out, and the rest are
-aligned. A pair is a link if the banded alignment keeps ``least`` of the words of the longer
-text. Classes are the connected components of the links.
+Within the groups of some bands each text is first aligned with one other, the head of its
+group. That links most copies, so of the groups of the other bands only those that hold
+several classes are looked at: their members are aligned with the head, where they are not in
+its class, and then with drawn heads. In groups that still hold several classes all other
+pairs are settled, block by block: a pair in one class needs no test, bounds by length and
+common words rule most others out, and the rest are aligned. A pair is a link if the banded
+alignment keeps ``least`` of the words of the longer text. Classes are the connected
+components of the links.
+
+Candidate texts are staged in buckets of their row, so that the rounds move pairs to texts
+and not all texts to pairs. What only the search needs is deleted when its result is staged.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from stockyard.llm.alignment import similar
 from stockyard.llm.components import components
 from stockyard.llm.frames import quoted, unused, with_row_id, without
 from stockyard.llm.words import Shingles, find_words, mix, range_hashes, seeded, shingles, slices
-from stockyard.staging import stage
+from stockyard.staging import Scratch, stage
 
 WORDS = 3
 LEAST = 0.8
@@ -38,11 +43,14 @@ BANDS = 64
 # Texts of at most so many words have these bands as well.
 SHORT = 64
 SHORT_BANDS = 24
+# Bands whose groups are aligned with their heads first.
+FIRST_BANDS = 8
 # Heads that a group of several classes is given before all its pairs are settled.
 HEADS = 1
-# Members in a block of a large group; smaller groups are settled so many members at a time.
+# Members, and bytes of their texts, in a block of a large group; smaller groups are settled
+# so many at a time.
 BLOCK = 2048
-BUNDLE = 2048
+BLOCK_BYTES = 1 << 25
 # Cells of a text's counts of words, and of pairs of words, and pairs bounded at once.
 _CELLS = 512
 _COARSE = 64
@@ -142,7 +150,11 @@ def band_table(texts: DataFrame, row: str, column: str, bands: int = BANDS) -> D
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``pairs`` with ``linked``: whether their texts are similar enough."""
+    """``pairs`` with ``linked``: whether their texts are similar enough.
+
+    A row is the ``a`` of a few pairs and meets its text in its bucket; it may be the ``b``
+    of very many, so that side is shuffled, texts and pairs, and split where it is hot.
+    """
 
     def align(batches):
         for batch in batches:
@@ -158,39 +170,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     {"a": part.column("a"), "b": part.column("b"), "linked": pa.array(linked, pa.bool_())}
                 )
 
-    side = lambda n: texts.select(F.col("row").alias(n), F.col("text").alias(f"text_{n}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    plain = texts.select("row", "text")
+    heads = plain.join(pairs.select(F.col("b").alias("row")).distinct(), "row", "left_semi")
+    left = pairs.join(plain.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    # Another name for the key, so that heads are shuffled again and not taken bucket by bucket.
+    right = heads.select((F.col("row") + 0).alias("b"), F.col("text").alias("text_b"))
+    found = left.join(right, "b").select("a", "b", "text_a", "text_b")
     return found.mapInArrow(align, "a bigint, b bigint, linked boolean")
 
 
-def linked_classes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``node`` and ``root`` of every linked row among ``members``, rows (key, row).
+def linked_classes(members: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """``node`` and ``root`` of every linked row among ``members``, rows (key, row, first).
 
-    Members of one key share a band; ``texts`` has the text and the bands of each. The
-    members of a group are aligned with its smallest row, those of groups that hold several
-    classes with ``HEADS`` drawn ones, each group its own, and what is left then is settled
-    pair by pair. So at the end any two members of a group are in one class or not alike.
+    Members of one key share a band, one of the first ones where ``first`` is true; ``texts``
+    has the text and the bands of each row. Three rounds align members with heads: those of
+    the first bands with the smallest row of their group, those of the others likewise and
+    those of the first with a drawn row, then all with ``HEADS`` drawn ones. From the second
+    round on only groups that hold several classes take part, and only members outside the
+    class of their head. What is left then is settled pair by pair. So at the end any two
+    members of a group are in one class or not alike.
     """
-    roots, left = None, members
-    for number in range(2):
+    roots, left = None, members.where("first")
+    for number in range(3):
         held = _rooted(left, roots)
-        draws = [F.col("row")] if number == 0 else [
-            F.xxhash64(F.lit(HEADS * number + i), "key", "row") for i in range(HEADS)
-        ]
-        chosen = [F.min_by(F.struct("row", "root"), draw) for draw in draws]
+        drawn = [F.xxhash64(F.lit(HEADS * number + i), "key", "row") for i in range(HEADS)]
+        smallest = F.col("row") if number == 0 else F.when(F.col("first"), drawn[0]).otherwise(F.col("row"))
+        chosen = [F.min_by(F.struct("row", "root"), d) for d in (drawn if number == 2 else [smallest])]
         mixed = _mixed(held, F.array(*chosen).alias("heads"))
-        left = stage(held.join(mixed, "key"), "mixed")
+        left = scratch.stage(held.join(mixed, "key"), "mixed")
         offers = left.select("row", "root", F.explode("heads").alias("head")).where("root <> head.root")
         pairs = offers.select(
             F.greatest("row", "head.row").alias("a"), F.least("row", "head.row").alias("b")
         )
-        checked = stage(_verified(pairs.distinct(), texts, least), "checked")
-        roots = _merged(roots, checked.where("linked").select("a", "b"))
+        pairs = scratch.stage(pairs.distinct(), "pairs")
+        checked = scratch.stage(_verified(pairs, texts, least), "checked")
+        roots = _merged(roots, checked.where("linked").select("a", "b"), scratch)
         # The two members of a pair have been compared.
-        left = left.where("size > 2").select("key", "row")
+        left = left.where("size > 2").select("key", "row", "first")
+        if number == 0:
+            left = left.unionByName(members.where("NOT first"))
     held = _rooted(left, roots)
-    open_groups = stage(held.join(_mixed(held), "key").select("key", "row", "root", "size"), "open")
-    return _merged(roots, stage(_settled(open_groups, texts, least), "settled"))
+    open_groups = scratch.stage(held.join(_mixed(held), "key").select("key", "row", "root", "size"), "open")
+    return _merged(roots, scratch.stage(_settled(open_groups, texts, least), "settled"), scratch)
 
 
 def _mixed(held: DataFrame, *more: Column) -> DataFrame:
@@ -204,14 +225,19 @@ def _mixed(held: DataFrame, *more: Column) -> DataFrame:
 def _settled(held: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links ``a``, ``b`` that join all alike members of each group in ``held``.
 
-    A group above ``BLOCK`` is dealt into blocks, and each two blocks are settled by
-    themselves; groups below are settled some at a time.
+    A group above ``BLOCK`` members or ``BLOCK_BYTES`` of text is dealt into blocks, and each
+    two blocks are settled by themselves; groups below are settled some at a time.
     """
-    small = F.col("size") <= BLOCK
-    bundles = held.where(small).count() // BUNDLE + 1
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = held.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), blocks).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    lengths = texts.select("row", F.octet_length("text").cast("bigint").alias("bytes"))
+    weighed = held.join(lengths, "row")
+    whole = weighed.groupBy("key").agg(F.sum("bytes").alias("whole"))
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("whole") / F.lit(BLOCK_BYTES))).cast("int")
+    dealt = weighed.join(whole, "key").withColumn("blocks", F.greatest(blocks, F.lit(1)))
+    small = F.col("blocks") == 1
+    load = dealt.where(small).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    bundles = load.n // BLOCK + (load.bytes or 0) // BLOCK_BYTES + 1
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), "blocks").cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     bundle = F.when(small, F.pmod(F.xxhash64("key"), F.lit(bundles))).otherwise(F.xxhash64("key", low, high))
     placed = paired.select("key", "row", "root", "block", low.alias("low"), high.alias("high"), bundle.alias("bundle"))
@@ -309,17 +335,17 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return found.withColumn("root", F.coalesce("root", "row"))
 
 
-def _merged(roots: DataFrame | None, linked: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame | None, linked: DataFrame, scratch: Scratch) -> DataFrame:
     """The classes after more links: components of the links between present classes."""
     if roots is None:
-        return components(linked)
+        return components(linked, scratch.stage)
     a = _rooted(linked.withColumnRenamed("a", "row"), roots).select(F.col("root").alias("a"), "b")
     between = _rooted(a.withColumnRenamed("b", "row"), roots).select("a", F.col("root").alias("b"))
-    joined = components(between)
+    joined = components(between, scratch.stage)
     fresh = joined.join(roots.select("node"), "node", "left_anti")
     above = joined.select(F.col("node").alias("root"), F.col("root").alias("upper"))
     moved = roots.join(above, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
-    return stage(moved.union(fresh), "roots")
+    return scratch.stage(moved.union(fresh), "roots")
 
 
 def near_duplicates(
@@ -337,22 +363,26 @@ def near_duplicates(
     as nothing is known of it. Texts of fewer than three words have one shingle, all of it.
     """
     df = without(df, "class_id", "class_size", "kept")
+    scratch = Scratch(df.sparkSession, "near")
     row = unused(df, "row")
     rows = with_row_id(df, row, "documents")
-    table = stage(band_table(rows, row, column, bands), "bands")
-    groups = stage(table.groupBy("h1", "h2").agg(F.min("row").alias("head")), "groups")
+    table = scratch.stage(band_table(rows, row, column, bands), "bands")
+    groups = scratch.stage(table.groupBy("h1", "h2").agg(F.min("row").alias("head")), "groups")
     heads = groups.select(F.col("head").alias("row"))
 
     single = table.where("some").join(heads, "row", "left_semi")
-    banded = single.select("row", F.explode("bands").alias("key"))
+    banded = single.select("row", F.posexplode("bands").alias("place", "key"))
+    # A band has keys of its own, so all members of a key are of one kind.
+    first = (F.col("place") < FIRST_BANDS) | F.col("place").between(bands, bands + FIRST_BANDS - 1)
+    banded = banded.select("row", "key", first.alias("first"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stage(banded.join(shared, "key").select("key", "row"), "members")
+    members = scratch.stage(banded.join(shared, "key").select("key", "row", "first"), "members")
     involved = members.select("row").distinct()
     texts = rows.select(F.col(quoted(row)).alias("row"), F.col(quoted(column)).alias("text"))
     texts = texts.join(involved, "row", "left_semi").join(table.select("row", "bands"), "row")
-    texts = stage(texts, "candidates")
+    texts = scratch.stage_bucketed(texts, "candidates", "row")
 
-    roots = linked_classes(members, texts, least).withColumnRenamed("node", "head")
+    roots = linked_classes(members, texts, least, scratch).withColumnRenamed("node", "head")
     placed = (
         table.select("row", "h1", "h2")
         .join(groups, ["h1", "h2"])
@@ -360,7 +390,7 @@ def near_duplicates(
         .select("row", F.coalesce("root", "head").alias("root"))
     )
     keys = rows.select(F.col(quoted(row)).alias("row"), F.col(quoted(key)).alias("_key"))
-    placed = stage(keys.join(placed, "row", "left").withColumn("root", F.coalesce("root", "row")), "placed")
+    placed = scratch.stage(keys.join(placed, "row", "left").withColumn("root", F.coalesce("root", "row")), "placed")
     best = F.min(F.struct(F.col("_key").isNull(), "_key", "row"))
     classes = placed.groupBy("root").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size"))
     marked = placed.join(classes, "root").select(
@@ -369,4 +399,6 @@ def near_duplicates(
         "class_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
     )
+    marked = stage(marked, "classes")
+    scratch.release()
     return rows.join(marked, row).drop(row)
