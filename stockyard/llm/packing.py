@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from stockyard.llm.cutting import Pattern, solve
 from stockyard.llm.frames import append, quoted, without
-from stockyard.llm.tokens import encoder, ids_crc32
+from stockyard.llm.tokens import TEXT_BYTES, encoder, ids_crc32
+from stockyard.llm.words import slices
 from stockyard.staging import stage
 
 _ADDED = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -72,20 +73,25 @@ def _pieces(df: DataFrame, vocabulary: str, capacity: int, end: int) -> DataFram
     def cut(batches):
         task, seen = TaskContext.get().partitionId(), Counter()
         coder = encoder(vocabulary)
-        last = np.array([end], coder.dtype).tobytes()
         for batch in batches:
-            rows, found = [], []
-            for row, text in enumerate(batch.column("_text")):
-                ids = np.frombuffer(coder.encode(text.as_py() or "") + last, coder.dtype)
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    rows.append(row)
-                    found.append((start, len(piece), ids_crc32(piece), len(ids), task, seen[len(piece)]))
-                    seen[len(piece)] += 1
-            kept = batch.select(columns).take(pa.array(rows, pa.int64()))
-            names = ("start", "length", "ids_crc32", "doc_tokens", "task", "rank")
-            values = np.array(found, np.int64).reshape(-1, len(names)).T
-            yield append(kept, **{n: np.ascontiguousarray(v) for n, v in zip(names, values)})
+            for part in slices(batch, "_text", TEXT_BYTES):
+                ids, bounds = coder.encode_all(part.column("_text"), end)
+                ids, sizes = ids.astype("<u4"), np.diff(bounds)
+                many = -(-sizes // capacity)
+                rows = np.repeat(np.arange(part.num_rows), many)
+                start = (np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+                length = np.minimum(capacity, sizes[rows] - start)
+                at = bounds[rows] + start
+                rank = np.empty(len(rows), np.int64)
+                for i, n in enumerate(length.tolist()):
+                    rank[i] = seen[n]
+                    seen[n] += 1
+                yield append(
+                    part.select(columns).take(pa.array(rows)),
+                    start=start, length=length, rank=rank, doc_tokens=sizes[rows],
+                    ids_crc32=pa.array([ids_crc32(ids[a : a + n]) for a, n in zip(at, length)], pa.int64()),
+                    task=np.full(len(rows), task, np.int64),
+                ).select([*columns, "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
 
     fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.select(*map(quoted, columns)).schema)
     schema = f"{fields}, {_PIECE}, task bigint, rank bigint" if columns else f"{_PIECE}, task bigint, rank bigint"

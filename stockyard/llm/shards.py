@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from stockyard.llm.frames import quoted
 from stockyard.llm.succinct import EliasFano
-from stockyard.llm.tokens import encoder
+from stockyard.llm.tokens import TEXT_BYTES, encoder
+from stockyard.llm.words import slices
 from stockyard.staging import new_folder
 
 SHARD_IDS = 1 << 20
@@ -57,20 +58,22 @@ def write_shards(
 
     def encode(batches):
         coder = encoder(vocabulary)
-        last = np.array([end], coder.dtype).tobytes()
         for batch in batches:
-            keys = batch.column("key")
-            known = keys.is_valid().to_numpy(zero_copy_only=False)
-            number = np.searchsorted(ranges, keys.fill_null(0).to_numpy(), side="left")
-            number = np.where(known, number, len(ranges) + 1)
-            ids = [coder.encode(t.as_py() or "") + last for t in batch.column("text")]
-            yield pa.record_batch(
-                {
-                    "range": pa.array(number, pa.int32()),
-                    "key": keys,
-                    "ids": pa.array(ids, pa.binary()),
-                }
-            )
+            for piece in slices(batch, "text", TEXT_BYTES):
+                keys = piece.column("key")
+                known = keys.is_valid().to_numpy(zero_copy_only=False)
+                number = np.searchsorted(ranges, keys.fill_null(0).to_numpy(), side="left")
+                number = np.where(known, number, len(ranges) + 1)
+                ids, bounds = coder.encode_all(piece.column("text"), end)
+                bounds = (bounds * coder.dtype.itemsize).astype(np.int32)
+                held = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(ids))]
+                yield pa.record_batch(
+                    {
+                        "range": pa.array(number, pa.int32()),
+                        "key": keys,
+                        "ids": pa.Array.from_buffers(pa.binary(), piece.num_rows, held),
+                    }
+                )
 
     def write(batches):
         coder = encoder(vocabulary)

@@ -3,7 +3,8 @@
 The tokenizers library does the encoding. Its pre-tokenizer never joins what stands
 before a blank with what follows it, unless the blank is followed by more white space,
 so a text may be cut before each such blank and each piece looked up in a bounded
-per-process cache; the library sees every distinct piece once.
+per-process cache; the library sees every distinct piece once. Many texts are cut together
+into one column of pieces, whose distinct values alone are looked up.
 """
 
 from __future__ import annotations
@@ -15,16 +16,26 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Pieces kept per process; full caches start afresh, which only costs time.
 _MOST_PIECES = 1_200_000
 _MOST_WORDS = 200_000
+# Bytes of text that are well encoded at once.
+TEXT_BYTES = 1 << 23
 
 # A blank that belongs to a longer run of white space, where no cut is safe.
 _RUN = re.compile(r" (?:\s|\Z)")
+# Bytes that white space may begin with. A blank before one of them may belong to a run.
+_MAYBE_SPACE = np.zeros(256, bool)
+_MAYBE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 # Latin letters and one mark: two pre-tokens whatever the version of Unicode.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)")
+_MARKS = (",", ".", ";", ":", "!", "?")
+# A blank in the byte alphabet of the vocabulary.
+_BLANK = chr(256 + 32)
 
 
 class Encoder:
@@ -85,6 +96,55 @@ class Encoder:
         first = self.piece(parts[0]) if parts[0] else b""
         return first + b"".join(map(self.pieces.__getitem__, parts[1:]))
 
+    def encode_all(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where those of each begin and the last end.
+
+        A null text counts as empty. With ``end`` each text has that id behind its own.
+        """
+        texts = texts.fill_null("").cast(pa.large_string())
+        runs = _with_runs(texts) if self.cuts else np.ones(len(texts), bool)
+        lists = pc.split_pattern(pc.if_else(pa.array(runs), "", texts), " ")
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        column = lists.flatten().dictionary_encode()
+        parts = column.dictionary.to_pylist()
+        # Pieces that follow a blank, then the beginning of each text, or all of it, and the end.
+        table = [self.pieces[p] if p else b"" for p in parts]
+        for row, first in enumerate(offsets[:-1]):
+            if runs[row]:
+                table.append(self.encode(texts[row].as_py()))
+            else:
+                begin = parts[column.indices[int(first)].as_py()]
+                table.append(self.piece(begin) if begin else b"")
+        table.append(b"" if end is None else np.array([end], self.dtype).tobytes())
+        rows = np.arange(len(texts))
+        codes = np.full(offsets[-1] + len(texts), len(table) - 1, np.int32)
+        codes[np.arange(offsets[-1]) + np.repeat(rows, np.diff(offsets))] = column.indices.to_numpy()
+        codes[offsets[:-1] + rows] = len(parts) + rows
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[codes]
+        after = np.cumsum(many)
+        total = int(after[-1]) if len(after) else 0
+        places = np.repeat(starts[codes] - (after - many), many) + np.arange(total)
+        return np.frombuffer(b"".join(table), self.dtype)[places], np.append(0, after[offsets[1:] + rows])
+
+
+def _with_runs(texts: pa.Array) -> np.ndarray:
+    """Texts in which a blank may belong to a run of white space, or is the last character."""
+    _, bounds, buffer = texts.buffers()
+    offsets = np.frombuffer(bounds, np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+    data = data[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    blank = data == 0x20
+    # What follows the last byte of a text belongs to the next one.
+    last = offsets[1:][np.diff(offsets) > 0] - 1
+    doubtful = blank.copy()
+    doubtful[:-1] &= _MAYBE_SPACE[data[1:]]
+    doubtful[last] = blank[last]
+    at = np.searchsorted(np.flatnonzero(doubtful), offsets)
+    return at[1:] > at[:-1]
+
 
 class _Pieces(dict):
     """Ids by piece; each piece is understood to follow a blank."""
@@ -96,6 +156,13 @@ class _Pieces(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) >= _MOST_PIECES:
             self.clear()
+        stem = part[:-1]
+        if part.isascii() and part.isalpha():
+            self[part] = found = self.encoder.fresh(_BLANK + part)
+            return found
+        if part[-1:] in _MARKS and stem.isascii() and stem.isalpha():
+            self[part] = found = self[stem] + self.encoder.word(part[-1])
+            return found
         plain = _PLAIN.fullmatch(part)
         if plain is None:
             found = self.encoder.piece(" " + part)
