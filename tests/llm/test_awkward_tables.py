@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stockyard.llm.fingerprints import edit_report, fingerprint
 from stockyard.llm.html import with_main_text
+from stockyard.llm.linedup import drop_repeated_lines
 from stockyard.llm.language import train, with_language
 from stockyard.llm.lm import with_lm_scores
 from stockyard.llm.mixing import mix
@@ -48,6 +49,7 @@ OPERATORS = {
     "html": lambda df: with_main_text(df.withColumnRenamed("text", "html")),
     "lm": lambda df: with_lm_scores(df, F.col("doc_id") % 2 == 1, VOCABULARY),
     "substrings": drop_repeated_windows,
+    "lines": drop_repeated_lines,
     "shards": lambda df: round_trip(df, VOCABULARY),
     "mix": mix,
     "language": lambda df: with_language(df, train(df, F.lit(True))),
