@@ -68,6 +68,8 @@ LAST_DAY = "2262-04-11"
 LAST_YEAR = 2262
 
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
+# Years of more digits are none that a cell means.
+_YEAR_FIRST = r"^\s*\d{4}(?!\d)"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,7 +143,7 @@ def _position(word: Column, names: list[str]) -> Column:
 
 def lenient_date(text: Column) -> Column:
     """Text as a date in any accepted form; null where none fits."""
-    iso = text.try_cast("timestamp_ntz").cast("date")
+    iso = F.when(text.rlike(_YEAR_FIRST), text.try_cast("timestamp_ntz").cast("date"))
     return F.coalesce(iso, _canonical(text).try_cast("date"))
 
 

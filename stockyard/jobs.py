@@ -82,6 +82,7 @@ LAYOUTS = {
     "supplier": layouts.SUPPLIER,
     "category-metadata": layouts.CATEGORY,
     "category": layouts.CATEGORY,
+    "barcode": layouts.BARCODE,
     "priced-products": layouts.SUPPLIER,
 }
 # Tables whose ids a job hands out, and how many it may need for a row of its feed.
@@ -90,6 +91,7 @@ ID_TABLES = {
     "supplier": {"products": 1, "purchases": 1, "purchase_orders": 1},
     "category-metadata": {"suppliers": 1, "categories": 2},
     "category": {"products": 1, "purchases": 1, "transfers": 1},
+    "barcode": {"products": 1, "purchases": 1, "transfers": 1},
     "priced-products": {"products": 1},
 }
 REPORTS = ("report", "counters", "comparison", "not-found", "left-out")
@@ -140,7 +142,8 @@ def _posted(
         return category.category_metadata(
             feed, table("suppliers", _SUPPLIERS), table("categories", _CATEGORIES), ids=ids
         )
-    if job == "category":
+    if job in ("category", "barcode"):
+        feed = layouts.as_category(feed)
         return category.category_import(
             layouts.typed(feed, keep_text=category.GROUPED_NUMBERS), products,
             table("suppliers", _SUPPLIERS), table("categories", _CATEGORIES),
@@ -227,7 +230,7 @@ def parser() -> argparse.ArgumentParser:
     result.add_argument(
         "job",
         choices=[
-            "standard", "supplier", "category-metadata", "category", "priced-products",
+            "standard", "supplier", "category-metadata", "category", "barcode", "priced-products",
             "images", "discounts", "watch-standard", "watch-supplier", "watch-category",
         ],
     )

@@ -23,7 +23,7 @@ _ROW_BITS = 33
 # Shuffled codes: rounds, a prime whose square fits a BIGINT, and digits of rows and columns
 # below it.
 _ROUNDS = 4
-_PRIME = 2_147_483_647
+PRIME = 2_147_483_647
 _MOST_DIGITS = 18
 
 
@@ -183,10 +183,10 @@ def shuffled_place(place: Column, digits: int, secret: int) -> Column:
 
 def round_numbers(secret: int) -> list[int]:
     """A number below the prime for each round."""
-    return [(secret * (2 * i + 3) + 7919 * (i + 1)) % _PRIME for i in range(_ROUNDS)]
+    return [(secret * (2 * i + 3) + 7919 * (i + 1)) % PRIME for i in range(_ROUNDS)]
 
 
 def _scrambled(value: Column, number: Column) -> Column:
     """A number that follows from ``value``, in whole arithmetic that stays within 64 bits."""
-    mixed = (value + number) % _PRIME
-    return (mixed * mixed + 48271 * mixed + number) % _PRIME
+    mixed = (value + number) % PRIME
+    return (mixed * mixed + 48271 * mixed + number) % PRIME

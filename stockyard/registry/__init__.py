@@ -13,6 +13,7 @@ def load() -> tuple[dict, dict]:
         imports,
         lookups,
         measures,
+        rules,
         scans,
     )
     from stockyard.registry.core import ORACLES, QUERIES

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.measures import with_line_totals
 from stockyard.operators import acceptance, cleaning, posting, reporting, updates
-from stockyard.operators.ordinals import with_batch, with_item_code
+from stockyard.operators.ordinals import PRIME, round_numbers, with_batch, with_item_code
 from stockyard.registry.core import RUN_TIME, Tables, amount, query, sums
 from stockyard.registry.inputs import batch_purchases, numbered_posting
 from stockyard.registry.lookups import image_update
@@ -70,6 +70,30 @@ def item_codes(t: Tables) -> DataFrame:
     return with_item_code(t.ordered.select("ord"), digits=12)
 
 
+_SECRET, _DIGITS = 20_250_101, 12
+
+
+def _shuffled_sql() -> str:
+    """The rounds of shuffled codes as nested statements."""
+    columns = 10 ** (_DIGITS // 2)
+    rows = 9 * 10 ** (_DIGITS - 1) // columns
+    sql = f"SELECT ord, ord // {columns} AS r, ord % {columns} AS c FROM ordered"
+    for number in round_numbers(_SECRET):
+        for part, other, size in (("r", "c", rows), ("c", "r", columns)):
+            kept = f"ord, {other}, ({other} + {number}) % {PRIME} AS m, {part} AS old"
+            sql = f"""SELECT ord, {other},
+              (old + (m * m + 48271 * m + {number}) % {PRIME}) % {size} AS {part}
+              FROM (SELECT {kept} FROM ({sql}) a) b"""
+    first = 10 ** (_DIGITS - 1)
+    return f"SELECT ord, CAST({first} + r * {columns} + c AS VARCHAR) AS avz_item_code FROM ({sql}) z"
+
+
+@query("item_codes_shuffled", _shuffled_sql())
+def item_codes_shuffled(t: Tables) -> DataFrame:
+    """Codes of twelve digits that show no order, for every row of the feed."""
+    return with_item_code(t.ordered.select("ord"), digits=_DIGITS, secret=_SECRET)
+
+
 @query(
     "append_tables",
     """SELECT 'purchases' AS table_name, 'r1' AS run_id, COUNT(DISTINCT batch_id) AS stored_rows

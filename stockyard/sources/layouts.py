@@ -46,6 +46,17 @@ _QUANTITIES = ("item_quantity", "item_packs_units", "item_units")
 _IDS = ("supplier_id",)
 
 
+def as_category(df: DataFrame) -> DataFrame:
+    """Rows of the barcode layout with the columns of the category flow.
+
+    The barcode is the code of an item; the id that the file gives to a product is not ours
+    and goes. There are no groups, so new products have no category, and no purchase price
+    beside the cost.
+    """
+    missing = [c for c in CATEGORY if c not in df.columns]
+    return df.drop("product_id").withColumns({c: F.lit(None).cast("string") for c in missing})
+
+
 def text_schema(layout: tuple[str, ...]) -> T.StructType:
     """Every column of a layout as text."""
     return T.StructType([T.StructField(c, T.StringType()) for c in layout])

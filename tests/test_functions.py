@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockyard.functions import dates, measures, numbers, text
+from stockyard.operators.ordinals import with_item_code
 from stockyard.settings import CategoryRule
 
 
@@ -55,6 +56,42 @@ def test_clamped_expiry(spark, cell, expected):
     assert evaluate(spark, dates.clamped_expiry, [cell]) == [expected]
 
 
+FORMS = {
+    "3/31/2024": (2024, 3, 31), "31/3/2024": (2024, 3, 31), "4/3/2024": (2024, 4, 3), "3-31-2024": (2024, 3, 31),
+    "31-3-2024": (2024, 3, 31), "2024/3/31": (2024, 3, 31), "31 Mar 2024": (2024, 3, 31), "31-mar-2024": (2024, 3, 31),
+    "MAR 31, 2024": (2024, 3, 31), "31 March 2024": (2024, 3, 31), "March 31, 2024": (2024, 3, 31),
+    "Mar 2024": (2024, 3, 1), "March 2024": (2024, 3, 1), "Mar-2024": (2024, 3, 1), "3/2024": (2024, 3, 1),
+    "03-2024": (2024, 3, 1), "20240331": (2024, 3, 31), "31.3.2024": (2024, 3, 31), "2024.03.31": (2024, 3, 31),
+    "31/Mar/2024": (2024, 3, 31), "Mar 31 2024": (2024, 3, 31), "March 31 2024": (2024, 3, 31), "May 2024": (2024, 5, 1),
+    "3/31/24": (2024, 3, 31), "31/3/24": (2024, 3, 31), "3-31-68": (2068, 3, 31), "31-3-69": (1969, 3, 31),
+    "31.3.99": (1999, 3, 31), "31-Mar-24": (2024, 3, 31), "31 Mar 24": (2024, 3, 31),
+    "13/13/2024": None, "30/2/2024": None, "2/30/2024": None, "31-March-2024": None, "Sept 2024": None, "1/2/3": None,
+    "2024": (2024, 1, 1), "202403": None, "x 31 Mar 2024": None, " 3/31/2024": None, "": None, "31/31": None,
+}
+
+
+def test_every_form_of_a_date(spark):
+    expected = [None if d is None else date(*d) for d in FORMS.values()]
+    assert evaluate(spark, dates.lenient_date, list(FORMS)) == expected
+
+
+def test_shuffled_codes_are_all_codes(spark):
+    rows = spark.range(900_000).withColumnRenamed("id", "ord")
+    code = F.col("avz_item_code").cast("int")
+    found = with_item_code(rows, digits=6, secret=77).agg(
+        F.count_distinct(code), F.min(code), F.max(code), F.corr("ord", code)
+    ).first()
+    assert tuple(found)[:3] == (900_000, 100_000, 999_999) and abs(found[3]) < 0.01
+    few = with_item_code(rows.limit(100), digits=6, secret=77, used=899_950)
+    with pytest.raises(Exception, match="all item codes"):
+        few.collect()
+    first, again, other = (
+        [r.avz_item_code for r in with_item_code(rows.limit(50), digits=18, secret=s).orderBy("ord").collect()]
+        for s in (5, 5, 6)
+    )
+    assert first == again != other and all(len(c) == 18 for c in first) and sorted(first) != first
+
+
 def test_integer_text(spark):
     cells = ["100.0", "7.9", "-7.9", "6291041500213", "12345678901234567890", "1e3", "abc", "", None]
     expected = ["100", "7", "-7", "6291041500213", "12345678901234567890", "1000", None, None, None]

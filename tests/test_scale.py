@@ -150,3 +150,40 @@ def test_hot_and_missing_keys_are_split_in_a_lookup_without_broadcast(spark):
     assert "skew=true" in plan
     missing = sum(1 for i in range(2, 600_000, 3) if i % 5000 == 3)
     assert tuple(counts) == (600_000, 400_000, 400_000 - missing)
+
+
+def test_a_hot_supplier_name_is_split_in_a_lookup_without_broadcast(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    row = F.col("id")
+    name = F.when(row % 2 == 0, F.lit("hot")).otherwise((row % 3000).cast("string"))
+    feed = spark.range(500_000).select(row.alias("ord"), name.alias("supplier_name"), F.repeat(row.cast("string"), 4).alias("pad"))
+    suppliers = spark.range(3000).select((row + 1).alias("id"), F.when(row == 4, "hot").otherwise(row.cast("string")).alias("name"))
+    suppliers = suppliers.unionByName(suppliers.withColumn("id", row + 90_000))
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = lookups.with_supplier_or_default(feed, suppliers, "supplier_name", 786, "none", ["ord"])
+        by_rest = found.groupBy("supplier_known").agg(F.count("*").alias("n"), F.min("supplier_id"), F.max("pad"))
+        counts = {r.supplier_known: r.n for r in by_rest.collect()}
+        plan = plan_of(by_rest)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert "skew=true" in plan
+    assert counts == {True: 500_000}
+
+
+def test_a_cell_is_parsed_a_few_times_only(spark):
+    from stockyard.functions import dates
+
+    cells = spark.range(10).select(F.col("id").cast("string").alias("x"))
+    for form in (dates.strict_expiry, dates.clamped_expiry):
+        plan = cells.select(form(F.col("x")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"gettimestamp|try_to_date|as date\)|as timestamp_ntz", plan)) <= 4
