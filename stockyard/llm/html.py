@@ -4,10 +4,12 @@ Markup is stripped block by block: each block is a line. Parts that cannot be th
 (menus, scripts, forms, adverts, reader comments and the like, by tag or by the words of
 their class, id or role) become runs of blank lines. The lengths of lines, links not
 counted, are summed over a sliding window; where the sum surges above a threshold the
-text begins, and where it dives to zero the text ends. Of the articles, the main part and the
+text begins, and where it dives to zero the text ends. A page on which nothing surges is
+short, and its text begins with its first line. Of the articles, the main part and the
 rest of a page, the one with most text outside links counts, a marked character as ``PRIOR``;
 if that part is marked its lines weigh as much and surge early, and lines outside it surge only
-if they are as long as the longest in it.
+if they are as long as the longest in it. Lines of links alone weigh nothing, but inside that
+part a few of them in a row, or any with text after them, are part of the text.
 """
 
 from __future__ import annotations
@@ -28,13 +30,6 @@ SURGE = 80
 # How many characters one in an article or main part counts for.
 PRIOR = 8
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
-    r"|</?[a-z!?][^<>]*+(?:>|\Z)",
-    re.S | re.I,
-)
 _LABEL = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -46,8 +41,26 @@ _BLOCKS = frozenset(
 )
 _NEVER_TEXT = frozenset("nav footer aside form button menu dialog fieldset label input".split())
 _WHOLE = frozenset("html body article main".split())
+# What a head holds. Anything else ends it, whether it is closed or not.
+_IN_HEAD = frozenset("meta link base basefont bgsound html".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr p li".split())
 
+_INLINE = frozenset("a b i em strong span img script style title head body link meta iframe svg".split())
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title)\b"
+    r"(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
+    r"|</?[a-z!?][^<>]*+(?:>|\Z)"
+    # A tag that the next one cuts off.
+    rf"|</?(?:{'|'.join(sorted(_BLOCKS | _NEVER_TEXT | _INLINE))})\b[^<>]*+",
+    re.S | re.I,
+)
+# Last words of a label that name a holder; what it holds is said before them.
+_HOLDER = re.compile(
+    r"list|box|block|wrap|wrapper|container|area|section|bar|panel|items?|inner|outer|content|main|top|bottom|"
+    r"left|right|center|groups?|rows?|col|cols|columns?|buttons?|links?|icons?|posts?|articles?|stories|form"
+)
 # Words of labels. Parts with the first kind stay out even around an <article>.
 _ASIDE = re.compile(
     r"comments?|discussion|disqus|repl(?:y|ies)|respond|related|recommend\w*"
@@ -59,6 +72,14 @@ _FRAME = re.compile(
 )
 
 
+def _subject(label: str) -> str:
+    """What a name of one or more words stands for: its last word that names no holder."""
+    words = _PART.findall(label)
+    while len(words) > 1 and _HOLDER.fullmatch(words[-1]):
+        words.pop()
+    return words[-1] if words else ""
+
+
 def _kind(name: str, rest: str, inside: bool) -> str | None:
     """Why an element is left out: ``aside``, ``frame`` or not at all."""
     if name in ("aside",):
@@ -69,7 +90,7 @@ def _kind(name: str, rest: str, inside: bool) -> str | None:
         if _HIDDEN.search(rest):
             return "frame"
         for label in _LABEL.finditer(rest):
-            words = _PART.findall((label[1] or label[2] or label[3] or "").lower())
+            words = [_subject(w) for w in (label[1] or label[2] or label[3] or "").lower().split()]
             if any(_ASIDE.fullmatch(w) for w in words):
                 return "aside"
             if name not in _WHOLE and any(_FRAME.fullmatch(w) for w in words):
@@ -82,7 +103,7 @@ def _lines(page: str) -> list[tuple[str, int, int]]:
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     link = article = main = linked = 0
-    skipped, kind, depth = "", "", 0
+    skipped, kind, depth, head = "", "", 0, False
     at = 0
 
     def close():
@@ -95,14 +116,23 @@ def _lines(page: str) -> list[tuple[str, int, int]]:
 
     for token in _TOKEN.finditer(page):
         if token.start() > at and not skipped:
-            parts.append(page[at : token.start()])
-            if link:
-                linked += token.start() - at
+            between = page[at : token.start()]
+            head = head and not between.strip()
+            if not head:
+                parts.append(between)
+                if link:
+                    linked += token.start() - at
         at = token.end()
         name = token["name"]
         if name is None:
             continue
         name = name.lower()
+        if name == "head":
+            head = not token["end"]
+            continue
+        if head and name in _IN_HEAD:
+            continue
+        head = False
         if skipped:
             if name == skipped:
                 depth += -1 if token["end"] else 1
@@ -158,9 +188,13 @@ def main_text(page: str | None) -> str:
     weights = np.array([n * (PRIOR if mark and own else 1) for _, n, own in blocks], np.int64)
     if not weights.any():
         return ""
+    if mark:
+        _weigh_links(blocks, weights)
     sums = np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
     most = int(sums.max())
-    surge = min(SURGE // PRIOR if mark else SURGE, most - 1)
+    surge = SURGE // PRIOR if mark else SURGE
+    if most <= surge:
+        surge = 0
     # Text outside the part needs windows as long as the longest in it.
     outside = max(SURGE, most // PRIOR) if mark else surge
     kept, inside = [], False
@@ -171,6 +205,21 @@ def main_text(page: str | None) -> str:
     return " ".join(kept)
 
 
+def _weigh_links(blocks: list[tuple[str, int, bool]], weights: np.ndarray) -> None:
+    """Gives lines of links alone in the part that counts the weight of one character.
+
+    Of those at its end only fewer than ``WINDOW`` in a row get it: more are a menu.
+    """
+    bare = [own and bool(text) and not weight for (text, _, own), weight in zip(blocks, weights.tolist())]
+    texts = [i for i, (_, _, own) in enumerate(blocks) if own and weights[i]]
+    if not texts:
+        return
+    behind = [i for i, b in enumerate(bare) if b and i > texts[-1]]
+    for i, b in enumerate(bare):
+        if b and (i < texts[-1] or len(behind) < WINDOW):
+            weights[i] = 1
+
+
 def with_main_text(df: DataFrame, column: str = "html") -> DataFrame:
     """Adds ``text`` and ``n_chars``, its code points, replacing such columns.
 
