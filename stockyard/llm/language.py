@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.llm.frames import added, append, quoted, without
@@ -23,6 +23,8 @@ from stockyard.llm.words import seeded, slices
 
 SIZE = 1 << 14
 SAMPLE = 4000
+# Fewest rows of a label in the sample, where it has as many.
+LEAST_OF_LABEL = 100
 EPOCHS = 3
 UNKNOWN = "und"
 
@@ -150,12 +152,41 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out, rows
 
 
+def _drawn(rows: DataFrame, sample: int, seed: int) -> DataFrame:
+    """Rows of each label with small seeded draws, about twice as many as its ``quota``.
+
+    A label gets its share of the sample, ``LEAST_OF_LABEL`` at least. Draws hang on key and
+    text, so copies of a text are drawn one by one.
+    """
+    span = 1 << 30
+    draws = rows.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "key", "text"), F.lit(span)))
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n")).scalar()
+    quota = F.greatest(F.ceil(F.col("n") * sample / whole), F.lit(LEAST_OF_LABEL))
+    wanted = counts.select(
+        "label", quota.alias("quota"), F.least(F.lit(span), F.ceil(2 * quota / F.col("n") * span)).alias("limit")
+    )
+    return draws.join(wanted, "label").where("draw < limit").select("text", "label", "draw", "quota")
+
+
 def train(
-    df: DataFrame, training: Column, text: str = "text", label: str = "lang", sample: int = SAMPLE, seed: int = 3
+    df: DataFrame,
+    training: Column,
+    text: str = "text",
+    label: str = "lang",
+    sample: int = SAMPLE,
+    seed: int = 3,
+    key: str = "doc_id",
 ) -> Model:
-    """A model from the rows of ``df`` for which ``training`` holds and the label is not null."""
+    """A model from the rows of ``df`` for which ``training`` holds and the label is not null.
+
+    Frequencies come from all of them, the weights from a sample of at most ``2 * sample``
+    rows. Without a column ``key`` rows are drawn by their text alone.
+    """
     rows = df.where(training & F.col(quoted(label)).isNotNull()).select(
-        F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"), F.col(quoted(label)).alias("label")
+        F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"),
+        F.col(quoted(label)).cast("string").alias("label"),
+        (F.col(quoted(key)).cast("string") if key in df.columns else F.lit("")).alias("key"),
     )
     seen, total = _document_frequencies(rows.select("text"))
     if not total:
@@ -176,16 +207,18 @@ def train(
                     {
                         "label": piece.column("label").cast(pa.string()),
                         "draw": piece.column("draw"),
+                        "quota": piece.column("quota"),
                         "index": pa.array(index, pa.binary()),
                         "value": pa.array(value, pa.binary()),
                     }
                 )
 
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30))
-    limit = int(min(1.0, sample / total) * (1 << 30))
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < limit)
-    found = drawn.mapInArrow(sparse, "label string, draw bigint, index binary, value binary")
-    picked = sorted(found.collect(), key=lambda r: (r["draw"], r["label"]))[: 2 * sample]
+    schema = "label string, draw bigint, quota bigint, index binary, value binary"
+    near = _drawn(rows, sample, seed).mapInArrow(sparse, schema)
+    # The smallest draws of each label, and never more than twice the sample in all.
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "index"))
+    found = near.withColumn("rank", rank).where("rank <= quota").orderBy("draw", "label", "index").limit(2 * sample)
+    picked = found.collect()
     names = sorted({r["label"] for r in picked})
     data = [
         (
