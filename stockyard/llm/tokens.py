@@ -31,6 +31,7 @@ _RUN = re.compile(r" (?:\s|\Z)")
 # Bytes that white space may begin with. A blank before one of them may belong to a run.
 _MAYBE_SPACE = np.zeros(256, bool)
 _MAYBE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SPACES = re.compile(r"\s")
 # Latin letters and one mark: two pre-tokens whatever the version of Unicode.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)")
 _MARKS = (",", ".", ";", ":", "!", "?")
@@ -80,6 +81,13 @@ class Encoder:
             found = self.words[mapped] = self.fresh(mapped)
         return found
 
+    def bare(self, text: str) -> bytes:
+        """Ids of a piece without a blank before it."""
+        plain = _PLAIN.fullmatch(text)
+        if plain is None:
+            return self.piece(text)
+        return self.fresh(_mapped(plain[1])) + (self.word(plain[2]) if plain[2] else b"")
+
     def piece(self, text: str) -> bytes:
         """Ids of a piece that starts and ends at safe cuts."""
         if any(s in text for s in self.special):
@@ -147,7 +155,11 @@ def _with_runs(texts: pa.Array) -> np.ndarray:
 
 
 class _Pieces(dict):
-    """Ids by piece; each piece is understood to follow a blank."""
+    """Ids by piece; each piece is understood to follow a blank.
+
+    A line feed with other than white space on both sides is a pre-token of its own, so a
+    piece that holds some is put together of its lines. Lines behind one are kept with it.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
@@ -156,6 +168,9 @@ class _Pieces(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) >= _MOST_PIECES:
             self.clear()
+        if "\n" in part:
+            self[part] = found = self.lines(part)
+            return found
         stem = part[:-1]
         if part.isascii() and part.isalpha():
             self[part] = found = self.encoder.fresh(_BLANK + part)
@@ -173,6 +188,16 @@ class _Pieces(dict):
         self[part] = found
         return found
 
+    def lines(self, part: str) -> bytes:
+        first, *rest = part.split("\n")
+        if not all(rest) or _SPACES.search(first) or any(map(_SPACES.search, rest)):
+            return self.encoder.piece(" " + part)
+        if first:
+            return self[first] + b"".join([self["\n" + line] for line in rest])
+        if len(rest) > 1:
+            return b"".join([self["\n" + line] for line in rest])
+        return self.encoder.word(_mapped("\n")) + self.encoder.bare(rest[0])
+
 
 def _rejoined(parts: list[str]) -> list[str]:
     """Pieces with runs of white space left whole: only the last blank of a run is a cut."""
