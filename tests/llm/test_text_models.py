@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stockyard.llm import attention, language, lm
 from stockyard.llm.html import main_text
@@ -82,6 +85,91 @@ def test_cards_do_not_take_the_place_of_the_body():
     assert main_text(f"<article><p>{body}</p>{links}</article>") == body
 
 
+def test_what_an_article_holds_stays():
+    assert main_text("<html><head><title>x</title><body><article><p>Hello world</p></article>") == "Hello world"
+    assert main_text("<head><meta><title>T</title><script>'<div>'</script><div><p>Of the page</p></div>") == "Of the page"
+    link = "<p><a href='/'>{}</a></p>"
+    assert main_text(f"<article><p>One two.</p>{link.format('Read it')}</article>") == "One two. Read it"
+    middle = "".join(link.format(i) for i in "abc")
+    assert main_text(f"<article><p>One two.</p>{middle}<p>End.</p></article>") == "One two. a b c End."
+    short = "".join(f"<p>paragraph number {i}</p>" for i in range(12))
+    assert main_text(short) == " ".join(f"paragraph number {i}" for i in range(12))
+    for label in ("share-price", "header-image text", "alert-history", "ad-hoc"):
+        assert main_text(f"<article><p>a b</p><div class='{label}'><p>c</p></div></article>") == "a b c"
+    for label in ("share-buttons", "comment-list", "x cookie-notice", "ads", "related-posts", "nav-bar-left"):
+        assert main_text(f"<article><p>a b</p><div class='{label}'><p>c</p></div></article>") == "a b"
+
+
+@pytest.mark.parametrize("mark", ["<script ", "<a ", "<!--", "<div class='", "<title>", "<head>", "<style x='", "<p>", "</div>"])
+def test_long_pages_of_broken_markup(mark):
+    began = time.process_time()
+    assert main_text("<article><p>x</p></article>" + mark * 200_000) == "x"
+    assert time.process_time() - began < 10
+
+
+class Plain(HTMLParser):
+    """Lines of a page of the table; three blank ones stand for each part that is left out."""
+
+    LEFT_OUT = ("nav", "footer", "script", "style", "title")
+
+    def __init__(self, page):
+        super().__init__()
+        self.lines, self.text, self.out, self.article = [], "", None, False
+        self.feed(page)
+        self.close()
+        self.end_line()
+
+    def end_line(self):
+        if self.text.split():
+            self.lines.append((" ".join(self.text.split()), self.article))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if self.out:
+            return
+        if tag in self.LEFT_OUT or dict(attrs).get("class") == "ad":
+            self.end_line()
+            self.lines += [("", False)] * 3
+            self.out = tag
+        elif tag not in ("b", "a", "i"):
+            self.end_line()
+        self.article |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if self.out:
+            self.out = None if tag == self.out else self.out
+        elif tag not in ("b", "a", "i"):
+            self.end_line()
+        self.article &= tag != "article"
+
+    def handle_data(self, data):
+        self.text += "" if self.out else data
+
+
+def text_by_windows(page):
+    """Line blocks by the book: sums of three lines, begun above 80 where any is, ended at none."""
+    lines = [text for text, _ in Plain(page).lines]
+    sums = [sum(map(len, lines[i : i + 3])) for i in range(len(lines))]
+    least = 80 if max(sums, default=0) > 80 else 0
+    begun, kept = False, []
+    for text, total in zip(lines, sums):
+        begun = total > 0 if begun else total > least
+        if begun and text:
+            kept.append(text)
+    return " ".join(kept)
+
+
+def test_pages_of_the_table(spark, folder):
+    """Of each page its article; without the tag that says so the windows alone find the text."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    found = {r.page_id: r.text for r in QUERIES["op2_html_text"](spark, folder).collect()}
+    assert set(found) == {p.page_id for p in pages}
+    for p in pages:
+        assert found[p.page_id] == " ".join(text for text, own in Plain(p.html).lines if own)
+        bare = p.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert main_text(bare) == text_by_windows(bare)
+
+
 def test_main_text_of_null():
     assert main_text(None) == ""
 
@@ -95,6 +183,21 @@ def test_held_out_languages(spark, folder):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_the_sample_of_languages_is_bounded_and_has_rare_ones(spark):
+    """Nine tenths of the rows are copies of one text, and one language has a few rows only."""
+    rows = [(i, "the same words again and again", "en") for i in range(4500)]
+    rows += [(5000 + i, f"der hund und die katze {i}", "de") for i in range(480)]
+    rows += [(9000 + i, f"el perro y la playa {i}", "es") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = language._drawn(df.selectExpr("CAST(doc_id AS STRING) AS key", "text", "lang AS label"), 300, 3)
+    kept = {r.label: r["count"] for r in drawn.groupBy("label").count().collect()}
+    assert kept["es"] == 20 and 100 < kept["de"] < 350 and 400 < kept["en"] < 700
+    model = language.train(df, F.lit(True), sample=300)
+    assert sorted(model.names) == ["de", "en", "es"]
+    told = language.with_language(df, model).where("lang <> lang_pred").count()
+    assert told < 0.02 * len(rows)
+
+
 def test_temperature_and_sparsity():
     draw = np.random.default_rng(1)
     labels = draw.integers(0, 3, 4000)
