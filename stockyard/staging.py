@@ -40,6 +40,27 @@ def stage(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     return _staged(df, new_folder(df.sparkSession, name), by)
 
 
+def stage_bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Write ``df`` once, in as many buckets of ``keys`` as the session shuffles to.
+
+    Joins and groups by all of the keys read it without a shuffle of its rows. Meant for
+    keys of few rows each: a join does not split a bucket. Rows that are not dealt out by
+    the keys yet are best repartitioned by them first, or every task writes to every bucket.
+    """
+    return _bucketed(df, new_folder(df.sparkSession, name), keys)
+
+
+def _bucketed(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    spark, table = df.sparkSession, f"stockyard_{uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    # The frame knows its files and buckets; the session's catalogue need not.
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def _staged(df: DataFrame, path: str, by: Sequence[str]) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -56,19 +77,8 @@ class Scratch:
         return _staged(df, self._path(name), by)
 
     def stage_bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
-        """Write ``df`` once, in as many buckets of ``keys`` as the session shuffles to.
-
-        Joins and groups by all of the keys read it without a shuffle of its rows. Meant for
-        keys of few rows each: a join does not split a bucket.
-        """
-        table = f"stockyard_{uuid4().hex}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        writer = df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
-        writer.option("path", self._path(name)).saveAsTable(table)
-        found = self.spark.table(table)
-        # The frame knows its files and buckets; the session's catalogue need not.
-        self.spark.sql(f"DROP TABLE {table}")
-        return found
+        """As :func:`stage_bucketed`, in the folder of this work."""
+        return _bucketed(df, self._path(name), keys)
 
     def release(self) -> None:
         """Deletes the folder, when nothing that is still to run reads from it."""
