@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 # Width of the first band; it doubles until the distance fits or the limit is reached.
 FIRST_BAND = 30
+# Rows whose places are bits of one integer. Only the stretches under the band are put
+# together, so places take room in proportion to the text, however long it is.
+_STRETCH = 1 << 10
 
 
 def edit_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None:
@@ -21,9 +24,12 @@ def edit_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None:
     a, b = a[start : len(a) - tail], b[start : len(b) - tail]
     if not a or not b:
         return max(len(a), len(b))
-    places: dict[int, int] = {}
-    for i, word in enumerate(a):
-        places[word] = places.get(word, 0) | 1 << i
+    places: list[dict[int, int]] = []
+    for start in range(0, len(a), _STRETCH):
+        marks: dict[int, int] = {}
+        for i, word in enumerate(a[start : start + _STRETCH]):
+            marks[word] = marks.get(word, 0) | 1 << i
+        places.append(marks)
     band = min(most, max(FIRST_BAND, abs(len(a) - len(b))))
     while True:
         found = _banded(places, len(a), b, band)
@@ -34,7 +40,7 @@ def edit_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None:
         band = min(most, 4 * band)
 
 
-def _banded(places: dict[int, int], rows: int, b: Sequence[int], band: int) -> int:
+def _banded(places: list[dict[int, int]], rows: int, b: Sequence[int], band: int) -> int:
     """The distance, exact if at most ``band``, with one integer per column of the table.
 
     Column ``j`` holds rows ``j - band`` to ``j + band``; bit ``p`` of the vertical
@@ -46,8 +52,13 @@ def _banded(places: dict[int, int], rows: int, b: Sequence[int], band: int) -> i
     distance = min(rows, band)
     for j, word in enumerate(b, 1):
         shift = j - band - 1
-        match = places.get(word, 0)
-        match = (match >> shift if shift >= 0 else match << -shift) & full
+        match = 0
+        for n in range(max(shift, 0) // _STRETCH, min(shift + width - 1, rows - 1) // _STRETCH + 1):
+            marks = places[n].get(word)
+            if marks:
+                by = n * _STRETCH - shift
+                match |= marks << by if by >= 0 else marks >> -by
+        match &= full
         zero = ((((match & up) + up) ^ up) | match | down) & full
         right = down | (full & ~(zero | up))
         left = zero & up

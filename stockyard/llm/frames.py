@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,21 @@ def with_row_id(df: DataFrame, name: str, stage_as: str) -> DataFrame:
     return stage(df.withColumn(name, F.monotonically_increasing_id()), stage_as)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """While it lasts, jobs that start send Python at most so many rows at once.
+
+    For rows with several whole texts, of which a task holds a batch on either side.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def added(df: DataFrame, fields: str) -> T.StructType:
     """The schema of ``df`` with more fields, given as a DDL text."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])

@@ -17,8 +17,9 @@ common words rule most others out, and the rest are aligned. A pair is a link if
 alignment keeps ``least`` of the words of the longer text. Classes are the connected
 components of the links.
 
-Candidate texts are staged in buckets of their row, so that the rounds move pairs to texts
-and not all texts to pairs. What only the search needs is deleted when its result is staged.
+Rows are staged once in buckets of their number, and so are candidate texts, so that pairs
+and verdicts move to texts and not all texts to them. What only the search needs is deleted
+when its result is staged.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from stockyard.llm.alignment import similar
 from stockyard.llm.components import components
-from stockyard.llm.frames import quoted, unused, with_row_id, without
+from stockyard.llm.frames import arrow_rows, quoted, unused, without
 from stockyard.llm.words import Shingles, find_words, mix, range_hashes, seeded, shingles, slices
-from stockyard.staging import Scratch, stage
+from stockyard.staging import Scratch, stage, stage_bucketed
 
 WORDS = 3
 LEAST = 0.8
@@ -51,6 +52,8 @@ HEADS = 1
 # so many at a time.
 BLOCK = 2048
 BLOCK_BYTES = 1 << 25
+# Pairs of texts that a task is sent at once.
+PAIR_ROWS = 512
 # Cells of a text's counts of words, and of pairs of words, and pairs bounded at once.
 _CELLS = 512
 _COARSE = 64
@@ -203,7 +206,8 @@ def linked_classes(members: DataFrame, texts: DataFrame, least: float, scratch:
             F.greatest("row", "head.row").alias("a"), F.least("row", "head.row").alias("b")
         )
         pairs = scratch.stage(pairs.distinct(), "pairs")
-        checked = scratch.stage(_verified(pairs, texts, least), "checked")
+        with arrow_rows(scratch.spark, PAIR_ROWS):
+            checked = scratch.stage(_verified(pairs, texts, least), "checked")
         roots = _merged(roots, checked.where("linked").select("a", "b"), scratch)
         # The two members of a pair have been compared.
         left = left.where("size > 2").select("key", "row", "first")
@@ -365,7 +369,9 @@ def near_duplicates(
     df = without(df, "class_id", "class_size", "kept")
     scratch = Scratch(df.sparkSession, "near")
     row = unused(df, "row")
-    rows = with_row_id(df, row, "documents")
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = df.withColumn(row, F.monotonically_increasing_id()).repartition(buckets, row)
+    rows = stage_bucketed(numbered, "documents", row)
     table = scratch.stage(band_table(rows, row, column, bands), "bands")
     groups = scratch.stage(table.groupBy("h1", "h2").agg(F.min("row").alias("head")), "groups")
     heads = groups.select(F.col("head").alias("row"))
