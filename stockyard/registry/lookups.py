@@ -11,6 +11,8 @@ from stockyard.operators.ordinals import with_batch
 from stockyard.registry.core import KEYS, Tables, amount, query
 from stockyard.registry.inputs import feed_keys, posted_rows, stored_keys
 from stockyard.settings import CATEGORY
+from stockyard.sources.keyed import write_keyed
+from stockyard.staging import new_folder
 
 K = ", ".join(KEYS)
 
@@ -41,6 +43,19 @@ def missing_keys(t: Tables) -> DataFrame:
     return ops.missing_keys(feed_keys(t), stored_keys(t), ["kind", "item"])
 
 
+@query(
+    "codes_by_keyed_table",
+    """SELECT DISTINCT item_code AS code, item_code IN (SELECT code FROM catalogue) AS is_stored
+    FROM feed WHERE item_code IS NOT NULL""",
+)
+def codes_by_keyed_table(t: Tables) -> DataFrame:
+    """Stored and missing codes, looked up in a table that is kept in buckets of the code."""
+    stored = write_keyed(t.view("catalogue").select("id", "code"), new_folder(t.spark, "codes"), "1", "code")
+    codes = t.feed.select(F.col("item_code").alias("code"))
+    found = ops.existing_keys(codes, stored, ["code"]).withColumn("is_stored", F.lit(True))
+    return found.unionByName(ops.missing_keys(codes, stored, ["code"]).withColumn("is_stored", F.lit(False)))
+
+
 @query(
     "register_products_first",
     f"""SELECT item_code AS code, COALESCE(item_name, 'empty product') AS name,

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from test_imports import standard_rows, supplier_rows, write_csv
 
 from stockyard import jobs
-from stockyard.operators import updates
-from stockyard.sources import buckets, layouts, store
+from stockyard.operators import lookups, updates
+from stockyard.sources import buckets, keyed, layouts, store
 from stockyard.sources.manifest import Manifest, NotStoredError, reserve_ids
 
 AT = "2025-06-01T08:00:00"
@@ -200,3 +200,28 @@ def test_the_store_catalogue_is_updated_in_its_buckets(spark, tmp_path):
     told = store.read_latest(spark, own).where("credit_discount IS NOT NULL")
     assert [(r.id, float(r.credit_discount), float(r.cash_dis3)) for r in told.collect()] == [(7, 1.0, 6.0)]
     assert store.read_latest(spark, own).count() == 200
+
+
+def test_the_stored_side_of_a_lookup_is_not_shuffled(spark, tmp_path):
+    root = str(tmp_path / "codes")
+    products = catalogue(spark, 3000)
+    back = keyed.write_keyed(products, root, "1", "code")
+    assert rows_of(back) == rows_of(products.where("code IS NOT NULL"))
+    feed = spark.range(9000).select((F.col("id") % 4000).cast("string").alias("code"), F.col("id").alias("ord"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Of 4,000 codes every third is not stored, nor are those from 3,000 on.
+        for find, expected in ((lookups.existing_keys, 2000), (lookups.missing_keys, 2000)):
+            found = find(feed, keyed.read_keyed(spark, root), ["code"])
+            count = found.count()
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+            assert plan.count("Exchange hashpartitioning") == 1
+            assert count == find(feed, products, ["code"]).count() == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    keyed.write_keyed(products.limit(0), root, "2", "code", 3)
+    assert keyed.read_keyed(spark, root).count() == 0
+    with pytest.raises(NotStoredError):
+        keyed.read_keyed(spark, str(tmp_path / "nowhere"))
