@@ -91,6 +91,21 @@ def test_defined_results(docs):
     assert all(r.taken <= 2 * r["size"] for r in mixed)
 
 
+NAMED = ("kept", "size", "copies", "taken", "n_words", "n_removed", "class_id", "target", "copy", "own_5_", "_copy", "row")
+
+
+@pytest.mark.parametrize("place", range(4))
+def test_stages_leave_columns_of_any_name(spark, place):
+    words = "the old man and the sea is a book that he wrote by the shore of it all"
+    rows = [(i, f"{words} {'x' * i} {i}", "en", "a", 80, *[f"mine {i} {n}" for n in NAMED]) for i in range(0, 40, 9)]
+    names = ", ".join(f"`{n}` string" for n in NAMED)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    found = corpus_pipeline.STAGES[place][1](spark, docs, "")
+    assert found.columns == docs.columns
+    kept = found.collect()
+    assert kept and all(r[n] == f"mine {r.doc_id} {n}" for r in kept for n in NAMED)
+
+
 @pytest.mark.parametrize("place", range(len(corpus_pipeline.STAGES)))
 def test_stages_keep_the_columns(spark, docs, place):
     name, apply = corpus_pipeline.STAGES[place]

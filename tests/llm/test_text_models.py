@@ -276,3 +276,40 @@ def test_looked_up_scores_are_the_models():
     classes = np.where(targets >= 0, targets % 6, -1)
     loss, _ = attention.gradients(w, inputs, classes)
     assert -attention.log_probability(w, inputs, classes).sum() / 201 == pytest.approx(loss, rel=1e-4)
+
+
+def score_by_loops(model, ids):
+    """The log10 chance of one text, token by token, number by number."""
+    w, step = model.weights, attention.STEP
+    kinds = [int(model.kinds[i]) for i in ids] + [lm.KINDS - 1]
+    before = [lm.KINDS - 1, *kinds[:-1]]
+    total = 0.0
+    for t, kind in enumerate(kinds):
+        start = (t // step - 1) * step
+        seen = [(i - start, before[i]) for i in range(max(start, 0), t + 1)]
+        inputs = {place: w.embed[k].astype(float) + w.place[place] for place, k in seen}
+        own = inputs[t - start]
+        query = own @ w.query / math.sqrt(attention.WIDTH)
+        weight = {place: math.exp(float(query @ (x @ w.key))) for place, x in inputs.items()}
+        whole = sum(weight.values())
+        mixture = sum(weight[place] / whole * (x @ w.value) for place, x in inputs.items())
+        odds = (own + mixture @ w.mixed) @ w.out + w.bias
+        total += float(odds[model.classes[kind]] - math.log(sum(math.exp(float(o)) for o in odds)))
+        total += float(model.in_class[before[t], kind])
+        total += float(model.in_kind[ids[t]]) if t < len(ids) else 0.0
+    return total / math.log(10)
+
+
+def test_scores_token_by_token():
+    draw = np.random.default_rng(5)
+    size = 5000
+    kinds = draw.integers(0, lm.KINDS - 1, size)
+    classes = np.append(draw.integers(0, lm.CLASSES - 1, lm.KINDS - 1), lm.CLASSES - 1)
+    chances = np.log(draw.random((lm.KINDS, lm.KINDS)).astype(np.float32) + 1e-3)
+    weights = attention.Weights.start(lm.KINDS, draw.random(lm.CLASSES) + 0.1)
+    weights.embed *= 3
+    model = lm.Model(kinds, np.log(draw.random(size) + 1e-3), classes, chances, weights, 1, 1, 1)
+    texts = [draw.integers(0, size, n) for n in (0, 1, 31, 32, 33, 150)]
+    first = np.append(0, np.cumsum([len(t) for t in texts]))
+    found = model.log10_scores(lm.Ids(np.concatenate(texts), first))
+    assert found == pytest.approx([score_by_loops(model, t.tolist()) for t in texts], rel=1e-4)
