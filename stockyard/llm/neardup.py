@@ -386,7 +386,7 @@ def near_duplicates(
     involved = members.select("row").distinct()
     texts = rows.select(F.col(quoted(row)).alias("row"), F.col(quoted(column)).alias("text"))
     texts = texts.join(involved, "row", "left_semi").join(table.select("row", "bands"), "row")
-    texts = scratch.stage_bucketed(texts, "candidates", "row")
+    texts = scratch.stage_bucketed(texts.repartition(buckets, "row"), "candidates", "row")
 
     roots = linked_classes(members, texts, least, scratch).withColumnRenamed("node", "head")
     placed = (
