@@ -92,6 +92,7 @@ def _pieces(df: DataFrame, vocabulary: str, capacity: int, end: int) -> DataFram
                     ids_crc32=pa.array([ids_crc32(ids[a : a + n]) for a, n in zip(at, length)], pa.int64()),
                     task=np.full(len(rows), task, np.int64),
                 ).select([*columns, "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
+        coder.forget()
 
     fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.select(*map(quoted, columns)).schema)
     schema = f"{fields}, {_PIECE}, task bigint, rank bigint" if columns else f"{_PIECE}, task bigint, rank bigint"

@@ -81,6 +81,11 @@ class Encoder:
             found = self.words[mapped] = self.fresh(mapped)
         return found
 
+    def forget(self) -> None:
+        """Empties the caches, so that a process that does other work next has their room."""
+        self.pieces.clear()
+        self.words.clear()
+
     def bare(self, text: str) -> bytes:
         """Ids of a piece without a blank before it."""
         plain = _PLAIN.fullmatch(text)
