@@ -156,7 +156,8 @@ def _drawn(rows: DataFrame, sample: int, seed: int) -> DataFrame:
     """Rows of each label with small seeded draws, about twice as many as its ``quota``.
 
     A label gets its share of the sample, ``LEAST_OF_LABEL`` at least. Draws hang on key and
-    text, so copies of a text are drawn one by one.
+    text, so copies of a text are drawn one by one. Of more than ``2 * sample`` labels the
+    most frequent take part.
     """
     span = 1 << 30
     draws = rows.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "key", "text"), F.lit(span)))
@@ -166,6 +167,8 @@ def _drawn(rows: DataFrame, sample: int, seed: int) -> DataFrame:
     wanted = counts.select(
         "label", quota.alias("quota"), F.least(F.lit(span), F.ceil(2 * quota / F.col("n") * span)).alias("limit")
     )
+    # A row per label, of which the most frequent are learned: no text is shuffled by its label.
+    wanted = F.broadcast(wanted.orderBy(F.desc("quota"), "label").limit(2 * sample))
     return draws.join(wanted, "label").where("draw < limit").select("text", "label", "draw", "quota")
 
 
