@@ -187,3 +187,11 @@ def test_a_cell_is_parsed_a_few_times_only(spark):
     for form in (dates.strict_expiry, dates.clamped_expiry):
         plan = cells.select(form(F.col("x")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
         assert len(re.findall(r"gettimestamp|try_to_date|as date\)|as timestamp_ntz", plan)) <= 4
+
+
+def test_line_totals_put_nothing_in_order(spark, folder):
+    from stockyard.registry import core
+
+    core.forget_staged()
+    assert QUERIES["line_totals"](spark, folder).count() > 0
+    assert not core._STAGED
