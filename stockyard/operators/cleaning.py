@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockyard.functions import dates, numbers, text
 from stockyard.settings import DEFAULT_BATCH_NUMBER, DEFAULT_ITEM_NAME
@@ -105,7 +106,9 @@ def keep_first(
 ) -> DataFrame:
     """One row per key, the first in the stated order; null counts as one key.
 
-    An aggregate, so copies of a hot key are combined before the shuffle.
+    An aggregate, so copies of a hot key are combined before the shuffle. With ``columns``
+    and one number as the order, equal values of a key are first reduced to their place by a
+    hash aggregate; only what is left of a key is sorted to pick its row.
     """
     return _edge(df, key, order, columns, F.min_by)
 
@@ -120,6 +123,9 @@ def keep_last(
 def _edge(df, key, order, columns, pick) -> DataFrame:
     kept = [c for c in (columns or df.columns) if c != key]
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    if columns and len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.NumericType):
+        values, edge = [c for c in kept if c != order[0]], F.min if pick is F.min_by else F.max
+        df = df.groupBy(key, *values).agg(edge(position).alias(order[0]))
     chosen = df.groupBy(key).agg(pick(F.struct(*kept), position).alias("_row"))
     return chosen.select(key, "_row.*")
 

@@ -40,6 +40,7 @@ def with_ordinal(
     name: str = "ord",
     stage_as: str = "ordered",
     partitions: int | None = None,
+    only_sorted_by: Sequence[str] = (),
 ) -> DataFrame:
     """Adds the position of each row, from 0, under the given sort keys.
 
@@ -47,10 +48,11 @@ def with_ordinal(
     fit a single task. Where many rows may share all keys, end the list with a
     column that tells them apart, such as path and row index of the source file. The
     sorted rows are staged, and every later reader sees the same positions.
-    ``partitions`` says into how many ranges rows are sorted, one per GiB or so.
+    ``partitions`` says into how many ranges rows are sorted, one per GiB or so. Columns of
+    ``only_sorted_by`` are not kept.
     """
     ranked = _sorted(df, keys, partitions).withColumn("_seq", F.monotonically_increasing_id())
-    placed = stage(ranked, stage_as)
+    placed = stage(ranked.drop(*only_sorted_by), stage_as)
     part = F.shiftright("_seq", _ROW_BITS)
     row = F.col("_seq").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     numbered = placed.withColumns({"_part": part, "_row": row})

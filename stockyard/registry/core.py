@@ -26,12 +26,12 @@ CATEGORIES = CategoryRule(categories=("LARGE", "PROMO", "SMALL"))
 KEYS = ["k1", "k2", "k3", "k4", "k5", "k6"]
 _KEY_LIST = ", ".join(KEYS)
 
-# The same keys in the raw rows. Path and row index of the source go last in the Spark
-# sort, so that a large group of equal rows can be split.
+# The same keys in the raw rows. A hash of the source's path and the row index go last in the
+# Spark sort, so that a large group of equal rows can be split; neither is kept.
 _RAW_KEYS = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
 ]
-_FILE = "source_path"
+_FILE = "source_file"
 _ROW_INDEX = "source_row"
 
 VIEWS = {
@@ -229,12 +229,13 @@ class Tables:
         if key not in _STAGED:
             lines = self.table("lineitem").select(
                 "*",
-                F.col("_metadata.file_path").alias(_FILE),
+                F.xxhash64("_metadata.file_path").alias(_FILE),
                 F.col("_metadata.row_index").alias(_ROW_INDEX),
             )
             text = VIEWS["raw_rows"].replace("{row_index}", f"{_FILE}, {_ROW_INDEX},")
             rows = self._select(text, lineitem=lines)
-            _STAGED[key] = with_ordinal(rows, [*_RAW_KEYS, _FILE, _ROW_INDEX], stage_as="feed")
+            marks = [_FILE, _ROW_INDEX]
+            _STAGED[key] = with_ordinal(rows, [*_RAW_KEYS, *marks], stage_as="feed", only_sorted_by=marks)
         return self._select(VIEWS["feed"].replace("{ordinal}", "ord,"), raw_rows=_STAGED[key])
 
 

@@ -195,3 +195,23 @@ def test_line_totals_put_nothing_in_order(spark, folder):
     core.forget_staged()
     assert QUERIES["line_totals"](spark, folder).count() > 0
     assert not core._STAGED
+
+
+def test_the_first_row_of_a_key_is_found_without_sorting_the_feed(spark, folder):
+    feed = Tables(spark, folder).ordered
+    columns = ["item_name", "item_cost_price"]
+    found = cleaning.keep_first(feed, "item_code", ["ord"], columns)
+    first = [x for x in plan_of(found).splitlines() if "Aggregate(" in x][-1]
+    assert "HashAggregate(" in first and "partial_min(ord" in first
+    own = feed.groupBy("item_code").agg(F.min("ord").alias("ord")).join(feed.withColumnRenamed("item_code", "c"), "ord")
+    assert rows_of(found) == rows_of(own, "item_code", *columns)
+
+
+def test_what_only_sorts_the_feed_is_not_staged(spark, folder):
+    from stockyard.operators.ordinals import with_ordinal
+
+    rows = spark.range(50).selectExpr("id % 7 AS a", "id AS mark")
+    placed = with_ordinal(rows, ["a", "mark"], only_sorted_by=["mark"])
+    assert placed.columns == ["a", "ord"]
+    assert rows_of(placed) == [(a, i) for i, a in enumerate(sorted(x % 7 for x in range(50)))]
+    assert "source_path" not in plan_of(Tables(spark, folder).ordered)
