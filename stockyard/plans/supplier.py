@@ -67,9 +67,14 @@ def supplier_import(
         purchases, stored_purchases, stored_orders, ids.get("purchases"), ids.get("purchase_orders")
     )
 
-    posted = lookups.with_product_id(good, catalogue)
-    posted = with_item_code(cleaning.with_clamped_expiry(posted), digits=code_digits, used=used_codes)
-    posted = stage(posting.with_order_ids(posted, orders), "posted")
+    # Looked up are the columns that an item is made of; its totals are worked out again.
+    bought = cleaning.with_clamped_expiry(good).select(
+        "ord", "supplier_id", "item_code", "item_name", "item_batch_number", "expiry", "item_quantity",
+        *dict.fromkeys(["item_cost_price", settings.real_cost_column]), "item_sale_price", "vat_value",
+    )
+    posted = posting.with_order_ids(lookups.with_product_id(bought, catalogue), orders)
+    posted = with_item_code(stage(posted, "posted"), digits=code_digits, used=used_codes)
+    posted = with_line_totals(posted)
     items = posting.purchase_items(
         posted, settings, run_time, keep=("purchase_id", "order_id", "ord")
     )

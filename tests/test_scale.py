@@ -215,3 +215,14 @@ def test_what_only_sorts_the_feed_is_not_staged(spark, folder):
     assert placed.columns == ["a", "ord"]
     assert rows_of(placed) == [(a, i) for i, a in enumerate(sorted(x % 7 for x in range(50)))]
     assert "source_path" not in plan_of(Tables(spark, folder).ordered)
+
+
+def test_supplier_items_are_looked_up_by_the_columns_they_are_made_of(spark, folder, monkeypatch):
+    from stockyard.plans import supplier
+
+    seen, real = [], lookups.with_product_id
+    monkeypatch.setattr(supplier.lookups, "with_product_id", lambda feed, *more: seen.append(feed.columns) or real(feed, *more))
+    source = Tables(spark, folder)
+    none = source.table("region").select(F.lit(0).cast("bigint").alias("id"))
+    supplier.supplier_import(source.ordered, source.view("catalogue"), none, none, RUN_TIME, code_digits=12)
+    assert not {*KEYS, "raw_code", "supplier_name", "total_sale", "item_total_cost_text"} & set(seen[0])
