@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from xml.sax.saxutils import escape
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,10 @@ def as_text(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, name: str, **options) -> str:
-    """CSV files with a header line each, blanks kept; returns their folder."""
+    """CSV files with a header line each, blanks kept; returns their folder.
+
+    Files that one task reads whole in any case may as well be written with a ``compression``.
+    """
     path = new_folder(df.sparkSession, name)
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df.write.options(header=True, escape='"', **keep, **options).csv(path)
@@ -63,23 +67,33 @@ def named_checked(t: Tables) -> DataFrame:
     return scan_named_checked(t.spark, write_csv(sheet, "images"))
 
 
+def _lines(rows: pa.RecordBatch) -> pa.Array:
+    """Each row as the text of a sheet's row; a missing cell is an empty one."""
+    parts = []
+    for cells in rows.columns:
+        for mark, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+            cells = pc.replace_substring(cells, mark, reference)
+        filled = pc.binary_join_element_wise('<c t="str"><v>', cells, "</v></c>", "")
+        parts.append(pc.fill_null(filled, "<c/>"))
+    return pc.binary_join_element_wise("<row>", *parts, "</row>", "")
+
+
 def _workbook(rows: list[tuple]) -> bytes:
     """A minimal workbook with one sheet of text cells."""
+    width = range(max(map(len, rows)))
+    cells = [[None if i >= len(r) or r[i] is None else str(r[i]) for r in rows] for i in width]
+    columns = [pa.array(c, pa.string()) for c in cells]
+    return _packed(_lines(pa.RecordBatch.from_arrays(columns, [str(i) for i in width])))
 
-    def line(cells) -> str:
-        kept = ((i, c) for i, c in enumerate(cells) if c is not None)
-        return "".join(
-            f'<c r="{chr(65 + i)}1" t="inlineStr"><is><t xml:space="preserve">'
-            f"{escape(str(c))}</t></is></c>"
-            for i, c in kept
-        )
 
+def _packed(*lines: pa.Array) -> bytes:
+    """A workbook whose only sheet has these rows."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006/relationships"
-    body = "".join(f"<row>{line(r)}</row>" for r in rows)
+    body = "".join(chain.from_iterable(part.to_pylist() for part in lines))
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as book:
         book.writestr(
             "xl/workbook.xml",
             f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>'
@@ -97,18 +111,18 @@ def _workbook(rows: list[tuple]) -> bytes:
     return out.getvalue()
 
 
-def _to_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _to_workbooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
     for number, rows in enumerate(batches):
-        cells = rows.astype(object).where(rows.notna(), None).itertuples(index=False, name=None)
-        content = _workbook([tuple(rows.columns), *cells])
-        part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"path": [f"feed-{part}-{number}.xlsx"], "content": [content]})
+        names = pa.RecordBatch.from_pydict({n: pa.array([n]) for n in rows.schema.names})
+        content = _packed(_lines(names), _lines(rows))
+        yield pa.RecordBatch.from_pydict({"path": [f"feed-{part}-{number}.xlsx"], "content": [content]})
 
 
 @query("scan_workbooks", f"SELECT {_SUPPLIER_SQL} FROM feed")
 def workbooks(t: Tables) -> DataFrame:
     """The feed as workbooks, one per Arrow batch of rows, spread out and opened again."""
-    files = as_text(t.feed, layouts.SUPPLIER).mapInPandas(
+    files = as_text(t.feed, layouts.SUPPLIER).mapInArrow(
         _to_workbooks, "path string, content binary"
     )
     spread = files.repartition(t.spark.sparkContext.defaultParallelism, "path")

@@ -191,3 +191,24 @@ def test_report_files(spark, tmp_path, file_format):
     store.write_report(spark.range(2).withColumn("x", F.lit("a,b")), path, file_format)
     read = spark.read.option("header", True).format(file_format).load(path)
     assert rows_of(read.select(F.col("id").cast("int"), "x")) == [(0, "a,b"), (1, "a,b")]
+
+
+def test_cells_of_any_kind_are_read(spark):
+    """Marks, gaps, rich text, errors; rows leave the task as Arrow columns."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    sheet = (
+        f'<x:worksheet xmlns:x="{main}"><x:sheetData><x:row r="2">'
+        '<x:c r="B2" t="inlineStr"><x:is><x:r><x:t>a &lt;b&gt;</x:t></x:r><x:r><x:t> &amp; <![CDATA[<c>]]></x:t></x:r></x:is></x:c>'
+        '<x:c r="D2"><x:f>1+1</x:f><x:v>2.50</x:v></x:c><x:c t="e"><x:v>#N/A</x:v></x:c><x:c t="b"><x:v>1</x:v></x:c>'
+        '</x:row><x:row r="4"><x:c r="A4" t="inlineStr"><x:is><x:t/></x:is></x:c></x:row></x:sheetData></x:worksheet>'
+    )
+    book = io.BytesIO(_workbook([("old",)]))
+    made = io.BytesIO()
+    with zipfile.ZipFile(book) as old, zipfile.ZipFile(made, "w") as new:
+        for name in old.namelist():
+            new.writestr(name, sheet if name.endswith("sheet1.xml") else old.read(name))
+    read = workbooks.decode_workbooks(spark.createDataFrame([("a", made.getvalue())], "path string, content binary"))
+    rows = [tuple(r) for r in read.orderBy("ord").collect()]
+    cells = [[], [None, "a <b> & <c>", None, "2.5", None, "1"], [], [None]]
+    assert rows == [("a", i, c, None) for i, c in enumerate(cells)]
+    assert "MapInArrow" in read._jdf.queryExecution().executedPlan().toString()
