@@ -174,9 +174,9 @@ def scan_layouts(t: Tables) -> DataFrame:
     columns = ["item_code", "item_name", "item_batch_number", "item_expiry_date", "item_cost_price"]
     parts = []
     for name, layout in _LAYOUTS.items():
-        rows = t.ordered.withColumn("item_name", _broken(F.col("item_name"))).orderBy("ord")
+        rows = t.ordered.orderBy("ord").withColumn("item_name", _broken(F.col("item_name")))
         cells = [F.col(c).cast("string") if c in columns else F.lit("x").alias(c) for c in layout]
-        folder = write_csv(rows.select(cells), name)
+        folder = write_csv(rows.select(cells), name, compression="gzip")
         read = scan_positional(t.spark, folder, layout, ordinal=True, multiline=True)
         parts.append(read.select(F.lit(name).alias("layout"), "ord", *columns))
     return reduce(DataFrame.unionByName, parts)
@@ -251,7 +251,7 @@ def barcode_import(t: Tables) -> DataFrame:
     rows = rows.withColumns({"item_total_sale_price": sale, "item_code": F.col("raw_code")})
     given = {c: F.col(_BARCODE_COLUMNS.get(c, c)) for c in layouts.BARCODE if _BARCODE_COLUMNS.get(c, c) in rows.columns}
     cells = [given.get(c, F.lit(None)).cast("string").alias(c) for c in layouts.BARCODE]
-    folder = write_csv(rows.orderBy("ord").select(cells), "barcode")
+    folder = write_csv(rows.orderBy("ord").select(cells), "barcode", compression="gzip")
     read = scan_positional(t.spark, folder, layouts.BARCODE, ordinal=True)
     none = t.table("region").select(F.lit(0).cast("bigint").alias("id"))
     feed = layouts.typed(layouts.as_category(read), keep_text=GROUPED_NUMBERS)
