@@ -62,9 +62,9 @@ def category_import(
 ) -> dict[str, DataFrame]:
     """Tables posted by one feed of the category layout, with ``ord``.
 
-    The four grouped number columns are still text here. Transfers have a header only,
-    and each item moves stock once. ``ids`` has the first id of tables whose ids were
-    reserved.
+    The four grouped number columns are still text here; rows are staged once they are
+    parsed. Transfers have a header only, and each item moves stock once. ``ids`` has the first
+    id of tables whose ids were reserved.
     """
     rows = cleaning.strip_thousands(feed, GROUPED_NUMBERS)
     rows = cleaning.with_first_code(with_category_vat(rows, rule), "item_code")
@@ -72,6 +72,7 @@ def category_import(
     rows = lookups.with_supplier_or_default(
         rows, suppliers, "supplier", settings.supplier_id, settings.supplier_name, ["ord"]
     ).withColumn("avz_item_code", F.lit(None).cast("string"))
+    rows = stage(rows, "rows")
 
     unknown = registration.products_by_category(rows, products, categories, ["ord"], group="group")
     new_products = with_new_ids(unknown, products, ["code"], ids.get("products"))
@@ -84,7 +85,8 @@ def category_import(
     transfer_id = next_id(stored_transfers, ids.get("transfers")) + F.col("batch_id")
     purchases = posting.purchases_category(totals, settings, run_time).withColumn("id", purchase_id)
 
-    posted = lookups.with_product_id(good.filter("expiry_ok"), catalogue, spread_by=["ord"])
+    bought = good.filter("expiry_ok").select("batch_id", *posting.item_sources(settings))
+    posted = lookups.with_product_id(bought, catalogue, spread_by=["ord"])
     posted = posted.withColumns({"purchase_id": purchase_id, "transfer_id": transfer_id})
     posted = stage(posted, "posted")
     items = posting.purchase_items(posted, settings, run_time, keep=("purchase_id", "ord"))

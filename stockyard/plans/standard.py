@@ -27,9 +27,9 @@ def standard_import(
     """Tables posted by one feed of the standard layout, typed and with ``ord``.
 
     A row without a code or an amount refuses its batch. Products are registered from
-    every batch, also from one that is refused later. Rows are staged once they are
-    accepted and looked up; every table is a projection of them. ``ids`` has the first id of
-    tables whose ids were reserved; the others go on after the stored ones.
+    every batch, also from one that is refused later. Rows are staged, with the columns of
+    items only, once they are accepted and looked up; every table is made of them. ``ids`` has
+    the first id of tables whose ids were reserved; the others go on after the stored ones.
     """
     rows = with_batch(with_sale_vat(feed), settings.batch_rows)
     rows = cleaning.with_strict_expiry(rows).withColumn("avz_item_code", F.col("item_ascon_code"))
@@ -48,7 +48,8 @@ def standard_import(
     )
     transfers = posting.transfers(totals, settings, run_time).withColumn("id", transfer_id)
 
-    posted = lookups.with_product_id(good.filter("expiry_ok"), catalogue, spread_by=["ord"])
+    bought = good.filter("expiry_ok").select("batch_id", *posting.item_sources(settings))
+    posted = lookups.with_product_id(bought, catalogue, spread_by=["ord"])
     posted = posted.withColumns({"purchase_id": purchase_id, "transfer_id": transfer_id})
     posted = stage(posted, "posted")
     items = posting.purchase_items(posted, settings, run_time, keep=("purchase_id", "ord"))

@@ -226,3 +226,19 @@ def test_supplier_items_are_looked_up_by_the_columns_they_are_made_of(spark, fol
     none = source.table("region").select(F.lit(0).cast("bigint").alias("id"))
     supplier.supplier_import(source.ordered, source.view("catalogue"), none, none, RUN_TIME, code_digits=12)
     assert not {*KEYS, "raw_code", "supplier_name", "total_sale", "item_total_cost_text"} & set(seen[0])
+
+
+def test_category_rows_are_parsed_once(spark, folder, monkeypatch):
+    from stockyard.plans import category
+    from stockyard.registry.core import CATEGORIES
+    from stockyard.registry.imports import _category_feed
+
+    seen, real = [], category.stage
+    monkeypatch.setattr(category, "stage", lambda df, name: seen.append((name, plan_of(df))) or real(df, name))
+    source = Tables(spark, folder)
+    none = source.table("region").select(F.lit(0).cast("bigint").alias("id"))
+    category.category_import(
+        _category_feed(source), source.view("catalogue"), source.view("known_suppliers"),
+        source.view("known_groups"), none, none, RUN_TIME, rule=CATEGORIES,
+    )
+    assert [name for name, plan in seen if "not a number" in plan] == ["rows"]
