@@ -11,9 +11,16 @@ FIRST_BAND = 30
 _STRETCH = 1 << 10
 
 
-def edit_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None:
-    """The number of words to insert, delete or replace, or None if it is above ``most``."""
-    if abs(len(a) - len(b)) > most:
+def edit_distance(
+    a: Sequence[int], b: Sequence[int], most: int, at_least: int = 0, exact: bool = True
+) -> int | None:
+    """The number of words to insert, delete or replace, or None if it is above ``most``.
+
+    ``at_least`` is a bound below that is known already. Without ``exact`` any number from
+    the distance up to ``most`` may come back, as soon as one is found.
+    """
+    delta = abs(len(a) - len(b))
+    if delta > most:
         return None
     start, stop = 0, min(len(a), len(b))
     while start < stop and a[start] == b[start]:
@@ -30,18 +37,20 @@ def edit_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None:
         for i, word in enumerate(a[start : start + _STRETCH]):
             marks[word] = marks.get(word, 0) | 1 << i
         places.append(marks)
-    band = min(most, max(FIRST_BAND, abs(len(a) - len(b))))
+    # Ways out of the band and back have more than 2 * band + 1 - delta edits.
+    widest = (most + delta) // 2
+    band = min(widest, max(FIRST_BAND, delta, (at_least + delta) // 2))
     while True:
         found = _banded(places, len(a), b, band)
-        if found <= band:
-            return found
-        if band >= most:
+        if found <= 2 * band + 1 - delta or not exact and found <= most:
+            return found if found <= most else None
+        if band >= widest:
             return None
-        band = min(most, 4 * band)
+        band = min(widest, 4 * band)
 
 
 def _banded(places: list[dict[int, int]], rows: int, b: Sequence[int], band: int) -> int:
-    """The distance, exact if at most ``band``, with one integer per column of the table.
+    """The least number of edits on ways within the band, with one integer per column of the table.
 
     Column ``j`` holds rows ``j - band`` to ``j + band``; bit ``p`` of the vertical
     steps is row ``j - band + p``, so the window moves down one row per column.
@@ -75,8 +84,11 @@ def _banded(places: list[dict[int, int]], rows: int, b: Sequence[int], band: int
     return distance
 
 
-def similar(a: Sequence[int], b: Sequence[int], least: float) -> bool:
-    """Whether at least this share of the longer sequence stays as it is."""
+def similar(a: Sequence[int], b: Sequence[int], least: float, at_least: int = 0) -> bool:
+    """Whether at least this share of the longer sequence stays as it is.
+
+    ``at_least`` edits are known to be needed.
+    """
     longer = max(len(a), len(b))
     most = int((1.0 - least) * longer + 1e-9)
-    return edit_distance(a, b, most) is not None
+    return edit_distance(a, b, most, at_least, exact=False) is not None

@@ -269,6 +269,8 @@ def _links(table: pa.Table, least: float) -> list[tuple[int, int]]:
     singles = _bags(hashes, words.first)
     pairs = shingles(words, hashes, 2)
     doubles = _bags(pairs.hashes, pairs.first)
+    told = _occurrences(hashes, words.first)
+    told = [np.sort(told[a:b]) for a, b in zip(words.first, words.first[1:])]
     bounds = [(_coarse(singles), 1), (_coarse(doubles), 2), (singles, 1), (doubles, 2)]
     lists = some.column("bands").to_pylist()
     bands = np.zeros((len(own), max(map(len, lists))), np.int64)
@@ -311,14 +313,24 @@ def _links(table: pa.Table, least: float) -> list[tuple[int, int]]:
             for bags, each in bounds:
                 shared = np.minimum(bags[a[keep]], bags[b[keep]]).sum(1)
                 keep = keep[shared >= longer[keep] - (each - 1) - each * most[keep]]
-            for x, y, p, q in zip(*(side[keep].tolist() for side in (a, b, a_root, b_root))):
+            for x, y, p, q, edits in zip(*(side[keep].tolist() for side in (a, b, a_root, b_root, most))):
                 p, q = root(p), root(q)
-                if p != q and similar(texts[x].tolist(), texts[y].tolist(), least):
+                if p == q:
+                    continue
+                # Cells hold several words; an alignment costs far more than to count them all.
+                needed = max(len(told[x]), len(told[y])) - _shared(told[x], told[y])
+                if needed <= edits and similar(texts[x].tolist(), texts[y].tolist(), least, needed):
                     above[max(p, q)] = min(p, q)
                     found.append((int(own[x]), int(own[y])))
     return found
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values are in both of two sorted arrays of different values."""
+    place = np.searchsorted(a, b)
+    return int(np.count_nonzero(a[np.minimum(place, len(a) - 1)] == b)) if len(a) else 0
+
+
 def _coarse(bags: np.ndarray) -> np.ndarray:
     """The same counts in fewer cells, quicker to compare."""
     return np.ascontiguousarray(bags.reshape(len(bags), -1, _COARSE).sum(1, dtype=np.int32))

@@ -95,6 +95,34 @@ def test_banded_alignment(a, b, most, band):
         alignment.FIRST_BAND = first
 
 
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.integers(0, 3), max_size=14),
+    st.lists(st.integers(0, 3), max_size=14),
+    st.integers(0, 15),
+    st.integers(1, 5),
+    st.floats(0, 1),
+)
+def test_alignment_above_a_known_bound(a, b, most, band, share):
+    first, alignment.FIRST_BAND = alignment.FIRST_BAND, band
+    try:
+        distance = plain_distance(a, b)
+        bound = int(share * distance)
+        assert alignment.edit_distance(a, b, most, bound) == (distance if distance <= most else None)
+        found = alignment.edit_distance(a, b, most, bound, exact=False)
+        assert found is None if distance > most else distance <= found <= most
+    finally:
+        alignment.FIRST_BAND = first
+
+
+def test_a_band_is_no_wider_than_an_allowed_way_can_stray(monkeypatch):
+    banded, bands = alignment._banded, []
+    monkeypatch.setattr(alignment, "_banded", lambda *x: bands.append(x[3]) or banded(*x))
+    a, b = [f"a{i}" for i in range(800)], [f"b{i}" for i in range(780)]
+    assert alignment.edit_distance(a, b, 160) is None
+    assert max(bands) == 90
+
+
 def labelled(words):
     """Five-word shingles with their occurrence; a shorter text is one shingle."""
     seen, out = Counter(), set()
@@ -172,6 +200,22 @@ def test_large_families_of_texts_that_share_a_band(spark, monkeypatch):
     assert [found[i] for i in range(len(texts))] == expected
 
 
+def test_pairs_with_too_few_common_words_are_not_aligned(monkeypatch):
+    # Their words meet in the cells of the quick bounds, so only a count of them tells.
+    draw, aligned = random.Random(9), []
+    base = [f"w{i}" for i in range(750)]
+    texts = [[w if draw.random() > 0.13 else f"v{n}x{i}" for i, w in enumerate(base)] for n in range(12)]
+    texts.append([f"u{i}" if i % 16 == 0 else w for i, w in enumerate(texts[3])])
+    similar = neardup.similar
+    monkeypatch.setattr(neardup, "similar", lambda *x: aligned.append(x) or similar(*x))
+    rows, none = np.arange(len(texts)), np.zeros(len(texts), np.int32)
+    table = pa.table({"key": none.astype(np.int64) + 7, "row": rows, "root": rows, "block": none, "low": none,
+                      "high": none, "text": [" ".join(t) for t in texts], "bands": [[7]] * len(texts)})
+    assert neardup._links(table.combine_chunks(), 0.8) == [(3, 12)]
+    common = [sum((Counter(a) & Counter(b)).values()) for i, a in enumerate(texts) for b in texts[:i]]
+    assert len(aligned) == sum(c >= 600 for c in common) < len(common) / 4
+
+
 def test_candidates_at_four_fifths_of_the_words(spark):
     draw = random.Random(8)
     texts, sizes = [], [10, 20, 40, 64, 80, 150, 400, 1000]
