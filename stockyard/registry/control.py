@@ -15,7 +15,7 @@ from stockyard.registry.scans import as_text, write_csv
 from stockyard.settings import STANDARD, SUPPLIER
 from stockyard.sources import buckets, layouts
 from stockyard.sources.store import append_run, read_runs, rewrite_snapshot, scan_store, write_report
-from stockyard.staging import new_folder, stage
+from stockyard.staging import new_folder, stage, stage
 from stockyard.streaming.file_drop import import_drops
 
 # Small batches, so that the feed has both good and bad ones.
@@ -105,7 +105,7 @@ def append_tables(t: Tables) -> DataFrame:
     """Purchases, items and movements written twice under one run id; stored once."""
     rows = numbered_posting(t)
     tables = {
-        "purchases": batch_purchases(t),
+        "purchases": stage(batch_purchases(t), "purchases"),
         "purchase_items": posting.purchase_items(rows, STANDARD, RUN_TIME, keep=("purchase_id",)),
         "inventory_movements": posting.movements(rows, STANDARD, RUN_TIME),
     }

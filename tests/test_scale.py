@@ -242,3 +242,13 @@ def test_category_rows_are_parsed_once(spark, folder, monkeypatch):
         source.view("known_groups"), none, none, RUN_TIME, rule=CATEGORIES,
     )
     assert [name for name, plan in seen if "not a number" in plan] == ["rows"]
+
+
+def test_purchases_written_twice_are_totalled_once(spark, folder, monkeypatch):
+    from stockyard.registry import control
+
+    written, real = [], control.append_run
+    monkeypatch.setattr(control, "append_run", lambda tables, *x: written.append(tables) or real(tables, *x))
+    control.append_tables(Tables(spark, folder))
+    assert [sorted(t) for t in written] == [["inventory_movements", "purchase_items", "purchases"], ["purchases"]]
+    assert all("Aggregate" not in plan_of(t["purchases"]) for t in written)
