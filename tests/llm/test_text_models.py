@@ -278,6 +278,82 @@ def test_looked_up_scores_are_the_models():
     assert -attention.log_probability(w, inputs, classes).sum() / 201 == pytest.approx(loss, rel=1e-4)
 
 
+def plain_slopes(w, inputs, targets):
+    """The slopes of a batch, with queries, keys, values and mixtures each worked out."""
+    scale, step = np.float32(attention.WIDTH**-0.5), attention.STEP
+    x = w.embed[inputs] + w.place
+    q, k, v = x[:, step:] @ w.query, x @ w.key, x @ w.value
+    seen = np.arange(2 * step) <= step + np.arange(step)[:, None]
+    seen = seen & (inputs != len(w.embed) - 1)[:, None]
+    share = np.exp(np.where(seen, q @ k.transpose(0, 2, 1) * scale, -np.inf))
+    share /= share.sum(-1, keepdims=True)
+    mixture = share @ v
+    state = (x[:, step:] + mixture @ w.mixed).reshape(-1, attention.WIDTH)
+    slope = np.exp(state @ w.out + w.bias)
+    slope /= slope.sum(-1, keepdims=True)
+    rows = np.flatnonzero(targets.reshape(-1) >= 0)
+    slope[rows, targets.reshape(-1)[rows]] -= 1
+    slope[targets.reshape(-1) < 0] = 0
+    slope /= len(rows)
+    d_state = (slope @ w.out.T).reshape(x[:, step:].shape)
+    tall = lambda a: a.reshape(-1, attention.WIDTH)
+    d_mixture = d_state @ w.mixed.T
+    d_share = d_mixture @ v.transpose(0, 2, 1)
+    d_v = share.transpose(0, 2, 1) @ d_mixture
+    d_scores = share * (d_share - (d_share * share).sum(-1, keepdims=True)) * scale
+    d_q, d_k = d_scores @ k, d_scores.transpose(0, 2, 1) @ q
+    d_x = d_k @ w.key.T + d_v @ w.value.T
+    d_x[:, step:] += d_state + d_q @ w.query.T
+    d_embed = np.stack([np.bincount(inputs.reshape(-1), c, len(w.embed)) for c in tall(d_x).T], axis=1)
+    return [
+        d_embed, d_x.sum(0), tall(x[:, step:]).T @ tall(d_q), tall(x).T @ tall(d_k), tall(x).T @ tall(d_v),
+        tall(mixture).T @ tall(d_state), state.T @ slope, slope.sum(0),
+    ]
+
+
+class PlainFit:
+    """Adam as it is written down, every number in double precision."""
+
+    def __init__(self, w, rate):
+        self.weights, self.rate, self.step = w, rate, 0
+        self.flat = w.flat().astype(float)
+        self.mean, self.power = np.zeros_like(self.flat), np.zeros_like(self.flat)
+
+    def take(self, inputs, targets):
+        self.step += 1
+        slope = np.concatenate([s.ravel() for s in plain_slopes(self.weights, inputs, targets)]).astype(float)
+        slope *= min(1.0, 1.0 / max(np.sqrt(slope @ slope), 1e-12))
+        self.mean = 0.9 * self.mean + 0.1 * slope
+        self.power = 0.99 * self.power + 0.01 * slope * slope
+        fixed = self.mean / (1 - 0.9**self.step) / (np.sqrt(self.power / (1 - 0.99**self.step)) + 1e-8)
+        self.flat = self.flat - self.rate * fixed
+        self.weights = self.weights.like(self.flat)
+
+
+def test_a_step_is_the_plain_one_for_less():
+    draw = np.random.default_rng(7)
+    sequence = np.minimum(draw.zipf(1.3, 20_000) - 1, lm.KINDS - 2)
+    first = np.arange(0, 20_001, 400)
+    sequence[first[1:] - 1] = lm.KINDS - 1
+    inputs, targets, _ = attention.windows(sequence, first, lm.KINDS)
+    targets = np.where(targets >= 0, targets % lm.CLASSES, -1)
+    start = attention.Weights.start(lm.KINDS, np.ones(lm.CLASSES) / lm.CLASSES)
+    seconds, ends = [], []
+    for kind in (PlainFit, attention.Fit):
+        fit, spent = kind(start, lm.RATE), []
+        for at in range(0, 600, attention.BATCH):
+            began = time.process_time()
+            fit.take(inputs[at : at + attention.BATCH], targets[at : at + attention.BATCH])
+            spent.append(time.process_time() - began)
+        seconds.append(np.median(spent))
+        ends.append(fit.weights)
+    for plain, found in zip(*(w.arrays() for w in ends)):
+        assert found.dtype == np.float32
+        assert np.abs(found - plain).max() < 2e-3 and np.abs(found - plain).mean() < 2e-5
+    assert (start.embed == attention.Weights.start(lm.KINDS, np.ones(lm.CLASSES)).embed).all()
+    assert seconds[1] < 0.75 * seconds[0]
+
+
 def score_by_loops(model, ids):
     """The log10 chance of one text, token by token, number by number."""
     w, step = model.weights, attention.STEP
