@@ -14,8 +14,8 @@ from stockyard.registry.lookups import image_update
 from stockyard.registry.scans import as_text, write_csv
 from stockyard.settings import STANDARD, SUPPLIER
 from stockyard.sources import buckets, layouts
-from stockyard.sources.store import append_run, read_runs, rewrite_snapshot, scan_store, write_report
-from stockyard.staging import new_folder, stage, stage
+from stockyard.sources.store import append_run, read_runs, repeat_run, rewrite_snapshot, scan_store, write_report
+from stockyard.staging import new_folder, stage
 from stockyard.streaming.file_drop import import_drops
 
 # Small batches, so that the feed has both good and bad ones.
@@ -94,6 +94,12 @@ def item_codes_shuffled(t: Tables) -> DataFrame:
     return with_item_code(t.ordered.select("ord"), digits=_DIGITS, secret=_SECRET)
 
 
+_ITEM_SOURCES = (
+    "item_code", "item_name", "item_quantity", "item_cost_price", "item_purchase_price",
+    "item_sale_price", "expiry", "item_batch_number", "avz_item_code",
+)
+
+
 @query(
     "append_tables",
     """SELECT 'purchases' AS table_name, 'r1' AS run_id, COUNT(DISTINCT batch_id) AS stored_rows
@@ -102,8 +108,15 @@ def item_codes_shuffled(t: Tables) -> DataFrame:
     UNION ALL SELECT 'inventory_movements', 'r1', 3 * COUNT(*) FROM posted WHERE expiry_ok""",
 )
 def append_tables(t: Tables) -> DataFrame:
-    """Purchases, items and movements written twice under one run id; stored once."""
-    rows = numbered_posting(t)
+    """Purchases, items and movements written twice under one run id, and the purchases once
+    more by themselves; stored once.
+
+    The rows are looked up once, by the columns they are made of, and their totals worked out
+    again for each table.
+    """
+    ids = ["purchase_id", "transfer_id", "product_id"]
+    rows = stage(numbered_posting(t).select(*ids, "vat_value", *_ITEM_SOURCES), "posted")
+    rows = with_line_totals(rows)
     tables = {
         "purchases": stage(batch_purchases(t), "purchases"),
         "purchase_items": posting.purchase_items(rows, STANDARD, RUN_TIME, keep=("purchase_id",)),
@@ -111,6 +124,7 @@ def append_tables(t: Tables) -> DataFrame:
     }
     root = new_folder(t.spark, "store")
     append_run(tables, root, "r1")
+    repeat_run(tables, root, "r1")
     append_run({"purchases": tables["purchases"]}, root, "r1")
     stored = None
     for name in tables:

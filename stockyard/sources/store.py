@@ -95,6 +95,22 @@ def append_run(
     manifest.commit(lines)
 
 
+def repeat_run(
+    tables: dict[str, DataFrame], root: str, run_id: str, ids: Mapping[str, int] | None = None
+) -> None:
+    """Write a whole run again, as :func:`append_run` does.
+
+    A table that the store holds of the run and that is not among ``tables`` is an error, so
+    nothing of the run is left as an earlier attempt wrote it.
+    """
+    lines = Manifest(next(iter(tables.values())).sparkSession, root).lines()
+    held = lines.where((F.col("kind") == TABLE) & (F.col("run") == run_id)).select("table").distinct()
+    missing = {r.table for r in held.collect()} - {*tables, STEP_LOG}
+    if missing:
+        raise ValueError(f"run {run_id} also has {sorted(missing)}")
+    append_run(tables, root, run_id, ids)
+
+
 def _moment(seconds: float) -> datetime:
     return datetime.fromtimestamp(seconds, timezone.utc)
 

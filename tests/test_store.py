@@ -225,3 +225,25 @@ def test_the_stored_side_of_a_lookup_is_not_shuffled(spark, tmp_path):
     assert keyed.read_keyed(spark, root).count() == 0
     with pytest.raises(NotStoredError):
         keyed.read_keyed(spark, str(tmp_path / "nowhere"))
+
+
+def test_every_table_of_the_run_is_written_twice(spark, folder, tmp_path, monkeypatch):
+    from stockyard.registry import control
+    from stockyard.registry.core import Tables
+
+    root = str(tmp_path / "store")
+    monkeypatch.setattr(control, "new_folder", lambda *_: root)
+    stored = {r.table_name: r.stored_rows for r in control.append_tables(Tables(spark, folder)).collect()}
+    for name, times in (("purchases", 3), ("purchase_items", 2), ("inventory_movements", 2)):
+        attempts = os.listdir(f"{root}/{name}/run_id=r1")
+        rows = [spark.read.parquet(f"{root}/{name}/run_id=r1/{a}").count() for a in attempts]
+        assert rows == times * [stored[name]]
+
+
+def test_a_whole_repeat_leaves_no_table_out(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.append_run({"products": spark.range(3), "purchases": spark.range(2)}, root, "1")
+    with pytest.raises(ValueError, match="purchases"):
+        store.repeat_run({"products": spark.range(5)}, root, "1")
+    store.repeat_run({"products": spark.range(5), "purchases": spark.range(4)}, root, "1")
+    assert [store.read_runs(spark, root, n).count() for n in ("products", "purchases")] == [5, 4]
