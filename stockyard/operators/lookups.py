@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockyard.operators.cleaning import distinct_values
 
@@ -44,12 +45,18 @@ def look_up(
 
     Keys are joined behind a mark, so that both sides are shuffled for the join alone: a
     side that is still dealt out as its aggregate left it is not split where a key is hot.
+    A text key is taken back from behind its mark afterwards, not moved a second time.
     """
     known = stored.filter(F.col(key).isNotNull()).select(_marked(F.col(key)).alias("_key"), *columns)
     asked = _marked(F.col(key))
     if spread_by:
         asked = F.coalesce(asked, F.concat(F.lit(_NO_KEY), F.xxhash64(*spread_by).cast("string")))
-    return feed.withColumn("_key", asked).join(known, "_key", "left").drop("_key")
+    keyed = feed.withColumn("_key", asked)
+    if not isinstance(feed.schema[key].dataType, T.StringType):
+        return keyed.join(known, "_key", "left").drop("_key")
+    own = F.when(F.col("_key").startswith(_KEY), F.substring("_key", len(_KEY) + 1, F.length("_key")))
+    found = keyed.drop(key).join(known, "_key", "left")
+    return found.select(*[own.alias(key) if c == key else c for c in feed.columns], *columns)
 
 
 def _marked(key: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from stockyard.functions.numbers import CENTS, MONEY, money
 from stockyard.operators.ordinals import next_id
 from stockyard.settings import Posting
+from stockyard.staging import stage
 
 # Header and item columns that every flow posts as zero or empty, by type.
 HEADER_ZEROS = {
@@ -227,8 +228,12 @@ def purchase_orders(
 
 
 def with_order_ids(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """Attaches purchase and order id to the rows of each supplier."""
-    links = orders.select("supplier_id", F.col("id").alias("order_id"), "purchase_id")
+    """Attaches purchase and order id to the rows of each supplier.
+
+    The links, one per supplier, are staged, so that their size is known before the rows are
+    moved: small ones are sent to the rows instead.
+    """
+    links = stage(orders.select("supplier_id", F.col("id").alias("order_id"), "purchase_id"), "order-links")
     return items.join(links, "supplier_id")
 
 

@@ -7,12 +7,17 @@ Staged tables go to the shared folder that the cluster names in
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# The folder of the work that is being done, if its staged tables go with it.
+_WORK: ContextVar[str | None] = ContextVar("work", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +34,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark)}/stockyard/{name}-{uuid4().hex}"
+    return f"{_WORK.get() or f'{shared_folder(spark)}/stockyard'}/{name}-{uuid4().hex}"
+
+
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write in here are deleted once it is done.
+
+    What it wrote is read from there; otherwise they would stay until the driver collects its
+    garbage, beside those of everything written since.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def stage(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -54,7 +77,8 @@ def _bucketed(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     spark, table = df.sparkSession, f"stockyard_{uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
-    writer.option("path", path).saveAsTable(table)
+    with shuffles_let_go(spark):
+        writer.option("path", path).saveAsTable(table)
     found = spark.table(table)
     # The frame knows its files and buckets; the session's catalogue need not.
     spark.sql(f"DROP TABLE {table}")
@@ -62,7 +86,8 @@ def _bucketed(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
 
 
 def _staged(df: DataFrame, path: str, by: Sequence[str]) -> DataFrame:
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    with shuffles_let_go(df.sparkSession):
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -87,3 +112,16 @@ class Scratch:
 
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}-{uuid4().hex}"
+
+
+@contextmanager
+def inside(scratch: Scratch | None) -> Iterator[None]:
+    """Whatever is staged in here, however deep, goes to the folder of ``scratch``.
+
+    With None it goes to the shared folder itself, for tables that outlast the work.
+    """
+    before = _WORK.set(scratch and scratch.folder)
+    try:
+        yield
+    finally:
+        _WORK.reset(before)

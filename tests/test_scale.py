@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import time
 
 import pytest
 from conftest import rows_of
@@ -252,3 +254,56 @@ def test_purchases_written_twice_are_totalled_once(spark, folder, monkeypatch):
     control.append_tables(Tables(spark, folder))
     assert [sorted(t) for t in written] == [["inventory_movements", "purchase_items", "purchases"], ["purchases"]]
     assert all("Aggregate" not in plan_of(t["purchases"]) for t in written)
+
+
+def _shuffle_files(spark) -> int:
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(1 for i in range(blocks.size()) if blocks.apply(i).getName().startswith("shuffle_"))
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    from stockyard.staging import stage
+
+    before = _shuffle_files(spark)
+    staged = stage(spark.range(1000).repartition(3, "id"), "numbers")
+    for _ in range(50):
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+    assert staged.count() == 1000
+
+
+def test_supplier_items_are_not_moved_for_their_orders(spark, folder, monkeypatch):
+    """Links whose size is known are sent to the items; the plan of an aggregate promises no size."""
+    from stockyard.plans import supplier
+
+    seen, real = {}, supplier.stage
+    monkeypatch.setattr(supplier, "stage", lambda df, name: seen.setdefault(name, plan_of(df)) and real(df, name))
+    source = Tables(spark, folder)
+    none = source.table("region").select(F.lit(0).cast("bigint").alias("id"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        supplier.supplier_import(source.ordered, source.view("catalogue"), none, none, RUN_TIME, code_digits=12)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    join = next(x for x in seen["posted"].splitlines() if "Join [supplier_id" in x and "Inner" in x)
+    assert "BroadcastHashJoin" in join
+
+
+def test_a_text_key_is_moved_once_in_a_lookup(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        feed = spark.createDataFrame([(0, "a"), (1, None), (2, ""), (3, "=b"), (4, "#c")], "ord long, code string")
+        stored = spark.createDataFrame([("a", 1), ("", 2), ("=b", 3)], "code string, id int")
+        for spread in ([], ["ord"]):
+            found = lookups.look_up(feed, stored, "code", ["id"], spread)
+            assert found.columns == ["ord", "code", "id"]
+            assert rows_of(found) == [(0, "a", 1), (1, None, None), (2, "", 2), (3, "=b", 3), (4, "#c", None)]
+        moved = found._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[1].splitlines()[1]
+        assert "_key" in moved and re.search(r"\bcode#\d+,", moved) is None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
