@@ -56,9 +56,19 @@ def with_line_totals_unit_vat(df: DataFrame) -> DataFrame:
     )
 
 
-def with_category_vat(df: DataFrame, rule: CategoryRule = CategoryRule()) -> DataFrame:
-    """VAT on cost and sale for listed categories only; others keep their totals."""
-    taxed = F.coalesce(F.col("category").isin(*rule.categories), F.lit(False))
+def in_taxed_category(rule: CategoryRule = CategoryRule()) -> Column:
+    """Whether a row's category is a listed one; a missing category is not."""
+    return F.coalesce(F.col("category").isin(*rule.categories), F.lit(False))
+
+
+def with_category_vat(
+    df: DataFrame, rule: CategoryRule = CategoryRule(), taxed: Column | None = None
+) -> DataFrame:
+    """VAT on cost and sale for listed categories only; others keep their totals.
+
+    ``taxed`` tells them apart where the category itself is gone.
+    """
+    taxed = in_taxed_category(rule) if taxed is None else taxed
 
     def vat(total: Column) -> Column:
         return F.when(taxed, total * F.lit(rule.rate)).otherwise(F.lit(0))

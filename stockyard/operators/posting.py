@@ -237,17 +237,17 @@ def with_order_ids(items: DataFrame, orders: DataFrame) -> DataFrame:
     return items.join(links, "supplier_id")
 
 
-def item_sources(posting: Posting) -> list[str]:
+def item_sources(posting: Posting, *more: str | Column) -> list[str | Column]:
     """The columns of a row that its items and movements are made of, without ids.
 
-    A row is reduced to them before it is looked up, so that no others are shuffled.
+    A row is reduced to them before it is looked up, so that no others are shuffled. ``more``
+    has what a flow needs beside them to work out the other totals again.
     """
     columns = [
         "ord", "item_code", "item_name", "item_quantity", "item_cost_price", posting.real_cost_column,
-        "item_sale_price", "expiry", "item_batch_number", "avz_item_code", "item_total_cost_price",
-        "item_total_vat", "item_total_after_vat", "item_total_sale_price", "total_sale_vat", "total_sale",
+        "item_sale_price", "expiry", "item_batch_number", "item_total_cost_price", "item_total_sale_price",
     ]
-    return list(dict.fromkeys(columns))
+    return [*dict.fromkeys(columns), *more]
 
 
 def _item_columns(posting: Posting, run_time: datetime) -> dict[str, Column]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.functions.measures import with_category_vat
+from stockyard.functions.measures import in_taxed_category, with_category_vat
 from stockyard.operators import acceptance, cleaning, lookups, posting, registration, reporting
 from stockyard.operators.ordinals import next_id, with_batch, with_new_ids
 from stockyard.settings import CATEGORY, NO_IDS, CategoryRule, Posting, SupplierDefaults
@@ -59,20 +59,25 @@ def category_import(
     settings: Posting = CATEGORY,
     rule: CategoryRule = CategoryRule(),
     ids: Mapping[str, int] = NO_IDS,
+    parsed: Callable[[], None] | None = None,
 ) -> dict[str, DataFrame]:
     """Tables posted by one feed of the category layout, with ``ord``.
 
     The four grouped number columns are still text here; rows are staged once they are
-    parsed. Transfers have a header only, and each item moves stock once. ``ids`` has the first
-    id of tables whose ids were reserved.
+    parsed, and what follows from them by arithmetic is worked out by each reader. From then on
+    ``feed`` is not read, and ``parsed``, if given, is called. Transfers have a header only, and
+    each item moves stock once. ``ids`` has the first id of tables whose ids were reserved.
     """
     rows = cleaning.strip_thousands(feed, GROUPED_NUMBERS)
-    rows = cleaning.with_first_code(with_category_vat(rows, rule), "item_code")
-    rows = cleaning.with_strict_expiry(with_batch(rows, settings.batch_rows))
+    rows = cleaning.with_strict_expiry(cleaning.with_first_code(rows, "item_code"))
     rows = lookups.with_supplier_or_default(
         rows, suppliers, "supplier", settings.supplier_id, settings.supplier_name, ["ord"]
-    ).withColumn("avz_item_code", F.lit(None).cast("string"))
+    )
     rows = stage(rows, "rows")
+    if parsed is not None:
+        parsed()
+    rows = with_batch(with_category_vat(rows, rule), settings.batch_rows)
+    rows = rows.withColumn("avz_item_code", F.lit(None).cast("string"))
 
     unknown = registration.products_by_category(rows, products, categories, ["ord"], group="group")
     new_products = with_new_ids(unknown, products, ["code"], ids.get("products"))
@@ -85,10 +90,13 @@ def category_import(
     transfer_id = next_id(stored_transfers, ids.get("transfers")) + F.col("batch_id")
     purchases = posting.purchases_category(totals, settings, run_time).withColumn("id", purchase_id)
 
-    bought = good.filter("expiry_ok").select("batch_id", *posting.item_sources(settings))
-    posted = lookups.with_product_id(bought, catalogue, spread_by=["ord"])
-    posted = posted.withColumns({"purchase_id": purchase_id, "transfer_id": transfer_id})
-    posted = stage(posted, "posted")
+    taxed = in_taxed_category(rule).alias("_taxed")
+    bought = good.filter("expiry_ok").select(*posting.item_sources(settings, taxed))
+    posted = stage(lookups.with_product_id(bought, catalogue, spread_by=["ord"]), "posted")
+    posted = with_category_vat(with_batch(posted, settings.batch_rows), rule, F.col("_taxed"))
+    posted = posted.withColumns({
+        "purchase_id": purchase_id, "transfer_id": transfer_id, "avz_item_code": F.lit(None).cast("string"),
+    })
     items = posting.purchase_items(posted, settings, run_time, keep=("purchase_id", "ord"))
     return {
         "products": new_products,

@@ -48,10 +48,12 @@ def standard_import(
     )
     transfers = posting.transfers(totals, settings, run_time).withColumn("id", transfer_id)
 
-    bought = good.filter("expiry_ok").select("batch_id", *posting.item_sources(settings))
-    posted = lookups.with_product_id(bought, catalogue, spread_by=["ord"])
+    bought = good.filter("expiry_ok").select(
+        *posting.item_sources(settings, "avz_item_code", "item_total_vat", "item_total_after_vat", "vat_value")
+    )
+    posted = stage(lookups.with_product_id(bought, catalogue, spread_by=["ord"]), "posted")
+    posted = with_sale_vat(with_batch(posted, settings.batch_rows))
     posted = posted.withColumns({"purchase_id": purchase_id, "transfer_id": transfer_id})
-    posted = stage(posted, "posted")
     items = posting.purchase_items(posted, settings, run_time, keep=("purchase_id", "ord"))
     report = reporting.purchase_report(purchases, items)
     return {

@@ -307,3 +307,23 @@ def test_a_text_key_is_moved_once_in_a_lookup(spark):
         assert "_key" in moved and re.search(r"\bcode#\d+,", moved) is None
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_category_rows_are_staged_without_what_follows_from_them(spark, folder, monkeypatch):
+    from stockyard.plans import category
+    from stockyard.registry.core import CATEGORIES
+    from stockyard.registry.imports import _category_feed
+
+    seen, real, order = {}, category.stage, []
+    monkeypatch.setattr(category, "stage", lambda df, name: order.append(name) or seen.update({name: df.columns}) or real(df, name))
+    source = Tables(spark, folder)
+    none = source.table("region").select(F.lit(0).cast("bigint").alias("id"))
+    tables = category.category_import(
+        _category_feed(source), source.view("catalogue"), source.view("known_suppliers"),
+        source.view("known_groups"), none, none, RUN_TIME, rule=CATEGORIES, parsed=lambda: order.append("parsed"),
+    )
+    derived = {"item_total_vat", "item_total_after_vat", "total_sale_vat", "total_sale", "batch_id"}
+    assert not derived & {*seen["rows"], *seen["posted"]}
+    assert order[:2] == ["rows", "parsed"]
+    taxed = F.col("main_net") - F.col("subtotal") - F.col("item_tax")
+    assert tables["purchase_items"].agg(F.max(F.abs(taxed)), F.max("item_tax") > 0).first() == (0, True)
