@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from stockyard.functions.numbers import money
 from stockyard.operators.ordinals import with_ordinal
 from stockyard.settings import CategoryRule
+from stockyard.staging import inside
 
 RUN_TIME = datetime(2025, 1, 1, 12, 0, 0)
 CATEGORIES = CategoryRule(categories=("LARGE", "PROMO", "SMALL"))
@@ -225,6 +226,13 @@ class Tables:
         Raw rows are put in order and staged once per session and folder; each reader
         derives only the feed columns that it uses.
         """
+        return self.laid_out(lambda rows: rows)
+
+    def laid_out(self, arrange: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The feed with ``ord`` over its staged rows as ``arrange`` sorts or deals them out.
+
+        Rows are moved as they are staged; the columns of the feed are derived afterwards.
+        """
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _STAGED:
             lines = self.table("lineitem").select(
@@ -235,8 +243,9 @@ class Tables:
             text = VIEWS["raw_rows"].replace("{row_index}", f"{_FILE}, {_ROW_INDEX},")
             rows = self._select(text, lineitem=lines)
             marks = [_FILE, _ROW_INDEX]
-            _STAGED[key] = with_ordinal(rows, [*_RAW_KEYS, *marks], stage_as="feed", only_sorted_by=marks)
-        return self._select(VIEWS["feed"].replace("{ordinal}", "ord,"), raw_rows=_STAGED[key])
+            with inside(None):
+                _STAGED[key] = with_ordinal(rows, [*_RAW_KEYS, *marks], stage_as="feed", only_sorted_by=marks)
+        return self._select(VIEWS["feed"].replace("{ordinal}", "ord,"), raw_rows=arrange(_STAGED[key]))
 
 
 def forget_staged() -> None:

@@ -21,7 +21,7 @@ from stockyard.settings import NO_IDS, STANDARD
 from stockyard.sources import layouts
 from stockyard.sources.delimited import scan_positional
 from stockyard.sources.store import STEP_LOG, read_runs
-from stockyard.staging import new_folder
+from stockyard.staging import Scratch, inside, new_folder
 from stockyard.streaming.file_drop import import_runs
 
 # Small batches, so that the feed has both good and bad ones.
@@ -174,7 +174,7 @@ def scan_layouts(t: Tables) -> DataFrame:
     columns = ["item_code", "item_name", "item_batch_number", "item_expiry_date", "item_cost_price"]
     parts = []
     for name, layout in _LAYOUTS.items():
-        rows = t.ordered.orderBy("ord").withColumn("item_name", _broken(F.col("item_name")))
+        rows = t.laid_out(lambda rows: rows.orderBy("ord")).withColumn("item_name", _broken(F.col("item_name")))
         cells = [F.col(c).cast("string") if c in columns else F.lit("x").alias(c) for c in layout]
         folder = write_csv(rows.select(cells), name, compression="gzip")
         read = scan_positional(t.spark, folder, layout, ordinal=True, multiline=True)
@@ -200,10 +200,11 @@ def file_drop_imports(t: Tables) -> DataFrame:
     the first; items and movements are those of the whole feed, and so are the rows that
     the step log counted.
     """
-    rows = with_line_totals(cleaning.drop_null_key(cleaning.fill_price_zero(t.ordered)))
+    dealt = t.laid_out(lambda rows: rows.repartition(6, "ord"))
+    rows = with_line_totals(cleaning.drop_null_key(cleaning.fill_price_zero(dealt)))
     rows = rows.withColumns({
         "item_ascon_code": F.col("item_batch_number"), "item_total_purchase_price": F.lit(None).cast("string"),
-    }).repartition(6, "ord")
+    })
     folder = write_csv(as_text(rows, layouts.STANDARD), "standard-drops")
     root, known = new_folder(t.spark, "store"), t.view("catalogue").select("id", "code")
 
@@ -245,18 +246,24 @@ _BARCODE_COLUMNS = {"supplier": "supplier_name", "item_total_cost_price": "item_
     FROM category_lines GROUP BY batch_id""",
 )
 def barcode_import(t: Tables) -> DataFrame:
-    """The feed as a file of the eighteen-column layout, posted by the category flow."""
-    rows = cleaning.fill_price_zero(t.ordered, ["item_sale_price"])
+    """The feed as a file of the eighteen-column layout, posted by the category flow.
+
+    The file and its cells go once they are parsed.
+    """
+    rows = t.laid_out(lambda rows: rows.orderBy("ord"))
+    rows = cleaning.fill_price_zero(rows, ["item_sale_price"])
     sale = F.col("item_sale_price") * F.col("item_quantity")
     rows = rows.withColumns({"item_total_sale_price": sale, "item_code": F.col("raw_code")})
     given = {c: F.col(_BARCODE_COLUMNS.get(c, c)) for c in layouts.BARCODE if _BARCODE_COLUMNS.get(c, c) in rows.columns}
     cells = [given.get(c, F.lit(None)).cast("string").alias(c) for c in layouts.BARCODE]
-    folder = write_csv(rows.orderBy("ord").select(cells), "barcode", compression="gzip")
-    read = scan_positional(t.spark, folder, layouts.BARCODE, ordinal=True)
+    scratch = Scratch(t.spark, "barcode")
+    with inside(scratch):
+        folder = write_csv(rows.select(cells), "barcode", compression="gzip")
+        read = scan_positional(t.spark, folder, layouts.BARCODE, ordinal=True)
     none = t.table("region").select(F.lit(0).cast("bigint").alias("id"))
     feed = layouts.typed(layouts.as_category(read), keep_text=GROUPED_NUMBERS)
     tables = category_import(
         feed, t.view("catalogue"), t.view("known_suppliers"), t.view("known_groups"), none, none,
-        RUN_TIME, rule=CATEGORIES,
+        RUN_TIME, rule=CATEGORIES, parsed=scratch.release,
     )
     return tables["purchases"].select("id", "supplier_id", "items_read", "total", "total_tax", "grand_total")

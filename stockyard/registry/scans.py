@@ -18,7 +18,7 @@ from stockyard.sources import layouts
 from stockyard.sources.delimited import scan_named_checked, scan_positional, scan_promoted_header
 from stockyard.sources.store import scan_store
 from stockyard.sources.workbooks import by_position, decode_workbooks
-from stockyard.staging import new_folder
+from stockyard.staging import new_folder, shuffles_let_go
 
 _SUPPLIER_SQL = f"""
   item_code, item_name, item_batch_number, item_expiry_date, supplier_id, supplier_name,
@@ -37,14 +37,15 @@ def write_csv(df: DataFrame, name: str, **options) -> str:
     """
     path = new_folder(df.sparkSession, name)
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(header=True, escape='"', **keep, **options).csv(path)
+    with shuffles_let_go(df.sparkSession):
+        df.write.options(header=True, escape='"', **keep, **options).csv(path)
     return path
 
 
 @query("scan_positional", f"SELECT ord, {_SUPPLIER_SQL} FROM ordered")
 def positional(t: Tables) -> DataFrame:
     """CSV files in feed order; the position found in the files is that of the feed."""
-    folder = write_csv(as_text(t.ordered.orderBy("ord"), layouts.SUPPLIER), "positional")
+    folder = write_csv(as_text(t.laid_out(lambda rows: rows.orderBy("ord")), layouts.SUPPLIER), "positional")
     rows = scan_positional(t.spark, folder, layouts.SUPPLIER, ordinal=True)
     return layouts.typed(rows.drop("source_file"))
 

@@ -327,3 +327,17 @@ def test_category_rows_are_staged_without_what_follows_from_them(spark, folder,
     assert order[:2] == ["rows", "parsed"]
     taxed = F.col("main_net") - F.col("subtotal") - F.col("item_tax")
     assert tables["purchase_items"].agg(F.max(F.abs(taxed)), F.max("item_tax") > 0).first() == (0, True)
+
+
+def test_the_barcode_file_goes_once_it_is_parsed(spark, folder):
+    from stockyard.staging import shared_folder
+
+    rows = QUERIES["barcode_import"](spark, folder)
+    assert rows.count() == QUERIES["category_import"](spark, folder).count()
+    assert not [x for x in os.listdir(f"{shared_folder(spark)}/stockyard") if x.startswith("barcode-")]
+
+
+def test_the_feed_is_moved_before_its_columns_are_derived(spark, folder):
+    feed = Tables(spark, folder).laid_out(lambda rows: rows.orderBy("ord"))
+    plan = plan_of(feed.select("item_batch_number", "item_total_cost_text"))
+    assert "concat(B" in plan and "concat(B" not in plan.split("Exchange rangepartitioning")[1]
