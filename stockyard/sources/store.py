@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from stockyard.sources.buckets import is_bucketed, read_buckets
 from stockyard.sources.manifest import TABLE, Manifest, NotStoredError, id_range, whole_schema
+from stockyard.staging import shuffles_let_go
 
 _PARTITIONS = ("run_id", "version", "drop_id", "attempt")
 STEP_LOG = "step_log"
@@ -75,7 +76,8 @@ def append_run(
     attempt, lines, steps = uuid4().hex, [], []
 
     def write(name: str, df: DataFrame) -> None:
-        df.write.parquet(f"{root}/{name}/run_id={run_id}/attempt={attempt}")
+        with shuffles_let_go(spark):
+            df.write.option("compression", "zstd").parquet(f"{root}/{name}/run_id={run_id}/attempt={attempt}")
         lines.append({"kind": TABLE, "table": name, "run": run_id, "attempt": attempt, "schema": df.schema.json()})
 
     for name in POSTING_ORDER:
@@ -179,7 +181,8 @@ def rewrite_snapshot(df: DataFrame, root: str, version: str) -> DataFrame:
     """
     attempt = uuid4().hex
     path = f"{root.rstrip('/')}/version={version}/attempt={attempt}"
-    df.write.parquet(path)
+    with shuffles_let_go(df.sparkSession):
+        df.write.parquet(path)
     line = {"kind": TABLE, "table": "", "run": version, "attempt": attempt, "schema": df.schema.json()}
     Manifest(df.sparkSession, root).commit([line])
     return df.sparkSession.read.schema(df.schema).parquet(path)

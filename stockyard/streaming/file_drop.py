@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stockyard.sources import feeds
 from stockyard.sources.store import append_run
+from stockyard.staging import Scratch, inside, shuffles_let_go
 
 Post = Callable[[DataFrame], DataFrame]
 PostRun = Callable[[DataFrame, str], tuple[dict[str, DataFrame], Mapping[str, int]]]
@@ -38,7 +39,9 @@ def import_drops(
 
     def land(files: DataFrame, trigger: int) -> None:
         numbered = feeds.read_positional(spark, _paths(files), layout, per_file=True)
-        post(numbered).write.mode("overwrite").parquet(f"{target}/drop_id={trigger}")
+        posted = post(numbered)
+        with shuffles_let_go(spark):
+            posted.write.mode("overwrite").parquet(f"{target}/drop_id={trigger}")
 
     _take(watch_folder(spark, folder, files_per_trigger), land, checkpoint)
 
@@ -60,14 +63,20 @@ def import_runs(
     that share a store, each with a checkpoint and triggers of its own, need names of their
     own. ``post`` gets its rows, with ``ord`` over all its files, and the name, and returns
     the tables of the run and the ids it was given, which count once all are written; a
-    trigger that is repeated after a failure takes the place of its earlier attempt.
+    trigger that is repeated after a failure takes the place of its earlier attempt. What a
+    trigger stages goes when its run is stored, so none of its tables is to be read later but
+    from the store.
     """
 
     def land(files: DataFrame, trigger: int) -> None:
-        run_id = f"{job}-{trigger}"
-        rows = feeds.read_positional(spark, _paths(files), layout, multiline=multiline)
-        posted, ids = post(rows, run_id)
-        append_run(posted, root, run_id, ids)
+        run_id, scratch = f"{job}-{trigger}", Scratch(spark, "trigger")
+        try:
+            with inside(scratch):
+                rows = feeds.read_positional(spark, _paths(files), layout, multiline=multiline)
+                posted, ids = post(rows, run_id)
+                append_run(posted, root, run_id, ids)
+        finally:
+            scratch.release()
 
     _take(watch_folder(spark, folder, files_per_trigger), land, checkpoint)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from conftest import rows_of
 from test_imports import supplier_rows, write_csv
 
@@ -80,3 +82,21 @@ def test_dropped_workbooks_are_posted_as_in_a_batch(spark, tmp_path):
         ])
     assert posted[0] == posted[1]
     assert len(posted[0][1]) == sum(bool(r["item_code"] and r["supplier_id"]) for r in priced)
+
+
+def test_what_a_trigger_stages_goes_when_its_run_is_stored(spark, tmp_path):
+    from stockyard.staging import shared_folder, stage
+    from stockyard.streaming.file_drop import import_runs
+
+    folder, root, staged = tmp_path / "in", str(tmp_path / "store"), []
+    folder.mkdir()
+    write_csv(folder / "a.csv", supplier_rows(20, seed=3), layouts.SUPPLIER)
+
+    def post(rows, run_id):
+        staged.append(stage(rows.select("ord"), "posted"))
+        return {"purchases": staged[0]}, {}
+
+    import_runs(spark, str(folder), layouts.SUPPLIER, post, root, str(tmp_path / "stream"))
+    assert store.read_runs(spark, root, "purchases").count() == 20
+    assert not [x for x in os.listdir(f"{shared_folder(spark)}/stockyard") if x.startswith("trigger-")]
+    assert all(".zstd." in f for f in store.read_runs(spark, root, "purchases").inputFiles())
