@@ -268,6 +268,22 @@ def test_a_round_trains_on_every_window(spark):
     assert changed[:1000].all() and not changed[1000:1200].any()
 
 
+def test_a_round_keeps_steps_too_small_for_single_precision(spark):
+    dtype = encoder(VOCABULARY).dtype
+    kinds = np.minimum(np.arange(len(lm._opens(VOCABULARY))), lm.KINDS - 2)
+    classes = np.arange(lm.KINDS) % lm.CLASSES
+    weights = attention.Weights.start(lm.KINDS, np.ones(lm.CLASSES) / lm.CLASSES)
+    model = lm.Model(kinds, np.zeros(len(kinds)), classes, None, weights, 0, 0, 0)
+    rows = [(True, bytearray(np.array([n, 1500, n], dtype).tobytes())) for n in range(100)]
+    ids = spark.createDataFrame(rows, "learn boolean, ids binary").coalesce(1)
+    model.weights = lm._round(ids, VOCABULARY, model, 0, 1e-12)
+    first = np.abs(model.weights.embed - weights.embed)
+    assert 0 < first[:100].max(1).min() and first.max() < 1e-10 and not first[100:1500].any()
+    again = lm._round(ids, VOCABULARY, model, 1, 1e-12)
+    assert (again.embed != model.weights.embed)[:100].any(1).all()
+    assert attention.Fit(again, 1e-12).weights.embed.dtype == np.float32
+
+
 def test_looked_up_scores_are_the_models():
     draw = np.random.default_rng(3)
     w = attention.Weights.start(30, np.ones(6) / 6)
